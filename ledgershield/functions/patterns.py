@@ -71,6 +71,15 @@ AP_ACTIONS = ("invoice.extract", "invoice.validate", "purchase_order.match",
               "gl_coding.propose", "payment.propose")
 DEFAULT_PRIVATE_MODEL = "sealed"
 MODEL_INVOKE = "model:invoke"
+
+# Denial reasons, in check order.
+AUTHZ_REASONS = ("unverified principal", "invalid tenant", "cross-tenant access", "permission denied")
+ROUTE_REASONS = ("classification incomplete", "invalid data classification", "missing model",
+                 "redaction incomplete", "external model egress disabled", "model not approved",
+                 "data class not approved for external processing")
+CONTRACT_REASONS = ("invalid tenant identifier", "AP worker agents cannot approve or release payments")
+PROPOSAL_REASONS = ("cross-tenant AP proposal", "action not authorised", "invalid amount", "invalid currency",
+                    "missing evidence or idempotency reference")
 # --- end of fixed values ------------------------------------------------------
 
 

@@ -262,3 +262,99 @@ def bank_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reporting entities of the group (normalised names)."""
     return table(spark, sf_dir, "nation").select(F.lower(F.trim(F.col("n_name"))).alias("name_key"))
+
+
+# ----------------------------------------------------------- authorisation --
+
+def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-invocation requests with their principal, one per order.
+
+    principal tenant = customer tenant; the requested tenant is malformed for
+    every 29th order and another tenant for every 31st; every 23rd principal is
+    unverified and every 17th lacks 'model:invoke'.  Data class from order
+    priority ('5-LOW' maps to an unknown class); model from order status.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                               "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    j = join_small(o, c, "o_custkey")
+    k, ck = F.col("o_orderkey"), F.col("o_custkey")
+    pr = F.col("o_orderpriority")
+    return j.select(
+        request_id_of(k, "model").alias("request_id"),
+        F.col("c_name").alias("subject"),
+        tenant_of(ck).alias("principal_tenant"),
+        (k % 23 != 0).alias("verified"),
+        F.when(k % 17 == 0, F.array(F.lit("audit:read")))
+         .otherwise(F.array(F.lit("model:invoke"), F.lit("audit:read"))).alias("permissions"),
+        F.when(k % 29 == 0, F.concat(F.lit("-"), tenant_of(ck)))
+         .when(k % 31 == 0, tenant_of(ck + 1)).otherwise(tenant_of(ck)).alias("tenant_id"),
+        F.when(pr == "1-URGENT", "restricted").when(pr == "2-HIGH", "confidential")
+         .when(pr == "3-MEDIUM", "internal").when(pr == "4-NOT SPECIFIED", "public")
+         .otherwise("unclassified").alias("data_class"),
+        F.when(k % 37 == 0, F.lit("")).when(F.col("o_orderstatus") == "F", "sealed")
+         .when(F.col("o_orderstatus") == "O", "gpt").otherwise("claude").alias("requested_model"),
+        (k % 19 != 0).alias("classification_complete"),
+        (F.col("o_totalprice") < 300000).alias("redaction_complete"),
+    )
+
+
+def sovereign_policy_catalog() -> list[tuple]:
+    """(tenant_id, allowed_external_models, allowed_external_classes, private_model,
+    external_egress_enabled) for the test tenants; t1 has no policy (defaults)."""
+    return [
+        ("t0", ["gpt"], ["public", "internal"], "sealed", True),
+        ("t2", ["gpt", "claude"], ["public"], "local-llm", True),
+        ("t3", ["claude"], ["public", "internal", "confidential"], "sealed", False),
+    ]
+
+
+def sovereign_policies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        sovereign_policy_catalog(),
+        "tenant_id string, allowed_external_models array<string>, allowed_external_classes array<string>, "
+        "private_model string, external_egress_enabled boolean")
+
+
+def ap_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One AP worker contract per supplier (agent 'ap-<suppkey>')."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    sk = F.col("s_suppkey")
+    m = sk % 3
+    actions = (F.when(m == 0, F.array(F.lit("payment.propose"), F.lit("invoice.extract")))
+               .when(m == 1, F.array(F.lit("invoice.validate"), F.lit("purchase_order.match"),
+                                     F.lit("gl_coding.propose")))
+               .otherwise(F.array().cast("array<string>")))
+    return s.select(
+        F.concat(F.lit("ap-"), _s(sk)).alias("agent_id"),
+        F.lit("1").alias("version"),
+        F.when(sk % 23 == 0, F.lit("bad tenant!")).otherwise(tenant_of(sk)).alias("tenant_id"),
+        actions.alias("allowed_actions"),
+        F.lit("ap-manager").alias("supervisor"),
+        (sk % 31 == 0).alias("may_approve"),
+        (F.col("s_acctbal") > 9900).alias("may_release_payment"),
+    )
+
+
+def ap_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One AP action proposal per line item, by the agent of its supplier."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                 "l_extendedprice")
+    sk, pk, lk = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_linenumber")
+    okey = _s(F.col("l_orderkey"))
+    amt = _s(F.col("l_extendedprice").cast("decimal(18,2)"))
+    action = (F.when(pk % 5 == 0, "invoice.extract").when(pk % 5 == 1, "invoice.validate")
+              .when(pk % 5 == 2, "purchase_order.match").when(pk % 5 == 3, "gl_coding.propose")
+              .otherwise("payment.propose"))
+    return li.select(
+        F.concat(okey, F.lit("-"), _s(lk), F.lit("-"), _s(pk)).alias("proposal_id"),
+        F.concat(F.lit("ap-"), _s(sk)).alias("agent_id"),
+        F.when(lk == 7, tenant_of(sk + 1)).otherwise(tenant_of(sk)).alias("tenant_id"),
+        F.when(pk % 41 == 0, F.lit("")).otherwise(F.concat(F.lit("INV-"), okey)).alias("invoice_id"),
+        action.alias("action"),
+        F.when(pk % 53 == 0, F.lit("NaN")).when(pk % 59 == 0, F.concat(F.lit("-"), amt)).otherwise(amt)
+         .alias("amount_raw"),
+        F.when(sk % 43 == 0, F.lit("chf")).otherwise(currency_of(sk)).alias("currency"),
+        F.concat(F.lit("EV-"), okey, F.lit("-"), _s(lk)).alias("evidence_id"),
+        F.when(pk % 61 == 0, F.lit(None)).otherwise(F.concat(okey, F.lit(":"), _s(lk))).alias("idempotency_key"),
+    )
