@@ -145,7 +145,7 @@ def audit_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         request_id_of(F.col("event_id"), "event").alias("request_id"),
         F.col("props").alias("prompt_text"),
         F.when(is_err, F.lit(None)).when(F.col("value") < 1, F.lit(""))
-         .otherwise(F.concat(F.lit("answer "), _s(F.col("value")))).alias("response_text"),
+         .otherwise(F.concat(F.lit("answer "), _s(F.col("value").cast("decimal(12,2)")))).alias("response_text"),
         F.when(tier == "private", F.concat(F.lit("redacted "), F.col("props"))).alias("redacted_prompt_text"),
         stats.alias("redaction_stats"),
         (F.col("value") * 10).cast("int").alias("duration_ms"),
