@@ -201,19 +201,22 @@ def cash_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily CHF rates per currency with gaps (ccy, date, rate_to_chf).
 
-    Derived from lineitem: per (currency of the supplier's nation, ship date) a
-    rate of 0.9 + mean discount; days whose day-of-month is divisible by 4 are
-    missing so that carry-forward is exercised.  CHF itself is not listed.
+    Derived from lineitem: per (currency of the supplier's nation, ship date)
+    rate = (9000 + (sum of discount cents mod 997)) / 10000.  Days whose
+    day-of-month is divisible by 4 are missing, so carry-forward is exercised.
+    CHF itself is not listed (rate 1).
     """
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_discount")
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     j = join_small(li, s, "l_suppkey")
     d = F.to_date(F.col("l_shipdate"))
-    g = (j.select(currency_of(F.col("s_nationkey")).alias("ccy"), d.alias("date"), "l_discount")
+    g = (j.select(currency_of(F.col("s_nationkey")).alias("ccy"), d.alias("date"),
+                  F.round(F.col("l_discount") * 100).cast("bigint").alias("cents"))
          .where((F.col("ccy") != "CHF") & (F.dayofmonth(F.col("date")) % 4 != 0))
          .groupBy("ccy", "date")
-         .agg(F.avg("l_discount").alias("d")))
-    return g.select("ccy", "date", F.round(F.lit(0.9) + F.col("d"), 6).cast("decimal(18,8)").alias("rate_to_chf"))
+         .agg(F.sum("cents").alias("c")))
+    return g.select("ccy", "date",
+                    ((F.lit(9000) + F.col("c") % 997) / F.lit(10000.0)).cast("decimal(18,8)").alias("rate_to_chf"))
 
 
 def bank_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,3 +361,39 @@ def ap_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("EV-"), okey, F.lit("-"), _s(lk)).alias("evidence_id"),
         F.when(pk % 61 == 0, F.lit(None)).otherwise(F.concat(okey, F.lit(":"), _s(lk))).alias("idempotency_key"),
     )
+
+
+def paid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bank-side payments: one per settled or partly settled order, written the
+    way a bank statement shows them (vendor name without space, lower case;
+    invoice number sometimes float-like 'INV-12.0'), plus one salary-like
+    payment per supplier with no invoice.  Partly settled orders pay half,
+    except every fourth, which pays in full."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                               "o_orderdate")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey",
+                                                 "c_mktsegment")
+    j = join_small(o.where(F.col("o_orderstatus").isin("F", "P")), c, "o_custkey")
+    k = F.col("o_orderkey")
+    full = (F.col("o_orderstatus") == "F") | (k % 4 == 0)
+    amount = F.when(full, F.col("o_totalprice").cast("decimal(18,2)")) \
+        .otherwise((F.col("o_totalprice").cast("decimal(18,2)") / 2).cast("decimal(18,2)"))
+    inv = F.when(k % 2 == 0, F.concat(F.lit("INV-"), _s(k), F.lit(".0"))).otherwise(F.concat(F.lit("INV-"), _s(k)))
+    vendor_pay = j.select(
+        F.concat(F.lit("vendor"), _s(F.col("o_custkey") % 300)).alias("vendor"),
+        F.col("c_mktsegment").alias("entity"),
+        inv.alias("invoice_number"),
+        currency_of(F.col("c_nationkey")).alias("currency"),
+        amount.alias("amount"),
+        F.date_add(F.to_date(F.col("o_orderdate")), 45).alias("paid_date"),
+        F.lit("vendor").alias("kind"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    salary = s.select(
+        F.col("s_name").alias("vendor"),
+        F.lit("HOUSEHOLD").alias("entity"),
+        F.lit("").alias("invoice_number"),
+        currency_of(F.col("s_nationkey")).alias("currency"),
+        F.abs(F.col("s_acctbal")).cast("decimal(18,2)").alias("amount"),
+        F.lit("1999-06-25").cast("date").alias("paid_date"),
+        F.lit("payroll").alias("kind"))
+    return vendor_pay.unionByName(salary)
