@@ -251,7 +251,9 @@ def bank_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     sk = F.col("l_suppkey")
     cp = (F.when(sk % 37 == 0, F.lit("")).when(sk % 10 == 0, F.lower(F.col("s_nation")))
           .otherwise(F.col("s_name")))
-    amount = (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).cast("decimal(18,2)")
+    # exact decimal arithmetic, rounded half-up once (same in the oracle)
+    amount = F.round(F.col("l_extendedprice").cast("decimal(18,2)")
+                     * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2).cast("decimal(18,2)")
     return j.select(
         F.to_date(F.col("l_shipdate")).alias("booking_date"),
         "entity", "bank",
@@ -367,7 +369,7 @@ def paid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bank-side payments: one per settled or partly settled order, written the
     way a bank statement shows them (vendor name without space, lower case;
     invoice number sometimes float-like 'INV-12.0'), plus one salary-like
-    payment per supplier with no invoice.  Partly settled orders pay half,
+    payment per supplier with no invoice (reference 'YYYY.MM_<name>').  Partly settled orders pay half,
     except every fourth, which pays in full."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                                "o_orderdate")
@@ -376,17 +378,19 @@ def paid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = join_small(o.where(F.col("o_orderstatus").isin("F", "P")), c, "o_custkey")
     k = F.col("o_orderkey")
     full = (F.col("o_orderstatus") == "F") | (k % 4 == 0)
-    amount = F.when(full, F.col("o_totalprice").cast("decimal(18,2)")) \
-        .otherwise((F.col("o_totalprice").cast("decimal(18,2)") / 2).cast("decimal(18,2)"))
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    amount = F.when(full, price).otherwise(F.round(price * F.lit(0.5).cast("decimal(2,1)"), 2).cast("decimal(18,2)"))
     inv = F.when(k % 2 == 0, F.concat(F.lit("INV-"), _s(k), F.lit(".0"))).otherwise(F.concat(F.lit("INV-"), _s(k)))
     vendor_pay = j.select(
-        F.concat(F.lit("vendor"), _s(F.col("o_custkey") % 300)).alias("vendor"),
+        # every 17th payment carries a misspelt vendor name: no AP match
+        F.concat(F.when(k % 17 == 0, F.lit("vendr")).otherwise(F.lit("vendor")), _s(F.col("o_custkey") % 300))
+         .alias("vendor"),
         F.col("c_mktsegment").alias("entity"),
         inv.alias("invoice_number"),
         currency_of(F.col("c_nationkey")).alias("currency"),
         amount.alias("amount"),
         F.date_add(F.to_date(F.col("o_orderdate")), 45).alias("paid_date"),
-        F.lit("vendor").alias("kind"))
+        F.concat(F.lit("ZV "), _s(k)).alias("reference"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     salary = s.select(
         F.col("s_name").alias("vendor"),
@@ -395,5 +399,125 @@ def paid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         currency_of(F.col("s_nationkey")).alias("currency"),
         F.abs(F.col("s_acctbal")).cast("decimal(18,2)").alias("amount"),
         F.lit("1999-06-25").cast("date").alias("paid_date"),
-        F.lit("payroll").alias("kind"))
+        F.concat(F.lit("1999.06_"), F.regexp_replace(F.col("s_name"), "#", "")).alias("reference"))
     return vendor_pay.unionByName(salary)
+
+
+def pending_payments(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, days: int = 30) -> DataFrame:
+    """Payments awaiting authorisation: partly settled orders whose execution
+    date falls in the ``days`` before the as-of day (inclusive)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                               "o_orderdate")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey",
+                                                 "c_mktsegment")
+    d = F.to_date(F.col("o_orderdate"))
+    asof = F.lit(as_of).cast("date")
+    o = o.where((F.col("o_orderstatus") == "P") & (d > F.date_sub(asof, days)) & (d <= asof))
+    j = join_small(o, c, "o_custkey")
+    return j.select(
+        F.concat(F.lit("PAY-"), _s(F.col("o_orderkey"))).alias("payment_id"),
+        F.col("c_name").alias("beneficiary"),
+        F.concat(F.lit("ACC"), _s(F.col("o_custkey"))).alias("debit_account"),
+        F.col("c_mktsegment").alias("debit_entity"),
+        currency_of(F.col("c_nationkey")).alias("currency"),
+        F.to_date(F.col("o_orderdate")).alias("execution_date"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("value"),
+    )
+
+
+def banks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bank list: one bank per region plus an inventory-only custodian."""
+    r = table(spark, sf_dir, "region").select(F.col("r_name").alias("bank"))
+    return r.unionByName(spark.createDataFrame([("CUSTODY",)], "bank string"))
+
+
+def inventory_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second account source (an inventory list, no transaction counts): one
+    custody account per supplier nation and currency of the supplier."""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    j = join_small(s, n, "s_nationkey").select(F.col("n_name").alias("entity"),
+                                              currency_of(F.col("s_nationkey")).alias("currency")).distinct()
+    return j.select("entity", F.lit("CUSTODY").alias("bank"), "currency",
+                    F.concat_ws("-", F.upper(F.col("entity")), F.lit("CUSTODY"), F.col("currency")).alias("account"),
+                    F.lit("inventory").alias("source"))
+
+
+# ------------------------------------------------------------------ funds --
+
+FUNDS_AS_OF = "2024-01-30"
+
+
+def fund_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fund flows: every event is a subscription into fund ``sp`` = event type."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("sp"), "ts", "user_id", "value")
+
+
+def peer_vaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peer universe: every user is a peer vault; class by user id modulo 3."""
+    e = table(spark, sf_dir, "events")
+    cls = F.when(F.col("user_id") % 3 == 0, "stable").when(F.col("user_id") % 3 == 1, "eth").otherwise("btc")
+    return e.select(cls.alias("peer_class"), "user_id", "ts", "value")
+
+
+def nav_package_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NAV packages: one per (fund = order priority, month end); one report
+    file per order plus one statement per investor (customer)."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderdate", "o_custkey")
+    period = F.last_day(F.to_date("o_orderdate"))
+    g = o.groupBy(F.col("o_orderpriority").alias("fund"), period.alias("period")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.countDistinct("o_custkey").alias("investor_statement_count"))
+    return g.select(F.concat_ws(":", "fund", F.date_format("period", "yyyy-MM")).alias("package_id"),
+                    "fund", "period", "investor_statement_count",
+                    (F.col("n_files") + F.col("investor_statement_count")).alias("file_count"))
+
+
+# ---------------------------------------------------------- consolidation --
+
+def _region_of(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(key), "n_regionkey")
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("entity"))
+    return n.join(r, "n_regionkey").select(key, "entity")
+
+
+def pl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P&L lines per (entity = supplier region, quarter of ship date):
+    revenues = net sales, cost_of_goods = -60 % of list price, opex = -tax."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    j = join_small(join_small(li, s, "l_suppkey"), _region_of(spark, sf_dir, "s_nationkey"), "s_nationkey")
+    ext = F.col("l_extendedprice").cast("decimal(18,2)")
+    period = F.concat(F.year("l_shipdate").cast("string"), F.lit("-Q"), F.quarter("l_shipdate").cast("string"))
+    g = j.groupBy("entity", period.alias("period")).agg(
+        F.sum(F.round(ext * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2)).alias("revenues"),
+        (-F.sum(F.round(ext * F.lit(0.6).cast("decimal(2,1)"), 2))).alias("cost_of_goods"),
+        (-F.sum(F.round(ext * F.col("l_tax").cast("decimal(4,2)"), 2))).alias("opex"))
+    st = F.explode(F.array(*[F.struct(F.lit(c).alias("line"), F.col(c).cast("decimal(28,2)").alias("amount"))
+                             for c in ("revenues", "cost_of_goods", "opex")]))
+    return g.select("entity", "period", st.alias("x")).select("entity", "period", "x.line", "x.amount")
+
+
+def bs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance-sheet lines per entity (region): assets = positive customer
+    balances, liabilities = negative ones (sign flipped), equity = supplier
+    balances.  Plus the ADJUSTMENT pseudo-entity eliminating intra-group
+    balances (suppliers with a balance above 9,000 are group companies) from
+    assets and equity."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_acctbal").cast("decimal(18,2)").alias("b"))
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_acctbal").cast("decimal(18,2)").alias("b"))
+    cj = join_small(c, _region_of(spark, sf_dir, "c_nationkey"), "c_nationkey")
+    sj = join_small(s, _region_of(spark, sf_dir, "s_nationkey"), "s_nationkey")
+    z = F.lit(0).cast("decimal(18,2)")
+    ca = cj.groupBy("entity").agg(F.sum(F.when(F.col("b") > 0, F.col("b")).otherwise(z)).alias("assets"),
+                                  (-F.sum(F.when(F.col("b") < 0, F.col("b")).otherwise(z))).alias("liabilities"))
+    se = sj.groupBy("entity").agg(F.sum("b").alias("equity"))
+    long_c = ca.select("entity", F.explode(F.array(
+        F.struct(F.lit("assets").alias("line"), F.col("assets").cast("decimal(28,2)").alias("amount")),
+        F.struct(F.lit("liabilities").alias("line"), F.col("liabilities").cast("decimal(28,2)").alias("amount"))))
+        .alias("x")).select("entity", "x.line", "x.amount")
+    long_s = se.select("entity", F.lit("equity").alias("line"), F.col("equity").cast("decimal(28,2)").alias("amount"))
+    adj = s.where(F.col("b") > 9000).agg((-F.sum("b")).cast("decimal(28,2)").alias("amount"))
+    long_a = adj.select(F.lit("ADJUSTMENT").alias("entity"),
+                        F.explode(F.array(F.lit("assets"), F.lit("equity"))).alias("line"), "amount")
+    return long_c.unionByName(long_s).unionByName(long_a)
