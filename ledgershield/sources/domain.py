@@ -39,15 +39,15 @@ def currency_of(nationkey: Column) -> Column:
 
 # ---------------------------------------------------------------- requests --
 
-def prompt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prompt_requests(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """One request per order, with a prompt that carries finance entities.
 
     Which sentences appear depends on the order key, so every detector and
     every routing rule is exercised.  Columns: request_id, o_orderkey, tenant,
     user_name, explicit_tier, model, max_tokens, text.
     """
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                               "o_totalprice", "o_orderdate")
+    o = (orders if orders is not None else table(spark, sf_dir, "orders")).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name",
                                                  "c_nationkey")
     j = join_small(o, c, "o_custkey", "inner")
@@ -120,13 +120,13 @@ def policy_catalog() -> dict:
 
 # ------------------------------------------------------------------- audit --
 
-def audit_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audit_calls(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Gateway calls to be written to the audit log, one per event.
 
     seq = event_id (events are in timestamp order), tenant from user, tier from
     event type, duration from value; error events carry an error and no response.
     """
-    e = table(spark, sf_dir, "events")
+    e = events if events is not None else table(spark, sf_dir, "events")
     et = F.col("event_type")
     is_err = et == "error"
     kv = F.get_json_object(F.col("props"), "$.k").cast("int")
@@ -341,10 +341,11 @@ def ap_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ap_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One AP action proposal per line item, by the agent of its supplier."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                 "l_extendedprice")
+def ap_proposals(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """One AP action proposal per line item, by the agent of its supplier;
+    ``proposed_at`` = ship date (event time for the streaming form)."""
+    li = (lineitem if lineitem is not None else table(spark, sf_dir, "lineitem")).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
     sk, pk, lk = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_linenumber")
     okey = _s(F.col("l_orderkey"))
     amt = _s(F.col("l_extendedprice").cast("decimal(18,2)"))
@@ -362,6 +363,7 @@ def ap_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(sk % 43 == 0, F.lit("chf")).otherwise(currency_of(sk)).alias("currency"),
         F.concat(F.lit("EV-"), okey, F.lit("-"), _s(lk)).alias("evidence_id"),
         F.when(pk % 61 == 0, F.lit(None)).otherwise(F.concat(okey, F.lit(":"), _s(lk))).alias("idempotency_key"),
+        F.col("l_shipdate").cast("timestamp").alias("proposed_at"),
     )
 
 
