@@ -88,12 +88,15 @@ def prompt_requests(spark: SparkSession, sf_dir: str, orders: DataFrame | None =
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-form messages: request_id, conv_id, turn, role, text, tenant."""
+    """Long-form messages: request_id, conv_id, turn, role, text, tenant,
+    block_type ('text', or 'image' for every seventh (conv_id + turn): a
+    non-text content block, classified as '' and passed through)."""
     cv = table(spark, sf_dir, "conversations")
     return cv.select(
         request_id_of(F.col("conv_id"), "conv").alias("request_id"),
         "conv_id", "turn", "role", "text",
         tenant_of(F.col("conv_id")).alias("tenant"),
+        F.when((F.col("conv_id") + F.col("turn")) % 7 == 6, "image").otherwise("text").alias("block_type"),
     )
 
 
