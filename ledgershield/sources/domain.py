@@ -526,3 +526,26 @@ def bs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_a = adj.select(F.lit("ADJUSTMENT").alias("entity"),
                         F.explode(F.array(F.lit("assets"), F.lit("equity"))).alias("line"), "amount")
     return long_c.unionByName(long_s).unionByName(long_a)
+
+
+# --------------------------------------------------------------- NER spans --
+
+def ner_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector spans over the documents, as an NER backend would emit them:
+    every capitalised ASCII word is a PERSON span, every pair of adjacent
+    capitalised words an ORG span (so spans overlap).  Word offsets come from a
+    running sum of word lengths per document (window bounded by one document)."""
+    from pyspark.sql import Window
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    w0 = d.select("doc_id", F.posexplode(F.split(F.col("text"), " ", -1)).alias("pos", "word"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    start = F.coalesce(F.sum(F.length("word") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cap = F.col("word").rlike("^[A-Z][a-z]+$")
+    x = (w0.withColumn("start", start.cast("int")).withColumn("cap", cap)
+         .withColumn("nw", F.lead("word").over(w)).withColumn("ncap", F.lead(cap).over(w)))
+    person = x.where("cap").select("doc_id", "start", (F.col("start") + F.length("word")).alias("end"),
+                                   F.lit("PERSON").alias("entity_type"), F.col("word").alias("value"))
+    org = x.where(F.col("cap") & F.col("ncap")).select(
+        "doc_id", "start", (F.col("start") + F.length("word") + 1 + F.length("nw")).alias("end"),
+        F.lit("ORG").alias("entity_type"), F.concat_ws(" ", "word", "nw").alias("value"))
+    return person.unionByName(org)
