@@ -32,5 +32,5 @@ def register(key: str, section: str, sql: str | None = None):
 
 def load_all() -> dict[str, Entry]:
     # importing the modules fills the registry
-    from . import gateway, authz_queries, audit_queries, finance_queries, streaming_queries, request_queries, span_queries  # noqa: F401
+    from . import gateway, authz_queries, audit_queries, finance_queries, streaming_queries, request_queries, span_queries, snapshot_queries  # noqa: F401
     return REGISTRY
