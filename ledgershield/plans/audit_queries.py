@@ -214,3 +214,14 @@ SELECT status, tier, count(*)::BIGINT AS n, count(error)::BIGINT AS n_with_error
 def call_status(spark, sf_dir):
     e = _entries(spark, sf_dir)
     return e.groupBy("status", "tier").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("n_with_error"))
+
+
+@register("join_chain_self", "2.5", f"""WITH {ENTRIES_CTE}
+SELECT seq, hash, prev_hash, prev_hash IS NOT DISTINCT FROM lag(hash) OVER (ORDER BY seq) AS link_ok FROM chained""")
+def join_chain_self(spark, sf_dir):
+    """Entry i joined to entry i-1 of one log by an equi self-join on
+    seq = seq + 1 (hash-partitioned on seq: no single-task window)."""
+    c = _chained(spark, sf_dir).select("seq", "hash", "prev_hash")
+    prev = c.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("_ph"))
+    return c.join(prev, "seq", "left").select("seq", "hash", "prev_hash",
+                                              F.col("prev_hash").eqNullSafe(F.col("_ph")).alias("link_ok"))
