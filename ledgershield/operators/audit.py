@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..plans.joins import join_small
+from ..plans.joins import join_small, spread
 
 
 def build_entries(calls: DataFrame, native_only: bool = False) -> DataFrame:
@@ -28,7 +28,7 @@ def build_entries(calls: DataFrame, native_only: bool = False) -> DataFrame:
     duration_ms, status, error, host.  Raw texts are hashed and dropped.
     ``response_hash`` is null for a null *or empty* response.
     """
-    e = calls.select(
+    e = spread(calls).select(
         "seq", "timestamp", "tenant", "user", "tier", "model", "request_id",
         H.sha256_text(F.coalesce(F.col("prompt_text"), F.lit(""))).alias("prompt_hash"),
         F.when(F.col("redacted_prompt_text").isNotNull(), H.sha256_text(F.col("redacted_prompt_text")))

@@ -30,3 +30,17 @@ def cond_and(*conds: Column) -> Column:
     for c in conds[1:]:
         out = out & c
     return out
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (regex redaction, hashing) enough tasks.
+
+    A scan of a few large-row-group files arrives in very few partitions
+    (one task per row group); the regex work would then run on one core.  If
+    the planned partition count is below the cluster's parallelism, rows are
+    round-robin repartitioned; a scan that is already wide (the 100 TB case)
+    is left alone, so no shuffle is added there.  Planning only, no job."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
