@@ -41,12 +41,12 @@ def build_entries(calls: DataFrame, native_only: bool = False) -> DataFrame:
     native_hash = H.sha256_text(H.body_json())
     if native_only:
         return e.withColumn("hash", native_hash)
-    # printable-ASCII rows (the bulk) stay in the JVM; the rest go through the
-    # one Python UDF.  Split + union keeps Python off the fast rows entirely.
-    safe = H.ascii_safe()
-    fast = e.where(safe).withColumn("hash", native_hash)
-    slow = e.where(~safe).withColumn("hash", H.canonical_hash_udf(H.body_json()))
-    return fast.unionByName(slow)
+    # printable-ASCII rows (the bulk) are hashed in the JVM; only the others
+    # reach the one Python UDF (its input is null for the fast rows, so the
+    # Arrow batches carry almost nothing).  One projection, one scan.
+    safe = F.coalesce(H.ascii_safe(), F.lit(False))
+    return e.withColumn("hash", F.coalesce(F.when(safe, native_hash),
+                                           H.canonical_hash_udf(F.when(~safe, H.body_json()))))
 
 
 def link_chain(entries: DataFrame, log_cols: list[str], seq_col: str = "seq") -> DataFrame:
@@ -133,14 +133,37 @@ def scan_log(spark, path: str, log_cols: list[str] | None = None) -> DataFrame:
     )
 
 
+ENTRY_SCHEMA = ("timestamp string, tenant string, user string, tier string, model string, request_id string, "
+                "prompt_hash string, redacted_prompt_hash string, response_hash string, "
+                "redaction_stats map<string,int>, duration_ms int, status string, error string, host string, "
+                "prev_hash string, hash string")
+
+
+def recompute_hash(raw: Column) -> Column:
+    """Canonical body hash of a raw log line.
+
+    Native when the line is printable ASCII and re-serialising its parsed
+    form gives back exactly the same bytes (then the parsed struct is a
+    faithful copy of the JSON object, and ``to_json`` of its sorted body is
+    the canonical form).  Every other line (edited formatting, extra or
+    missing fields, non-ASCII, malformed) goes to the Python UDF."""
+    p = F.from_json(raw, ENTRY_SCHEMA)
+    cols = sorted(set(H.ENTRY_FIELDS))
+    reser = F.to_json(F.struct(*[(H.sorted_map(p[c]) if c == "redaction_stats" else p[c]).alias(c) for c in cols]),
+                      {"ignoreNullFields": "false"})
+    body = F.to_json(F.struct(*[(H.sorted_map(p[c]) if c == "redaction_stats" else p[c]).alias(c)
+                                for c in H.BODY_FIELDS]), {"ignoreNullFields": "false"})
+    fast = F.coalesce(raw.rlike(H.PRINTABLE_ASCII) & (reser == raw), F.lit(False))
+    return F.coalesce(F.when(fast, H.sha256_text(body)), H.canonical_hash_udf(F.when(~fast, raw)))
+
+
 def verify_chain(lines: DataFrame, log_cols: list[str] | None = None) -> DataFrame:
     """Per log: n_entries, n_broken, broken_at (first broken 0-based index or
     null), ok.  A line is broken if it is malformed, its prev_hash differs from
     the previous line's recorded hash (null for the first line), or its body
     hash does not recompute."""
     log_cols = log_cols or []
-    x = lines.select(*log_cols, "seq", "hash", "prev_hash",
-                     H.canonical_hash_udf(F.col("raw")).alias("_re"))
+    x = lines.select(*log_cols, "seq", "hash", "prev_hash", recompute_hash(F.col("raw")).alias("_re"))
     prev = x.select(*log_cols, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_prev_rec"))
     j = x.join(prev, [*log_cols, "seq"], "left")
     broken = (F.col("_re").isNull() | ~F.col("prev_hash").eqNullSafe(F.col("_prev_rec"))

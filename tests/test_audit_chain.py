@@ -76,3 +76,19 @@ def test_chain_cases(spark, tmp_path, log_lines, case):
     lines = CASES[case](list(log_lines))
     assert py_verify(log_lines) == (True, None)
     assert _spark_verify(spark, tmp_path, lines) == py_verify(lines)
+
+
+def test_non_ascii_rows_take_the_python_path(spark):
+    """Entries with non-ASCII text hash exactly like json.dumps (escaped),
+    ASCII entries exactly like the native path: compare both with Python."""
+    from pyspark.sql import functions as F
+    calls = D.audit_calls(spark, "/root/testdata/sf0.001").where("seq < 8").withColumn(
+        "user", F.when(F.col("seq") % 2 == 0, F.lit("Zoë Müller")).otherwise(F.col("user")))
+    e = AU.link_chain(AU.build_entries(calls), [])
+    rows = e.select("hash", AU.entry_line(e).alias("line")).collect()
+    assert len(rows) == 8
+    for r in rows:
+        obj = json.loads(r.line)
+        body = {k: v for k, v in obj.items() if k not in ("hash", "prev_hash")}
+        exp = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        assert r.hash == exp
