@@ -40,6 +40,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     the planned partition count is below the cluster's parallelism, rows are
     round-robin repartitioned; a scan that is already wide (the 100 TB case)
     is left alone, so no shuffle is added there.  Planning only, no job."""
+    if df.isStreaming:  # micro-batches are partitioned by the source
+        return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
