@@ -157,13 +157,32 @@ def recompute_hash(raw: Column) -> Column:
     return F.coalesce(F.when(fast, H.sha256_text(body)), H.canonical_hash_udf(F.when(~fast, raw)))
 
 
+def recompute_parts(raw: Column) -> tuple[Column, Column]:
+    """(fast flag, native hash) of ``recompute_hash`` as separate columns."""
+    p = F.from_json(raw, ENTRY_SCHEMA)
+    cols = sorted(set(H.ENTRY_FIELDS))
+    reser = F.to_json(F.struct(*[(H.sorted_map(p[c]) if c == "redaction_stats" else p[c]).alias(c) for c in cols]),
+                      {"ignoreNullFields": "false"})
+    body = F.to_json(F.struct(*[(H.sorted_map(p[c]) if c == "redaction_stats" else p[c]).alias(c)
+                                for c in H.BODY_FIELDS]), {"ignoreNullFields": "false"})
+    fast = F.coalesce(raw.rlike(H.PRINTABLE_ASCII) & (reser == raw), F.lit(False))
+    return fast, H.sha256_text(body)
+
+
 def verify_chain(lines: DataFrame, log_cols: list[str] | None = None) -> DataFrame:
     """Per log: n_entries, n_broken, broken_at (first broken 0-based index or
     null), ok.  A line is broken if it is malformed, its prev_hash differs from
     the previous line's recorded hash (null for the first line), or its body
     hash does not recompute."""
     log_cols = log_cols or []
-    x = lines.select(*log_cols, "seq", "hash", "prev_hash", recompute_hash(F.col("raw")).alias("_re"))
+    # the fast flag and the native hash are computed once in their own
+    # projection (referenced twice, so Catalyst keeps them as columns); only
+    # the non-canonical lines reach the Python UDF
+    fast, native = recompute_parts(F.col("raw"))
+    x = (lines.select(*log_cols, "seq", "hash", "prev_hash", "raw", fast.alias("_fast"), native.alias("_nat"))
+         .select(*log_cols, "seq", "hash", "prev_hash",
+                 F.coalesce(F.when(F.col("_fast"), F.col("_nat")),
+                            H.canonical_hash_udf(F.when(~F.col("_fast"), F.col("raw")))).alias("_re")))
     prev = x.select(*log_cols, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_prev_rec"))
     j = x.join(prev, [*log_cols, "seq"], "left")
     broken = (F.col("_re").isNull() | ~F.col("prev_hash").eqNullSafe(F.col("_prev_rec"))
