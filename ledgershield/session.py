@@ -7,7 +7,7 @@ exist for tests, ``bench.py`` and command-line use.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,20 +43,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is respected as is.
-    Only when it is unset (local tests) do we create a scratch folder.
+    The setting is read from the session and respected as is.  Where it is unset, a scratch folder is
+    made in local mode only (tests); on a cluster a machine-local folder would be invisible to the
+    executors, so that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set (master {master}); it must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="ledgershield-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
