@@ -290,7 +290,8 @@ def _groups(rows: DataFrame, order: str, max_bits: int) -> DataFrame:
     rooted = least.join(parts, least["fp"] == parts["node"]).select("fp", "root", "first")
     roots = rooted.groupBy("root").agg(F.min("first").alias("group_first"))
     joined = rooted.join(roots, "root").select("fp", "group_first")
-    return least.join(joined, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first"))
+    # written, so that both sides of the callers' joins are plain shuffles, which can be split where copies are hot
+    return written(least.join(joined, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first")), "groups")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
