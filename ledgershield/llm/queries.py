@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination
+from .packing import pack_documents
 from .simhash import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +50,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@query
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with an end id each, in sequences of at most 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path(VOCABULARY), capacity=2048, end_id=0)
