@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgershield.session import scratch_path
+
 from .common import table
 from .decontaminate import contamination
 from .packing import pack_documents
 from .simhash import simhash_components
+from .token_shards import read_token_shards, write_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +63,11 @@ VOCABULARY = "byte_bpe_50k.json"
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with an end id each, in sequences of at most 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path(VOCABULARY), capacity=2048, end_id=0)
+
+
+@query
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids with end id 2, written as shards in ascending doc_id order and read back."""
+    path = scratch_path(spark, f"token-shards-{uuid.uuid4().hex}")
+    write_token_shards(table(spark, sf_dir, "documents", "doc_id", "text"), path, vocabulary_path(VOCABULARY), end_id=2)
+    return read_token_shards(spark, path)

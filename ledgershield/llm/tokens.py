@@ -28,7 +28,7 @@ LOOSE = re.compile(r"[,.][ \n](?<![^\W_]..)", re.DOTALL)
 COMMA, STOP, LINE, FIRST = "\x01", "\x02", "\x03", "\x04"   # "," or "." or ".\n" right after a word; a word right after LINE
 TAILED = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 CACHE = 1_500_000
-TOGETHER = 64                    # texts whose unknown units are learned in one call
+TOGETHER, WORDS = 64, 64         # texts whose unknown units are learned together, words strung together
 
 
 class Encoder:
@@ -70,7 +70,9 @@ class Encoder:
         others = [u for u in units if not u.isalpha()]
         tailed = [m for m in map(TAILED.fullmatch, others) if m and m[1].isalpha()]
         heads = {m[1] for m in tailed}.difference(self.cache, words)
-        self._learn_words([*words, *heads])
+        words += heads
+        for at in range(0, len(words), WORDS):           # short strings are the library's fastest
+            self._learn_words(words[at:at + WORDS])
         for m in tailed:
             tail = self.tails.get(m[2])
             if tail is None:
@@ -83,8 +85,6 @@ class Encoder:
 
     def _learn_words(self, words: list[str]) -> None:
         """Words with a leading space split apart again when strung together, so one call encodes them all."""
-        if not words:
-            return
         e = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
         starts = np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)) * 4
         data = _pack(e.ids)
