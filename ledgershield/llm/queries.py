@@ -15,6 +15,7 @@ from .decontaminate import contamination
 from .packing import pack_documents
 from .simhash import simhash_components
 from .token_shards import read_token_shards, write_token_shards
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,3 +72,9 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"token-shards-{uuid.uuid4().hex}")
     write_token_shards(table(spark, sf_dir, "documents", "doc_id", "text"), path, vocabulary_path(VOCABULARY), end_id=2)
     return read_token_shards(spark, path)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of held-out rows are never read by the training."""
+    return toxicity(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
