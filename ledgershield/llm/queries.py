@@ -13,6 +13,7 @@ from ledgershield.session import scratch_path
 from .common import table
 from .decontaminate import contamination
 from .packing import pack_documents
+from .pii import personal_data
 from .simhash import simhash_components
 from .token_shards import read_token_shards, write_token_shards
 from .toxicity import toxicity
@@ -78,3 +79,9 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels of held-out rows are never read by the training."""
     return toxicity(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and contextual ones."""
+    return personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
