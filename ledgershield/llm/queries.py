@@ -14,6 +14,7 @@ from .common import table
 from .decontaminate import contamination
 from .packing import pack_documents
 from .pii import personal_data
+from .secrets_scan import secrets
 from .simhash import simhash_components
 from .token_shards import read_token_shards, write_token_shards
 from .toxicity import toxicity
@@ -85,3 +86,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans and contextual ones."""
     return personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base spans and those of high entropy."""
+    return secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
