@@ -12,6 +12,7 @@ from ledgershield.session import scratch_path
 
 from .common import table
 from .decontaminate import contamination
+from .imatch import imatch
 from .packing import pack_documents
 from .pii import personal_data
 from .secrets_scan import secrets
@@ -92,3 +93,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base spans and those of high entropy."""
     return secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return imatch(table(spark, sf_dir, "documents", "doc_id", "text"))
