@@ -20,6 +20,8 @@ texts, the grouping of terms and the comparison with the next document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,19 +63,31 @@ def level_of(n: Column) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / F.lit(float(TERMS))))).cast("int")
 
 
-def _at_level(term: Column, level: Column) -> Column:
-    """Whether a term is in the level: its upper hash bits decide, the lower ones its subset."""
-    return F.shiftrightunsigned(term, 40) % F.pow(F.lit(2.0), level).cast("long") == 0
+def _every(level: Column) -> Column:
+    """One in so many of the lexicon's terms is in a level."""
+    return F.pow(F.lit(2.0), level).cast("long")
+
+
+def _picked(term: Column, every: Column) -> Column:
+    """The upper hash bits decide on a term's levels, the lower ones on its subset."""
+    return F.shiftrightunsigned(term, 40) % every == 0
+
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for the row, not wherever it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-def fingerprint(kept: Column, level: Column, kind: str) -> Column:
-    """(label, levels: array of arrays of hashes) from the sorted terms ``kept`` of the first level on."""
-    def subsets(l: Column) -> Column:
-        own = F.filter(kept, lambda t: _at_level(t, l))
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.when(
-            F.exists(own, lambda t: F.pmod(t, F.lit(SUBSETS)) == k),
-            F.right(F.lpad(F.hex(F.xxhash64(F.filter(own, lambda t: F.pmod(t, F.lit(SUBSETS)) == k))), 16, "0"), F.lit(8))).otherwise(F.lit("")))
-    return F.struct(F.lit(kind).alias("kind"), level.alias("level"), subsets(level).alias("first"), subsets(level + 1).alias("second"))
+
+def fingerprint(kept: Column, level: Column, kind: Column) -> Column:
+    """(kind, level, first, second) from the sorted terms ``kept``: hashes of the subsets of two levels."""
+    def hashed(x: Column) -> Column:
+        return F.when(F.size(x) > 0, F.right(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), F.lit(8))).otherwise(F.lit(""))
+
+    def subsets(every: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
+        return _let(every, lambda e: _let(F.filter(kept, lambda t: _picked(t, e)), lambda own: F.transform(
+            numbers, lambda k: _let(F.filter(own, lambda t: F.pmod(t, F.lit(SUBSETS)) == k), hashed))))
+    return F.struct(kind.alias("kind"), level.alias("level"), subsets(_every(level)).alias("first"), subsets(_every(level + 1)).alias("second"))
 
 
 def fingerprint_text(f: Column) -> Column:
@@ -131,8 +145,8 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = rows.withColumn("edited_", F.when(F.col("guest_"), F.lit("")).otherwise(edited)) \
         .select("range_", "place_", "guest_", "id_", n.cast("long").alias("n_chars"), F.sha2("edited_", 256).alias("edited_sha256"),
                 terms(F.col("text_")).alias("t0_"), terms(F.col("edited_")).alias("t1_"))
-    facts = ["guest_", "id_", "n_chars", "edited_sha256", "n0_", "n1_"]
-    rows = rows.withColumn("n0_", F.size("t0_")).withColumn("n1_", F.size("t1_"))
+    rows = rows.withColumn("d0_", _every(level_of(F.size("t0_")))).withColumn("d1_", _every(level_of(F.size("t1_"))))
+    facts = ["guest_", "id_", "n_chars", "edited_sha256", "d0_", "d1_"]
 
     def tagged(which: int) -> Column:
         return F.transform(f"t{which}_", lambda t: F.struct(F.lit(which).alias("w"), t.alias("term")))
@@ -140,20 +154,16 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         .select("range_", "place_", *facts, "x.w", "x.term")
     known = single.join(F.broadcast(words.withColumn("known_", F.lit(True))), "term", "left")
     # of terms outside the lexicon only those of the level that all terms of the text would give
-    spare = F.col("known_").isNull() & _at_level(F.col("term"), level_of(F.when(F.col("w") == 0, F.col("n0_")).otherwise(F.col("n1_"))))
+    spare = F.col("known_").isNull() & _picked(F.col("term"), F.when(F.col("w") == 0, F.col("d0_")).otherwise(F.col("d1_")))
     lists = [F.collect_list(F.when((F.col("w") == w) & cond, F.col("term"))).alias(f"{name}{w}_")
              for w in (0, 1) for name, cond in (("in", F.col("known_").isNotNull()), ("out", spare))]
     grouped = known.groupBy("range_", "place_").agg(*[F.first(c).alias(c) for c in facts], *lists)
     for w in (0, 1):
-        inside, level = F.col(f"in{w}_"), level_of(F.col(f"n{w}_"))
-        every = F.sort_array(F.concat(F.filter(inside, lambda t: _at_level(t, level)), F.col(f"out{w}_")))
-        # one set of terms and one level, so that the subsets are computed by one expression
+        inside, every = F.col(f"in{w}_"), F.col(f"d{w}_")
         few = F.size(inside) < FEW
-        grouped = grouped.withColumn(f"few{w}_", few).withColumn(f"kept{w}_", F.when(few, every).otherwise(F.sort_array(inside))) \
-            .withColumn(f"level{w}_", F.when(few, level).otherwise(level_of(F.size(inside))))
-    for w in (0, 1):
-        f = fingerprint(F.col(f"kept{w}_"), F.col(f"level{w}_"), "t")
-        grouped = grouped.withColumn(f"f{w}_", f.withField("kind", F.when(F.col(f"few{w}_"), F.lit("a")).otherwise(F.lit("b"))))
+        kept = F.sort_array(F.when(few, F.concat(F.filter(inside, lambda t: _picked(t, every)), F.col(f"out{w}_"))).otherwise(inside))
+        level = F.when(few, F.log2(every.cast("double")).cast("int")).otherwise(level_of(F.size(inside)))
+        grouped = grouped.withColumn(f"f{w}_", _let(kept, lambda x: fingerprint(x, level, F.when(few, F.lit("a")).otherwise(F.lit("b")))))
     follow = Window.partitionBy("range_").orderBy("place_")
     out = grouped.select("range_", "place_", *facts, "f0_", "f1_").withColumn("next_f_", F.lead("f0_").over(follow)).filter(~F.col("guest_"))
     f0, f1, f2 = F.col("f0_"), F.col("f1_"), F.col("next_f_")
