@@ -15,6 +15,7 @@ from .decontaminate import contamination
 from .imatch import imatch
 from .packing import pack_documents
 from .pii import personal_data
+from .repeats import remove_repeats
 from .secrets_scan import secrets
 from .simhash import simhash_components
 from .token_shards import read_token_shards, write_token_shards
@@ -99,3 +100,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return imatch(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of the documents under a 400-byte string that also starts elsewhere, removed."""
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), size=400)
