@@ -12,6 +12,7 @@ from ledgershield.session import scratch_path
 
 from .common import table
 from .decontaminate import contamination
+from .html_extract import main_text
 from .imatch import imatch
 from .packing import pack_documents
 from .pii import personal_data
@@ -106,3 +107,9 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte of the documents under a 400-byte string that also starts elsewhere, removed."""
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), size=400)
+
+
+@query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
