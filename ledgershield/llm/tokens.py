@@ -4,8 +4,7 @@ The vocabulary's path is a parameter; the driver reads the file and its text tra
 executors need no copy of it.  Byte-level BPE of this family never merges across the pieces that its
 pattern splits a text into, and a space before a non-space always starts a piece.  So the ids of a text
 whose spaces are single are those of its space-separated units, each with the space before it, in order.
-``Encoder`` keeps the ids of units it has met (at most ``CACHE``, then it starts anew) and asks the
-library for the others.  Texts with runs of spaces, or with a character on whose class two Unicode
+``Encoder`` keeps the ids of the first ``CACHE`` units it meets and asks the library for the others.  Texts with runs of spaces, or with a character on whose class two Unicode
 versions might differ, go to the library whole.
 """
 
@@ -27,7 +26,7 @@ WHOLE = re.compile(r"[\x01-\x04\t\x0b-\x0d\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
 LOOSE = re.compile(r"[,.][ \n](?<![^\W_]..)", re.DOTALL)
 COMMA, STOP, LINE, FIRST = "\x01", "\x02", "\x03", "\x04"   # "," or "." or ".\n" right after a word; a word right after LINE
 TAILED = re.compile(r"([^\W\d_]+)([^\w\s]+)")
-CACHE = 1_500_000
+CACHE = 1_000_000
 TOGETHER, WORDS = 64, 64         # texts whose unknown units are learned together, words strung together
 
 
@@ -47,14 +46,14 @@ class Encoder:
             split = [self._units(t) for t in some]
             units = set().union(*(u[1:] for u in split if u))
             new = units.difference(self.cache)
+            before = len(self.cache)
             if new:
-                if len(self.cache) > CACHE:
-                    self.cache, self.tails = dict(self.marks), {}
-                    new = units.difference(self.cache)
                 self._learn(new)
             known = self.cache.__getitem__
             for text, u in zip(some, split):
                 yield self._whole(text) if u is None else self._whole(u[0]) + b"".join(map(known, u[1:]))
+            while len(self.cache) > max(before, CACHE):      # full: the units learned last go
+                self.cache.popitem()
 
     @staticmethod
     def _units(text: str) -> list[str] | None:
@@ -76,6 +75,8 @@ class Encoder:
         for m in tailed:
             tail = self.tails.get(m[2])
             if tail is None:
+                if len(self.tails) >= CACHE // 10:
+                    self.tails.clear()
                 tail = self.tails[m[2]] = self._whole(m[2])
             self.cache[m[0]] = self.cache[m[1]] + tail
         rest = [u for u in others if u not in self.cache]
