@@ -41,7 +41,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences."""
-    return pack_documents(docs, vocabulary_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    # the workers also served other stages: let them remember fewer units
+    return pack_documents(docs, vocabulary_path("byte_bpe_50k.json"), capacity=2048, end_id=0, keep_units=300_000)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages),

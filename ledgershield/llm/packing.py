@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
-from .tokens import encoder
+from .tokens import CACHE, encoder
 
 GROUP = 50_000
 
@@ -129,10 +129,11 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], length_col: str = "
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-                 text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+                 text_col: str = "text", keep_ids: bool = False, keep_units: int = CACHE) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) per piece: the document's token ids and ``end_id``, cut
-    into pieces of ``capacity`` of which the first may be shorter.  ids are little-endian 32-bit."""
-    build, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+    into pieces of ``capacity`` of which the first may be shorter.  ids are little-endian 32-bit.
+    ``keep_units`` bounds what a Python worker remembers (about 230 bytes a unit)."""
+    build, end = encoder(vocabulary, keep_units), np.array([end_id], "<u4").tobytes()
     schema = f"{_type(docs, id_col)}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,11 +163,11 @@ def _type(docs: DataFrame, id_col: str) -> str:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-                   text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+                   text_col: str = "text", keep_ids: bool = False, keep_units: int = CACHE) -> DataFrame:
     """One row per piece of every document row: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text has the end id alone.  Texts of any length are cut, never shortened.  Repeated
     rows and equal or null ids are packed row by row; extra columns are ignored; an empty table gives an
     empty result.  Sequence numbers start at 0 and every sequence is filled from offset 0 without gaps."""
-    pieces = written(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col, keep_ids), "pieces")
+    pieces = written(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col, keep_ids, keep_units), "pieces")
     return pack(pieces, capacity, [id_col, "piece", "start", "length", "ids_crc32"])

@@ -4,7 +4,7 @@ The vocabulary's path is a parameter; the driver reads the file and its text tra
 executors need no copy of it.  Byte-level BPE of this family never merges across the pieces that its
 pattern splits a text into, and a space before a non-space always starts a piece.  So the ids of a text
 whose spaces are single are those of its space-separated units, each with the space before it, in order.
-``Encoder`` keeps the ids of the first ``CACHE`` units it meets and asks the library for the others.  Texts with runs of spaces, or with a character on whose class two Unicode
+``Encoder`` keeps the ids of the first units it meets (``keep`` of them) and asks the library for the others.  Texts with runs of spaces, or with a character on whose class two Unicode
 versions might differ, go to the library whole.
 """
 
@@ -26,14 +26,15 @@ WHOLE = re.compile(r"[\x01-\x04\t\x0b-\x0d\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
 LOOSE = re.compile(r"[,.][ \n](?<![^\W_]..)", re.DOTALL)
 COMMA, STOP, LINE, FIRST = "\x01", "\x02", "\x03", "\x04"   # "," or "." or ".\n" right after a word; a word right after LINE
 TAILED = re.compile(r"([^\W\d_]+)([^\w\s]+)")
-CACHE = 1_000_000
+CACHE = 1_500_000
 TOGETHER, WORDS = 64, 64         # texts whose unknown units are learned together, words strung together
 
 
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, keep: int = CACHE) -> None:
+        self.keep = keep
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
         self.marks = {COMMA: self._whole(","), STOP: self._whole("."), LINE: self._whole(".\n")}
@@ -52,7 +53,7 @@ class Encoder:
             known = self.cache.__getitem__
             for text, u in zip(some, split):
                 yield self._whole(text) if u is None else self._whole(u[0]) + b"".join(map(known, u[1:]))
-            while len(self.cache) > max(before, CACHE):      # full: the units learned last go
+            while len(self.cache) > max(before, self.keep):      # full: the units learned last go
                 self.cache.popitem()
 
     @staticmethod
@@ -75,7 +76,7 @@ class Encoder:
         for m in tailed:
             tail = self.tails.get(m[2])
             if tail is None:
-                if len(self.tails) >= CACHE // 10:
+                if len(self.tails) >= self.keep // 10:
                     self.tails.clear()
                 tail = self.tails[m[2]] = self._whole(m[2])
             self.cache[m[0]] = self.cache[m[1]] + tail
@@ -99,16 +100,16 @@ def _pack(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def encoder(path: str) -> Callable[[], Encoder]:
+def encoder(path: str, keep: int = CACHE) -> Callable[[], Encoder]:
     """Gives the ``Encoder`` for the vocabulary at ``path``, one per Python worker."""
     vocabulary = Path(path).read_text(encoding="utf-8")
-    key = f"encoder of {path}"
+    key = f"encoder of {path}, {keep}"
 
     def build() -> Encoder:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # one thread per task; Spark runs the tasks
         kept = sys.modules.setdefault("_ledgershield_worker", ModuleType("_ledgershield_worker")).__dict__
         if key not in kept:
-            kept[key] = Encoder(vocabulary)
+            kept[key] = Encoder(vocabulary, keep)
         return kept[key]
     return build
