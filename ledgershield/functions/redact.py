@@ -101,8 +101,8 @@ def redact(df: DataFrame, text_col: str, detectors: tuple[Detector, ...] = DETEC
     absent, detector order), ``n_entities`` and one ``n_<type>`` per detector.
     A null text is treated as the empty string.
     """
-    from ..plans.joins import spread
-    df = spread(df)
+    from ..plans.joins import widen
+    df = widen(df)
     keep = df.columns
     acc = F.struct(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
                    F.array().cast(TOKENS_TYPE).alias("toks"),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..plans.joins import join_small, spread
+from ..plans.joins import widen
 
 
 def build_entries(calls: DataFrame, native_only: bool = False) -> DataFrame:
@@ -28,7 +28,7 @@ def build_entries(calls: DataFrame, native_only: bool = False) -> DataFrame:
     duration_ms, status, error, host.  Raw texts are hashed and dropped.
     ``response_hash`` is null for a null *or empty* response.
     """
-    e = spread(calls).select(
+    e = widen(calls).select(
         "seq", "timestamp", "tenant", "user", "tier", "model", "request_id",
         H.sha256_text(F.coalesce(F.col("prompt_text"), F.lit(""))).alias("prompt_hash"),
         F.when(F.col("redacted_prompt_text").isNotNull(), H.sha256_text(F.col("redacted_prompt_text")))
@@ -72,7 +72,7 @@ def dense_seq(df: DataFrame, log_cols: list[str], order_col: str, out_col: str =
     counts = x.groupBy(*log_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*log_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*log_cols, "_bkt", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    out = join_small(x, offs, [*log_cols, "_bkt"])
+    out = x.join(offs, [*log_cols, "_bkt"])
     return out.withColumn(out_col, (F.col("_off") + F.col("_i")).cast("bigint")).drop("_bkt", "_i", "_off")
 
 
@@ -117,7 +117,7 @@ def scan_log(spark, path: str, log_cols: list[str] | None = None) -> DataFrame:
     splits = base.groupBy(*log_cols, "_f", "_b").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*log_cols).orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = splits.select(*log_cols, "_f", "_b", "_m0", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    j = join_small(base, offs, [*log_cols, "_f", "_b"])
+    j = base.join(offs, [*log_cols, "_f", "_b"])
     raw = F.col("value")
     return j.select(
         *log_cols,

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.patterns import (AP_TENANT_RE, AUTHZ_REASONS, CONTRACT_REASONS, CURRENCY_RE, DATA_CLASSES,
                                   DEFAULT_PRIVATE_MODEL, MODEL_INVOKE, PROPOSAL_REASONS, ROUTE_REASONS,
                                   SOVEREIGN_TENANT_RE)
-from ..plans.joins import join_small
 
 
 def full_match(col: Column, anchored_pattern: str) -> Column:
@@ -65,7 +64,7 @@ def model_route(requests: DataFrame, policies: DataFrame) -> DataFrame:
         "tenant_id", F.col("allowed_external_models").alias("_models"),
         F.col("allowed_external_classes").alias("_classes"), F.col("private_model").alias("_private"),
         F.col("external_egress_enabled").alias("_egress"))
-    j = join_small(requests, pol, "tenant_id", "left")
+    j = requests.join(pol, "tenant_id", "left")
     models = F.coalesce(F.col("_models"), F.array().cast("array<string>"))
     classes = F.coalesce(F.col("_classes"), F.array().cast("array<string>"))
     private = F.coalesce(F.col("_private"), F.lit(DEFAULT_PRIVATE_MODEL))
@@ -104,27 +103,33 @@ def check_contracts(contracts: DataFrame) -> DataFrame:
     return contracts.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
+NUMBER_RE = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+
+
 def check_proposals(proposals: DataFrame, contracts: DataFrame) -> DataFrame:
     """Validate proposals against the contract of their agent.
 
     proposals: proposal_id, agent_id, tenant_id, invoice_id, action, amount_raw,
     currency, evidence_id, idempotency_key.  A proposal whose agent has no valid
-    contract is rejected first ('no valid contract').  Amount is parsed with
-    ``try_cast`` to DECIMAL(18,2): NaN, infinities and garbage become null and
-    fail, 0 passes, negatives fail.  Adds amount, valid, reason.
+    contract is rejected first ('no valid contract').  The amount
+    must be a finite number that is not negative, judged on its text: NaN, infinities and garbage fail, 0
+    and -0 pass, -0.004 fails, any number of digits and exponents pass.  Adds amount (to ten decimals, null
+    beyond DECIMAL(38,10)), valid, reason.
     """
     c = check_contracts(contracts).select(
         "agent_id", F.col("tenant_id").alias("_c_tenant"), F.col("allowed_actions").alias("_c_actions"),
         F.col("valid").alias("_c_valid"))
     # contracts are keyed by agent and can be as many as agents: plain equi-join
     j = proposals.join(c, "agent_id", "left")
-    amount = F.expr("try_cast(amount_raw AS DECIMAL(18,2))")
+    amount = F.expr("try_cast(amount_raw AS DECIMAL(38,10))")
+    raw = F.trim(F.coalesce(F.col("amount_raw"), F.lit("")))
+    negative = raw.startswith("-") & F.regexp_replace(raw, "[eE].*$", "").rlike("[1-9]")
     empty = lambda col: F.coalesce(F.col(col), F.lit("")) == ""
     reason = first_failure([
         (~F.coalesce(F.col("_c_valid"), F.lit(False)), "no valid contract"),
         (~F.coalesce(F.col("tenant_id") == F.col("_c_tenant"), F.lit(False)), PROPOSAL_REASONS[0]),
         (~F.coalesce(F.array_contains(F.col("_c_actions"), F.col("action")), F.lit(False)), PROPOSAL_REASONS[1]),
-        (amount.isNull() | (amount < 0), PROPOSAL_REASONS[2]),
+        (~raw.rlike(NUMBER_RE) | negative, PROPOSAL_REASONS[2]),
         (~full_match(F.col("currency"), CURRENCY_RE), PROPOSAL_REASONS[3]),
         (empty("invoice_id") | empty("evidence_id") | empty("idempotency_key"), PROPOSAL_REASONS[4]),
     ])

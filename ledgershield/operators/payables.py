@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.joins import join_small
 from .treasury import money
 
 SUM = "decimal(28,2)"
@@ -32,7 +31,7 @@ def _sum0(c: Column) -> Column:
 def with_chf(df: DataFrame, rates: DataFrame, ccy_col: str = "currency", amount_col: str = "amount",
              out_col: str = "amount_chf") -> DataFrame:
     r = rates.select(F.col("ccy").alias("_ccy"), F.col("rate_to_chf").alias("_rate"))
-    j = join_small(df, r, F.col(ccy_col) == F.col("_ccy"), "left")
+    j = df.join(r, F.col(ccy_col) == F.col("_ccy"), "left")
     return j.withColumn(out_col, money(F.col(amount_col) * F.col("_rate"))).drop("_ccy", "_rate")
 
 
@@ -188,15 +187,14 @@ def cash_position(accounts: DataFrame, rates: DataFrame) -> DataFrame:
     """balance x rate -> CHF per account, then one aggregation with grouping
     sets: per currency, per owner and the group total (level column)."""
     a = with_chf(accounts, rates, amount_col="balance_native", out_col="balance_chf")
-    a.createOrReplaceTempView("_ls_cash_accounts")
-    return a.sparkSession.sql("""
-        SELECT CASE WHEN grouping(currency) = 0 THEN 'currency'
-                    WHEN grouping(owner) = 0 THEN 'owner' ELSE 'total' END AS level,
-               currency, owner, count(1) AS n_accounts,
-               CASE WHEN grouping(currency) = 0 THEN CAST(sum(balance_native) AS DECIMAL(28,2)) END AS balance_native,
-               CAST(sum(balance_chf) AS DECIMAL(28,2)) AS balance_chf
-        FROM _ls_cash_accounts
-        GROUP BY GROUPING SETS ((currency), (owner), ())""")
+    by = [F.col("currency"), F.col("owner")]
+    of_currency = F.grouping("currency") == 0
+    return (a.groupingSets([[by[0]], [by[1]], []], *by)
+            .agg(F.when(of_currency, "currency").when(F.grouping("owner") == 0, "owner").otherwise("total").alias("level"),
+                 F.count(F.lit(1)).alias("n_accounts"),
+                 F.when(of_currency, F.sum("balance_native").cast(SUM)).alias("balance_native"),
+                 F.sum("balance_chf").cast(SUM).alias("balance_chf"))
+            .select("level", "currency", "owner", "n_accounts", "balance_native", "balance_chf"))
 
 
 def cash_forecast(accounts: DataFrame, invoices: DataFrame, rates: DataFrame, as_of: str,
@@ -214,7 +212,7 @@ def cash_forecast(accounts: DataFrame, invoices: DataFrame, rates: DataFrame, as
     acc = with_chf(accounts, rates, amount_col="balance_native", out_col="balance_chf") \
         .select("account_number", "owner", "currency", "balance_chf")
     r = rates.select(F.col("ccy").alias("currency"), "rate_to_chf")
-    acc = join_small(acc, r, "currency", "left")
+    acc = acc.join(r, "currency", "left")
     j = out.join(acc, "account_number")
     j = j.withColumn("outflow_chf", money(-F.col("gross") * F.col("rate_to_chf")))
     w = (Window.partitionBy("account_number").orderBy("date")

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from ..functions.patterns import DEFAULT_RULES, DEFAULT_TIER, TIERS
 from ..functions.redact import sensitivity_total
-from ..plans.joins import join_small
 
 RULE_TYPE = T.StructType([
     T.StructField("rule_no", T.IntegerType()),
@@ -106,7 +105,7 @@ def with_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """Left join requests to their tenant policy (broadcast after a size check).
     A tenant without a policy row gets the defaults; ``policy_found`` says so."""
     default_rules = _rules_literal(_policy_row("_", None)[4])
-    j = join_small(requests, policies, "tenant", "left")
+    j = requests.join(policies, "tenant", "left")
     return j.select(
         *[F.col(c) for c in requests.columns],
         F.coalesce(F.col("name"), F.col("tenant")).alias("policy_name"),

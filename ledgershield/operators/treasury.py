@@ -8,8 +8,8 @@ rate_to_chf with gaps; CHF is implicit (rate 1).
 
 Scale notes: the group keys here are few (entities, currencies, banks), so
 every aggregate relies on map-side partial aggregation and never on a window
-over transactions.  Rates are a calendar-sized table: filled once, checked
-for size, then broadcast into an equi-join on (currency, date).
+over transactions.  Rates are a calendar-sized table, filled per currency and
+joined on (currency, date); Catalyst and AQE pick the join by its real size.
 """
 
 from __future__ import annotations
@@ -17,11 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.joins import join_small
 
 MONEY = "decimal(18,2)"
 RATE = "decimal(18,8)"
-CALENDAR_END = "2001-12-31"
 
 
 def money(c: Column) -> Column:
@@ -30,36 +28,41 @@ def money(c: Column) -> Column:
 
 # ------------------------------------------------------------------ FX ----
 
-def fx_fill(rates: DataFrame, end: str = CALENDAR_END) -> DataFrame:
-    """As-of rates: one row per (ccy, day) from the first known rate of the
-    currency to ``end``, carrying the last known rate forward over gaps.
-
-    The calendar is densified per currency with ``sequence`` (no cross join);
-    the forward fill is a window per currency over this small table only,
-    never over the transactions.  Days before a currency's first rate have no
-    row, so amounts on them convert to null (documented choice)."""
-    bounds = rates.groupBy("ccy").agg(F.min("date").alias("lo"))
-    cal = bounds.select("ccy", F.explode(F.sequence(F.col("lo"), F.lit(end).cast("date"))).alias("date"))
-    j = cal.join(rates.select("ccy", "date", "rate_to_chf"), ["ccy", "date"], "left")
-    w = Window.partitionBy("ccy").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return j.select("ccy", "date", F.last("rate_to_chf", ignorenulls=True).over(w).cast(RATE).alias("rate_to_chf"))
-
-
-def rates_at(filled: DataFrame, as_of: str) -> DataFrame:
-    """(ccy, rate_to_chf) on one day, CHF included with rate 1."""
-    day = filled.where(F.col("date") == F.lit(as_of).cast("date")).select("ccy", "rate_to_chf")
-    chf = filled.sparkSession.createDataFrame([("CHF",)], "ccy string").select(
+def fx_fill(rates: DataFrame) -> DataFrame:
+    """As-of rates: one row per (ccy, day) from the first to the last known rate of the currency, carrying
+    the rate forward over gaps.
+
+    Each rate is valid up to the day before the next one; the days are listed with ``sequence``, per
+    currency over this small table only, never over the transactions.  Days before a currency's first rate
+    have no row, so amounts on them convert to null (documented choice); days after its last rate keep
+    that rate, whatever their date (see ``to_chf``)."""
+    w = Window.partitionBy("ccy").orderBy("date")
+    until = F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date"))
+    spans = rates.select("ccy", "date", F.col("rate_to_chf").cast(RATE).alias("rate_to_chf"), until.alias("until"))
+    return spans.select("ccy", F.explode(F.sequence("date", "until")).alias("date"), "rate_to_chf")
+
+
+def rates_at(rates: DataFrame, as_of: str) -> DataFrame:
+    """(ccy, rate_to_chf) in force on one day: the last rate up to it; CHF included with rate 1."""
+    day = (rates.where(F.col("date") <= F.lit(as_of).cast("date")).groupBy("ccy")
+           .agg(F.max_by("rate_to_chf", "date").cast(RATE).alias("rate_to_chf")))
+    chf = rates.sparkSession.createDataFrame([("CHF",)], "ccy string").select(
         "ccy", F.lit(1).cast(RATE).alias("rate_to_chf"))
     return day.unionByName(chf)
 
 
-def to_chf(txns: DataFrame, filled: DataFrame, ccy_col: str = "currency", date_col: str = "booking_date",
+def to_chf(txns: DataFrame, rates: DataFrame, ccy_col: str = "currency", date_col: str = "booking_date",
            amount_col: str = "amount", out_col: str = "amount_chf") -> DataFrame:
-    """As-of join: amount x the rate valid on the booking day (carried forward)."""
-    r = filled.select(F.col("ccy").alias("_ccy"), F.col("date").alias("_d"), F.col("rate_to_chf").alias("_rate"))
-    j = join_small(txns, r, (F.col(ccy_col) == F.col("_ccy")) & (F.col(date_col) == F.col("_d")), "left")
-    rate = F.when(F.col(ccy_col) == "CHF", F.lit(1).cast(RATE)).otherwise(F.col("_rate"))
-    return j.withColumn(out_col, money(F.col(amount_col) * rate)).drop("_ccy", "_d", "_rate")
+    """As-of join: amount x the rate in force on the booking day.  Within the range of the known rates that
+    is an equi-join with the filled days, after it one with the last rate of each currency."""
+    r = fx_fill(rates).select(F.col("ccy").alias("_ccy"), F.col("date").alias("_d"), F.col("rate_to_chf").alias("_rate"))
+    last = rates.groupBy(F.col("ccy").alias("_lccy")).agg(
+        F.max("date").alias("_ld"), F.max_by("rate_to_chf", "date").cast(RATE).alias("_lrate"))
+    j = txns.join(r, (F.col(ccy_col) == F.col("_ccy")) & (F.col(date_col) == F.col("_d")), "left")
+    j = j.join(last, F.col(ccy_col) == F.col("_lccy"), "left")
+    known = F.coalesce(F.col("_rate"), F.when(F.col(date_col) > F.col("_ld"), F.col("_lrate")))
+    rate = F.when(F.col(ccy_col) == "CHF", F.lit(1).cast(RATE)).otherwise(known)
+    return j.withColumn(out_col, money(F.col(amount_col) * rate)).drop("_ccy", "_d", "_rate", "_lccy", "_ld", "_lrate")
 
 
 def _in(c: str = "amount") -> Column:
@@ -109,7 +112,8 @@ def cashflow_monthly(conv: DataFrame) -> DataFrame:
     """count, in, out, net (CHF) per booking month 'yyyy-MM'."""
     return (conv.groupBy(F.date_format("booking_date", "yyyy-MM").alias("month"))
             .agg(F.count(F.lit(1)).alias("n_txns"), _sum0(_in("amount_chf")).alias("in_chf"),
-                 _sum0(_out("amount_chf")).alias("out_chf"))
+                 _sum0(_out("amount_chf")).alias("out_chf"),
+                 F.count(F.when(F.col("amount").isNotNull() & F.col("amount_chf").isNull(), 1)).alias("n_unconverted"))
             .withColumn("net_chf", F.col("in_chf") - F.col("out_chf")))
 
 
@@ -121,9 +125,9 @@ def name_key(c: Column) -> Column:
 
 def classify_intercompany(conv: DataFrame, group_names: DataFrame) -> DataFrame:
     """Adds ``is_internal``: the counterparty is a reporting entity of the group
-    (normalised-name lookup against a broadcast, size-checked name list)."""
+    (normalised-name lookup against the name list)."""
     names = group_names.select(F.col("name_key").alias("_nk")).distinct().withColumn("_hit", F.lit(True))
-    j = join_small(conv.withColumn("_ck", name_key(F.col("counterparty"))), names,
+    j = conv.withColumn("_ck", name_key(F.col("counterparty"))).join(names,
                    F.col("_ck") == F.col("_nk"), "left")
     return j.withColumn("is_internal", F.coalesce(F.col("_hit"), F.lit(False))).drop("_ck", "_nk", "_hit")
 
@@ -229,6 +233,7 @@ def treasury_summary(classified: DataFrame) -> DataFrame:
     counterparty by outflow and top entity by outflow.  The two 'top' values
     come from small per-key aggregates, not from the transactions."""
     tot = classified.agg(
+        F.count(F.when(F.col("amount").isNotNull() & F.col("amount_chf").isNull(), 1)).alias("n_unconverted"),
         F.countDistinct(account_of(F.col("entity"), F.col("bank"), F.col("currency"))).alias("n_accounts"),
         F.min("booking_date").alias("first_date"), F.max("booking_date").alias("last_date"),
         _sum0(_in("amount_chf")).alias("in_chf"), _sum0(_out("amount_chf")).alias("out_chf"),

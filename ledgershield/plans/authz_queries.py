@@ -115,16 +115,16 @@ PROPOSALS_CTE = """props AS (
 
 @register("ap_proposal_check", "2.2", f"""WITH {CONTRACTS_CTE}, {PROPOSALS_CTE},
 j AS (SELECT p.*, c.tenant_id AS c_tenant, c.allowed_actions AS c_actions, c.reason IS NULL AND c.agent_id IS NOT NULL AS c_valid,
-             TRY_CAST(p.amount_raw AS DECIMAL(18,2)) AS amount
+             TRY_CAST(p.amount_raw AS DOUBLE) AS amount
       FROM props p LEFT JOIN cchk c USING (agent_id)),
 r AS (SELECT *, CASE WHEN NOT c_valid THEN 'no valid contract'
                      WHEN tenant_id <> c_tenant THEN 'cross-tenant AP proposal'
                      WHEN NOT coalesce(list_contains(c_actions, action), FALSE) THEN 'action not authorised'
-                     WHEN amount IS NULL OR amount < 0 THEN 'invalid amount'
+                     WHEN amount IS NULL OR NOT isfinite(amount) OR amount < 0 THEN 'invalid amount'
                      WHEN NOT regexp_full_match(currency, '[A-Z]{{3}}') THEN 'invalid currency'
                      WHEN coalesce(invoice_id, '') = '' OR coalesce(evidence_id, '') = '' OR coalesce(idempotency_key, '') = ''
                           THEN 'missing evidence or idempotency reference' END AS reason FROM j)
-SELECT proposal_id, agent_id, amount::DOUBLE AS amount, reason IS NULL AS valid, reason FROM r""")
+SELECT proposal_id, agent_id, CASE WHEN isfinite(amount) THEN amount END AS amount, reason IS NULL AS valid, reason FROM r""")
 def ap_proposal_check(spark, sf_dir):
     r = AZ.check_proposals(D.ap_proposals(spark, sf_dir), D.ap_contracts(spark, sf_dir))
     return r.select("proposal_id", "agent_id", F.col("amount").cast("double").alias("amount"), "valid", "reason")

@@ -31,15 +31,8 @@ FX_CTE = f"""fx AS (
     SELECT {_ccy('s.s_nationkey')} AS ccy, l.l_shipdate::DATE AS date, sum(round(l.l_discount * 100)::BIGINT) AS c
     FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey GROUP BY 1, 2)
   WHERE ccy <> 'CHF' AND day(date) % 4 <> 0),
-fx_cal AS (
-  SELECT ccy, unnest(generate_series(lo::TIMESTAMP, TIMESTAMP '{TR.CALENDAR_END}', INTERVAL 1 DAY))::DATE AS date
-  FROM (SELECT ccy, min(date) AS lo FROM fx GROUP BY ccy)),
-fxf AS (
-  SELECT k.ccy, k.date, (last_value(f.rate_to_chf IGNORE NULLS) OVER (PARTITION BY k.ccy ORDER BY k.date
-         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DECIMAL(18,8) AS rate_to_chf
-  FROM fx_cal k LEFT JOIN fx f ON f.ccy = k.ccy AND f.date = k.date),
 ra AS (
-  SELECT ccy, rate_to_chf FROM fxf WHERE date = DATE '{AS_OF}'
+  SELECT ccy, arg_max(rate_to_chf, date) AS rate_to_chf FROM fx WHERE date <= DATE '{AS_OF}' GROUP BY ccy
   UNION ALL SELECT 'CHF' AS ccy, 1::DECIMAL(18,8) AS rate_to_chf)"""
 
 TXN_CTE = FX_CTE + f""",
@@ -56,7 +49,7 @@ txn AS (
 conv AS (
   SELECT t.*, round(t.amount * CASE WHEN t.currency = 'CHF' THEN 1::DECIMAL(18,8) ELSE f.rate_to_chf END, 2)
          ::DECIMAL(18,2) AS amount_chf
-  FROM txn t LEFT JOIN fxf f ON f.ccy = t.currency AND f.date = t.booking_date),
+  FROM txn t ASOF LEFT JOIN fx f ON f.ccy = t.currency AND t.booking_date >= f.date),
 cls AS (
   SELECT *, lower(trim(counterparty)) IN (SELECT lower(trim(n_name)) FROM nation) AS is_internal FROM conv)"""
 
@@ -117,9 +110,9 @@ pend AS (
          {_ccy('c.c_nationkey')} AS currency, o.o_orderdate::DATE AS execution_date,
          o.o_totalprice::DECIMAL(18,2) AS value,
          datediff('day', o.o_orderdate::DATE, DATE '{AS_OF}') AS days_in_auth,
-         datediff('day', o.o_orderdate::DATE, DATE '{AS_OF}') >= {PY.STUCK_DAYS} AS is_stuck
+         datediff('day', o.o_orderdate::DATE, DATE '{AS_OF}') >= 7 AS is_stuck
   FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
-  WHERE o.o_orderstatus = 'P' AND o.o_orderdate::DATE > DATE '{AS_OF}' - 30 AND o.o_orderdate::DATE <= DATE '{AS_OF}'),
+  WHERE o.o_orderstatus = 'P' AND o.o_orderdate::DATE <= DATE '{AS_OF}'),
 fc_out AS (
   SELECT debit_account AS account_number, due_date AS date, sum(gross)::DECIMAL(28,2) AS gross FROM opn
   WHERE due_date > DATE '{AS_OF}' AND due_date <= DATE '{AS_OF}' + 21 GROUP BY 1, 2),
@@ -141,13 +134,12 @@ def _s0(expr: str) -> str:
 
 
 def _fin(spark, sf_dir):
-    filled = TR.fx_fill(D.fx_rates(spark, sf_dir))
-    return filled, TR.rates_at(filled, AS_OF)
+    rates = D.fx_rates(spark, sf_dir)
+    return TR.fx_fill(rates), TR.rates_at(rates, AS_OF)
 
 
 def _conv(spark, sf_dir):
-    filled = TR.fx_fill(D.fx_rates(spark, sf_dir))
-    return TR.to_chf(D.bank_txns(spark, sf_dir), filled)
+    return TR.to_chf(D.bank_txns(spark, sf_dir), D.fx_rates(spark, sf_dir))
 
 
 def _cls(spark, sf_dir):
@@ -157,7 +149,9 @@ def _cls(spark, sf_dir):
 # ---------------------------------------------------------------- treasury --
 
 @register("fx_fill", "2.5", f"""WITH {FX_CTE}
-SELECT ccy, date, rate_to_chf FROM fxf""")
+SELECT d.ccy, d.date, f.rate_to_chf
+FROM (SELECT ccy, unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM fx GROUP BY ccy) d
+ASOF JOIN fx f ON f.ccy = d.ccy AND d.date >= f.date""")
 def fx_fill(spark, sf_dir):
     return _fin(spark, sf_dir)[0]
 
@@ -195,7 +189,7 @@ def flows_by_entity(spark, sf_dir):
 
 @register("cashflow_monthly", "2.6", f"""WITH {TXN_CTE}
 SELECT strftime(booking_date, '%Y-%m') AS month, count(*) AS n_txns, {_s0(_IN.format('amount_chf'))} AS in_chf,
-       {_s0(_OUT.format('amount_chf'))} AS out_chf,
+       {_s0(_OUT.format('amount_chf'))} AS out_chf, count(*) FILTER (WHERE amount_chf IS NULL) AS n_unconverted,
        {_s0(_IN.format('amount_chf'))} - {_s0(_OUT.format('amount_chf'))} AS net_chf
 FROM conv GROUP BY 1""")
 def cashflow_monthly(spark, sf_dir):
@@ -264,7 +258,7 @@ tc AS ({_TOP_CP_SQL.format(k=1)}),
 te AS (SELECT entity, {_s0('amount_chf')} AS o FROM cls WHERE direction = 'out' GROUP BY entity)
 SELECT count(DISTINCT {_ACCT_SQL}) AS n_accounts, min(booking_date) AS first_date, max(booking_date) AS last_date,
        {_s0(_IN.format('amount_chf'))} AS in_chf, {_s0(_OUT.format('amount_chf'))} AS out_chf, count(*) AS n_txns,
-       (SELECT counterparty FROM tc) AS top_counterparty,
+       count(*) FILTER (WHERE amount_chf IS NULL) AS n_unconverted, (SELECT counterparty FROM tc) AS top_counterparty,
        (SELECT entity FROM te ORDER BY o DESC, entity DESC LIMIT 1) AS top_entity_by_out,
        {_s0(_IN.format('amount_chf'))} - {_s0(_OUT.format('amount_chf'))} AS net_chf
 FROM cls""")

@@ -1,48 +1,18 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Partitioning of narrow scans."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-# Largest side we are willing to ship to every executor (rows).  Dimension
-# tables and policy/config tables sit far below it; anything above falls back
-# to a shuffle join that AQE may still convert at runtime from real sizes.
-BROADCAST_MAX_ROWS = 2_000_000
 
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast if its size is proven below the bound,
-    else a regular (shuffle) join."""
-    if fits(small, max_rows):
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
-def cond_and(*conds: Column) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def widen(df: DataFrame) -> DataFrame:
     """Give CPU-heavy per-row work (regex redaction, hashing) enough tasks.
 
-    A scan of a few large-row-group files arrives in very few partitions
-    (one task per row group); the regex work would then run on one core.  If
-    the planned partition count is below the cluster's parallelism, rows are
-    round-robin repartitioned; a scan that is already wide (the 100 TB case)
-    is left alone, so no shuffle is added there.  Planning only, no job."""
-    if df.isStreaming:  # micro-batches are partitioned by the source
+    A few files arrive in as few partitions (one task per row group), and the regex work would run on
+    as few cores.  Input of fewer files than the cluster has cores is dealt out round-robin; more files are
+    left alone, so no shuffle is added where the data are large.  The file list comes from the plan: no job
+    is started.  Micro-batches are partitioned by their source."""
+    if df.isStreaming:
         return df
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

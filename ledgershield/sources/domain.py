@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.joins import join_small
 from .tables import table
 
 
@@ -50,7 +49,7 @@ def prompt_requests(spark: SparkSession, sf_dir: str, orders: DataFrame | None =
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name",
                                                  "c_nationkey")
-    j = join_small(o, c, "o_custkey", "inner")
+    j = o.join(c, "o_custkey", "inner")
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     vendor = F.concat(F.lit("Vendor"), _s(ck), F.lit(" AG"))
     text = F.concat(
@@ -169,7 +168,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey",
                                                  "c_mktsegment")
-    j = join_small(o, c, "o_custkey", "inner")
+    j = o.join(c, "o_custkey", "inner")
     k = F.col("o_orderkey")
     issue = F.to_date(F.col("o_orderdate"))
     amount = F.col("o_totalprice").cast("decimal(18,2)")
@@ -211,7 +210,7 @@ def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_discount")
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    j = join_small(li, s, "l_suppkey")
+    j = li.join(s, "l_suppkey")
     d = F.to_date(F.col("l_shipdate"))
     g = (j.select(currency_of(F.col("s_nationkey")).alias("ccy"), d.alias("date"),
                   F.round(F.col("l_discount") * 100).cast("bigint").alias("cents"))
@@ -247,10 +246,10 @@ def bank_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     # lineitem x orders is the one big join (shuffle on the order key);
     # the others are dimension lookups, broadcast after a size check.
     j = li.join(o, "l_orderkey")
-    j = join_small(j, c, "o_custkey")
-    j = join_small(j, s, "l_suppkey")
-    j = join_small(j, ne, "e_nationkey")
-    j = join_small(j, ns, "s_nationkey")
+    j = j.join(c, "o_custkey")
+    j = j.join(s, "l_suppkey")
+    j = j.join(ne, "e_nationkey")
+    j = j.join(ns, "s_nationkey")
     sk = F.col("l_suppkey")
     cp = (F.when(sk % 37 == 0, F.lit("")).when(sk % 10 == 0, F.lower(F.col("s_nation")))
           .otherwise(F.col("s_name")))
@@ -285,7 +284,7 @@ def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                                "o_orderpriority")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    j = join_small(o, c, "o_custkey")
+    j = o.join(c, "o_custkey")
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     pr = F.col("o_orderpriority")
     return j.select(
@@ -380,7 +379,7 @@ def paid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                "o_orderdate")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey",
                                                  "c_mktsegment")
-    j = join_small(o.where(F.col("o_orderstatus").isin("F", "P")), c, "o_custkey")
+    j = o.where(F.col("o_orderstatus").isin("F", "P")).join(c, "o_custkey")
     k = F.col("o_orderkey")
     full = (F.col("o_orderstatus") == "F") | (k % 4 == 0)
     price = F.col("o_totalprice").cast("decimal(18,2)")
@@ -408,17 +407,17 @@ def paid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vendor_pay.unionByName(salary)
 
 
-def pending_payments(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, days: int = 30) -> DataFrame:
-    """Payments awaiting authorisation: partly settled orders whose execution
-    date falls in the ``days`` before the as-of day (inclusive)."""
+def pending_payments(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+    """Payments awaiting authorisation: partly settled orders whose execution date is on or before the
+    as-of day, however long ago."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                                "o_orderdate")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey",
                                                  "c_mktsegment")
     d = F.to_date(F.col("o_orderdate"))
     asof = F.lit(as_of).cast("date")
-    o = o.where((F.col("o_orderstatus") == "P") & (d > F.date_sub(asof, days)) & (d <= asof))
-    j = join_small(o, c, "o_custkey")
+    o = o.where((F.col("o_orderstatus") == "P") & (d <= asof))
+    j = o.join(c, "o_custkey")
     return j.select(
         F.concat(F.lit("PAY-"), _s(F.col("o_orderkey"))).alias("payment_id"),
         F.col("c_name").alias("beneficiary"),
@@ -441,7 +440,7 @@ def inventory_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     custody account per supplier nation and currency of the supplier."""
     s = table(spark, sf_dir, "supplier").select("s_nationkey")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    j = join_small(s, n, "s_nationkey").select(F.col("n_name").alias("entity"),
+    j = s.join(n, "s_nationkey").select(F.col("n_name").alias("entity"),
                                               currency_of(F.col("s_nationkey")).alias("currency")).distinct()
     return j.select("entity", F.lit("CUSTODY").alias("bank"), "currency",
                     F.concat_ws("-", F.upper(F.col("entity")), F.lit("CUSTODY"), F.col("currency")).alias("account"),
@@ -491,7 +490,7 @@ def pl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     revenues = net sales, cost_of_goods = -60 % of list price, opex = -tax."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    j = join_small(join_small(li, s, "l_suppkey"), _region_of(spark, sf_dir, "s_nationkey"), "s_nationkey")
+    j = li.join(s, "l_suppkey").join(_region_of(spark, sf_dir, "s_nationkey"), "s_nationkey")
     ext = F.col("l_extendedprice").cast("decimal(18,2)")
     period = F.concat(F.year("l_shipdate").cast("string"), F.lit("-Q"), F.quarter("l_shipdate").cast("string"))
     g = j.groupBy("entity", period.alias("period")).agg(
@@ -511,8 +510,8 @@ def bs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets and equity."""
     c = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_acctbal").cast("decimal(18,2)").alias("b"))
     s = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_acctbal").cast("decimal(18,2)").alias("b"))
-    cj = join_small(c, _region_of(spark, sf_dir, "c_nationkey"), "c_nationkey")
-    sj = join_small(s, _region_of(spark, sf_dir, "s_nationkey"), "s_nationkey")
+    cj = c.join(_region_of(spark, sf_dir, "c_nationkey"), "c_nationkey")
+    sj = s.join(_region_of(spark, sf_dir, "s_nationkey"), "s_nationkey")
     z = F.lit(0).cast("decimal(18,2)")
     ca = cj.groupBy("entity").agg(F.sum(F.when(F.col("b") > 0, F.col("b")).otherwise(z)).alias("assets"),
                                   (-F.sum(F.when(F.col("b") < 0, F.col("b")).otherwise(z))).alias("liabilities"))
