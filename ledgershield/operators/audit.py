@@ -2,8 +2,8 @@
 
 * ``build_entries``: hashes of texts and the body hash are row-local.
 * ``link_chain``: ``prev_hash`` = recorded hash of the previous entry of the
-  same log, by an equi self-join on (log, seq) = (log, seq - 1).  Unlike a
-  ``lag`` window this never funnels one huge log through a single task.
+  same log, by a lag within bounded buckets, so one huge log never runs
+  through a single task and gaps in the numbers do not matter.
 * ``dense_seq``: distributed zip-with-index per log (bounded row_number
   windows + a small table of bucket offsets).
 * ``write_log`` / ``scan_log``: JSON Lines in range-ordered part files; the scan
@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,24 @@ def build_entries(calls: DataFrame, native_only: bool = False) -> DataFrame:
                                            H.canonical_hash_udf(F.when(~safe, H.body_json()))))
 
 
-def link_chain(entries: DataFrame, log_cols: list[str], seq_col: str = "seq") -> DataFrame:
-    """Add prev_hash: the hash of the entry with seq - 1 in the same log (null first)."""
-    prev = entries.select(*log_cols, (F.col(seq_col) + 1).alias(seq_col), F.col("hash").alias("prev_hash"))
-    return entries.join(prev, [*log_cols, seq_col], "left")
+def link_chain(entries: DataFrame, log_cols: list[str], seq_col: str = "seq", last: DataFrame | None = None,
+               bucket_width: int = 1 << 20) -> DataFrame:
+    """Add prev_hash: the hash of the entry before in the same log by ``seq_col``, whatever the gaps.
+
+    ``seq_col`` is a unique number per log.  Entries are bucketed by ``seq_col // bucket_width``: a lag runs
+    within (log, bucket), so no window holds more than ``bucket_width`` entries, and the first entry of a
+    bucket takes the last hash of the bucket before from a (logs x buckets) table.  The first entry of a log
+    has null, or ``last_hash`` of ``last`` (log columns, last_hash) when an existing log is extended."""
+    x = entries.withColumn("_bkt", F.floor(F.col(seq_col) / F.lit(bucket_width)).cast("bigint"))
+    x = x.withColumn("_in", F.lag("hash").over(Window.partitionBy(*log_cols, "_bkt").orderBy(seq_col)))
+    ends = x.groupBy(*log_cols, "_bkt").agg(F.max_by("hash", seq_col).alias("_end"))
+    heads = ends.select(*log_cols, "_bkt", F.lag("_end").over(Window.partitionBy(*log_cols).orderBy("_bkt")).alias("_before"))
+    j = x.join(heads, [*log_cols, "_bkt"])
+    prev = F.coalesce("_in", "_before")
+    if last is not None:
+        j = j.join(last.select(*log_cols, "last_hash"), log_cols, "left") if log_cols else j.crossJoin(last.select("last_hash"))
+        prev = F.coalesce(prev, F.col("last_hash"))
+    return j.withColumn("prev_hash", prev).drop("_bkt", "_in", "_before", "last_hash")
 
 
 def dense_seq(df: DataFrame, log_cols: list[str], order_col: str, out_col: str = "seq",
@@ -84,18 +100,37 @@ def entry_line(entries: DataFrame) -> Column:
 
 
 def write_log(entries: DataFrame, path: str, log_cols: list[str] | None = None,
-              seq_col: str = "seq", n_files: int | None = None) -> None:
+              seq_col: str = "seq", n_files: int | None = None, batch: int = 0) -> None:
     """Write entries as JSON Lines: range-partitioned by (log, seq) and sorted
-    within files, so file-name order + line order = log order.  One folder per
-    log when ``log_cols`` is given (``partitionBy``).  Appends never rewrite."""
+    within files, so batch number + part number + line order = log order.  One
+    folder per log when ``log_cols`` is given (``partitionBy``), and in it one per
+    batch; writing a batch again replaces it, and no other batch is touched."""
     log_cols = log_cols or []
     n = n_files or max(1, entries.sparkSession.sparkContext.defaultParallelism)
     lines = entries.select(*log_cols, seq_col, entry_line(entries).alias("value"))
     ordered = lines.repartitionByRange(n, *log_cols, seq_col).sortWithinPartitions(*log_cols, seq_col)
-    w = ordered.drop(seq_col).write.mode("append")
     if log_cols:
-        w = w.partitionBy(*log_cols)
-    w.text(path)
+        ordered.drop(seq_col).withColumn("batch", F.lit(batch)).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy(*log_cols, "batch").text(path)
+    else:
+        ordered.drop(seq_col).write.mode("overwrite").text(f"{path}/batch={batch}")
+
+
+def last_batch(spark, path: str) -> int:
+    """Number of the newest batch of a log, from its file names."""
+    numbers = [int(n) for f in spark.read.text(path).inputFiles() for n in re.findall(r"/batch=(\d+)/", f)]
+    return max(numbers)
+
+
+def append_log(entries: DataFrame, path: str, log_cols: list[str] | None = None, seq_col: str = "seq") -> None:
+    """Extend an existing log: link ``entries`` (with hash, without prev_hash) to the last entry of each log,
+    and write them as the next batch."""
+    log_cols = log_cols or []
+    spark = entries.sparkSession
+    lines = scan_log(spark, path, log_cols)
+    last = lines.groupBy(*log_cols).agg(F.max_by("hash", "seq").alias("last_hash")) if log_cols \
+        else lines.agg(F.max_by("hash", "seq").alias("last_hash"))
+    write_log(link_chain(entries, log_cols, seq_col, last), path, log_cols, seq_col, batch=last_batch(spark, path) + 1)
 
 
 def scan_log(spark, path: str, log_cols: list[str] | None = None) -> DataFrame:
@@ -109,9 +144,12 @@ def scan_log(spark, path: str, log_cols: list[str] | None = None) -> DataFrame:
     """
     log_cols = log_cols or []
     base = (spark.read.text(path)
-            .where(F.trim(F.col("value")) != "")
+            .where(F.col("value").rlike(r"\S"))
             .select(*log_cols, "value",
-                    F.col("_metadata.file_path").alias("_f"),
+                    # numbers, not path text: part-100000 comes after part-99999
+                    F.struct(F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).try_cast("bigint").alias("batch"),
+                             F.regexp_extract(F.col("_metadata.file_path"), r"/part-(\d+)", 1).try_cast("bigint").alias("part"),
+                             F.col("_metadata.file_path").alias("path")).alias("_f"),
                     F.col("_metadata.file_block_start").alias("_b"))
             .withColumn("_m", F.monotonically_increasing_id()))
     splits = base.groupBy(*log_cols, "_f", "_b").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))

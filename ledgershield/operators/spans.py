@@ -1,61 +1,59 @@
 """Redaction from detector spans (the output form of an NER backend).
 
-Input ``spans``: doc_id, start (0-based), end (exclusive), entity_type,
-value (the covered text).  Steps, all per document:
-
-1. Overlaps: spans ordered by (start, longest first, type) form clusters of
-   mutually overlapping spans; the first span of each cluster wins.  (The
-   reference splices overlapping spans blindly, which corrupts the text; this
-   is our documented fix.)
-2. Tokens: one per distinct (type, value), numbered per type by first
-   occurrence, '[TYPE_NNNN]' as in the regex backend.
-3. Splice: one row per document with its sorted kept spans; the pieces are
-   cut from the text with ``substr`` inside ``transform`` (linear in the text).
-
-The windows are partitioned by document, so their size is bounded by one
-document, never by the corpus.
+Input ``spans``: doc_id, start (0-based), end (exclusive), entity_type.  Per document:
+
+1. Overlaps: spans ordered by (start, longest first, type) form clusters: a span that starts before the
+   end of any earlier one joins its cluster.  The whole stretch that a cluster covers is redacted, under the
+   type of its first span, so no character of any span stays.  (Blind splicing would corrupt the text.)
+2. Tokens: '[TYPE_NNNN]', numbered per type by first occurrence; an equal value gets the same token
+   again, whatever type a later span gives it.
+3. Splice: the pieces between the stretches and the tokens are joined inside the row.
+
+The window that finds the clusters is partitioned by document, so its size is bounded by one document's
+spans, never by the corpus; everything after it happens inside a document's row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def resolve_overlaps(spans: DataFrame) -> DataFrame:
-    w = (Window.partitionBy("doc_id").orderBy("start", F.desc("_len"), "entity_type")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    s = spans.withColumn("_len", F.col("end") - F.col("start"))
-    s = s.withColumn("_pm", F.max("end").over(w))
-    return s.where(F.col("_pm").isNull() | (F.col("start") >= F.col("_pm"))).drop("_len", "_pm")
-
-
-def number_tokens(kept: DataFrame) -> DataFrame:
-    first = kept.groupBy("doc_id", "entity_type", "value").agg(F.min("start").alias("_f"))
-    first = first.withColumn("_no", F.row_number().over(
-        Window.partitionBy("doc_id", "entity_type").orderBy("_f")))
-    j = kept.join(first, ["doc_id", "entity_type", "value"])
-    return j.withColumn("token", F.format_string("[%s_%04d]", F.col("entity_type"), F.col("_no"))).drop("_f", "_no")
+def clusters(spans: DataFrame) -> DataFrame:
+    """(doc_id, _sp): each document's redacted stretches (start, end, entity_type), in order."""
+    w = Window.partitionBy("doc_id").orderBy("start", F.desc("_len"), "entity_type")
+    s = spans.select("doc_id", "start", "end", "entity_type", (F.col("end") - F.col("start")).alias("_len"))
+    s = s.withColumn("_pm", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_no", F.row_number().over(w))
+    opens = F.col("_pm").isNull() | (F.col("start") >= F.col("_pm"))
+    s = s.withColumn("_c", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    one = s.groupBy("doc_id", "_c").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("entity_type", "_no").alias("entity_type"))
+    return one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type"))).alias("_sp"))
 
 
 def redact_by_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs (doc_id, text) + spans -> doc_id, redacted_text, stats
-    (map type -> distinct values), n_spans (kept)."""
-    tok = number_tokens(resolve_overlaps(spans))
-    st = (tok.groupBy("doc_id", "entity_type").agg(F.countDistinct("value").cast("int").alias("n"))
-          .groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n"))))
-                                 .alias("_stats")))
-    arr = tok.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("_sp"))
-    j = docs.select("doc_id", F.col(text_col).alias("_text")).join(arr.join(st, "doc_id"), "doc_id", "left")
-    text = F.col("_text")
-
-    def piece(s, i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("_sp"), i)["end"])
-        return F.concat(text.substr(prev_end + 1, s["start"] - prev_end), s["token"])
-    last_end = F.element_at(F.col("_sp"), -1)["end"]
-    body = F.concat(F.array_join(F.transform(F.col("_sp"), piece), ""), text.substr(last_end + 1, F.length(text) + 1))
-    return j.select(
-        "doc_id",
-        F.when(F.col("_sp").isNull(), text).otherwise(body).alias("redacted_text"),
-        F.coalesce(F.col("_stats"), F.create_map().cast("map<string,int>")).alias("stats"),
-        F.coalesce(F.size("_sp"), F.lit(0)).alias("n_spans"))
+    """docs (doc_id, text) + spans -> doc_id, redacted_text, stats (map type -> distinct values), n_spans
+    (redacted stretches)."""
+    j = docs.select("doc_id", F.col(text_col).alias("_text")).join(clusters(spans), "doc_id", "left")
+    text, sp = F.col("_text"), F.col("_sp")
+    # values once per row, then the distinct ones with the type of their first stretch
+    j = j.withColumn("_vals", F.transform(sp, lambda x: text.substr(x["start"] + 1, x["end"] - x["start"])))
+    j = j.withColumn("_keys", F.array_distinct("_vals"))
+    j = j.withColumn("_types", F.transform("_keys", lambda v: F.element_at(sp, F.array_position("_vals", v).cast("int"))["entity_type"]))
+
+    def token(v: Column) -> Column:
+        k = F.array_position("_keys", v).cast("int")
+        kind = F.element_at(F.col("_types"), k)
+        number = F.size(F.filter(F.slice(F.col("_types"), F.lit(1), k), lambda t: t == kind))
+        return F.format_string("[%s_%04d]", kind, number)
+    j = j.withColumn("_toks", F.transform("_vals", token))
+
+    def piece(s: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(sp, i)["end"])
+        return F.concat(text.substr(before + 1, s["start"] - before), F.element_at(F.col("_toks"), i + 1))
+    last_end = F.element_at(sp, -1)["end"]
+    body = F.concat(F.array_join(F.transform(sp, piece), ""), text.substr(last_end + 1, F.length(text) + 1))
+    kinds = F.array_sort(F.array_distinct("_types"))
+    stats = F.map_from_entries(F.transform(kinds, lambda t: F.struct(t, F.size(F.filter("_types", lambda u: u == t)))))
+    return j.select("doc_id", F.when(sp.isNull(), text).otherwise(body).alias("redacted_text"),
+                    F.coalesce(stats, F.create_map().cast("map<string,int>")).alias("stats"),
+                    F.coalesce(F.size("_sp"), F.lit(0)).alias("n_spans"))

@@ -101,6 +101,22 @@ def audit_scan(spark, sf_dir):
     return _written_shared_log(spark, sf_dir).select("seq", "request_id", "tier", "hash", "prev_hash")
 
 
+@register("audit_append_existing", "2.1", f"""WITH {ENTRIES_CTE}
+SELECT count(*)::BIGINT AS n_entries, 0::BIGINT AS n_broken, TRUE AS ok, 1::BIGINT AS n_first,
+       (SELECT arg_max(hash, seq) FROM entries) AS last_hash FROM entries""")
+def audit_append_existing(spark, sf_dir):
+    """Half of the calls (by median sequence number) are written, the others appended to that log; the
+    whole verifies and has one entry without a predecessor."""
+    e = _entries(spark, sf_dir)
+    middle = e.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0] or 0
+    path = scratch_path(spark, f"audit-append-{uuid.uuid4().hex}")
+    AU.write_log(AU.link_chain(e.where(F.col("seq") <= middle), []), path)
+    AU.append_log(e.where(F.col("seq") > middle), path)
+    lines = AU.scan_log(spark, path)
+    facts = lines.agg(F.count(F.when(F.col("prev_hash").isNull(), 1)).alias("n_first"), F.max_by("hash", "seq").alias("last_hash"))
+    return AU.verify_chain(lines).select("n_entries", "n_broken", "ok").crossJoin(facts)
+
+
 @register("chain_verify", "2.6", f"""WITH {ENTRIES_CTE}
 SELECT count(*)::BIGINT AS n_entries, 0::BIGINT AS n_broken, NULL::BIGINT AS broken_at, TRUE AS ok FROM entries""")
 def chain_verify(spark, sf_dir):

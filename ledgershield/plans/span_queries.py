@@ -22,11 +22,15 @@ sp AS (SELECT doc_id, start, start + length(word) AS e, 'PERSON' AS entity_type,
        SELECT doc_id, start, start + length(word) + 1 + length(nw), 'ORG', word || ' ' || nw FROM wn WHERE cap AND ncap),
 so AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY start, e - start DESC, entity_type
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM sp),
-kept AS (SELECT * FROM so WHERE pm IS NULL OR start >= pm),
-num AS (SELECT doc_id, entity_type, value, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY min(start)) AS no
-        FROM kept GROUP BY doc_id, entity_type, value),
-tok AS (SELECT k.doc_id, k.start, k.e, printf('[%s_%04d]', k.entity_type, n.no) AS token
-        FROM kept k JOIN num n ON n.doc_id = k.doc_id AND n.entity_type = k.entity_type AND n.value = k.value),
+cl AS (SELECT *, sum(CASE WHEN pm IS NULL OR start >= pm THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id
+              ORDER BY start, e - start DESC, entity_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM so),
+un AS (SELECT doc_id, c, min(start) AS start, max(e) AS e, first(entity_type ORDER BY start, e - start DESC, entity_type) AS entity_type
+       FROM cl GROUP BY doc_id, c),
+kept AS (SELECT un.*, substring(d.text, un.start + 1, un.e - un.start) AS value FROM un JOIN documents d USING (doc_id)),
+num AS (SELECT doc_id, value, ty AS entity_type, row_number() OVER (PARTITION BY doc_id, ty ORDER BY f) AS no
+        FROM (SELECT doc_id, value, min(start) AS f, arg_min(entity_type, start) AS ty FROM kept GROUP BY doc_id, value)),
+tok AS (SELECT k.doc_id, k.start, k.e, printf('[%s_%04d]', n.entity_type, n.no) AS token
+        FROM kept k JOIN num n ON n.doc_id = k.doc_id AND n.value = k.value),
 pc AS (SELECT t.doc_id, t.start, t.e,
               substring(d.text, coalesce(lag(t.e) OVER (PARTITION BY t.doc_id ORDER BY t.start), 0) + 1,
                         t.start - coalesce(lag(t.e) OVER (PARTITION BY t.doc_id ORDER BY t.start), 0)) || t.token AS piece

@@ -8,14 +8,13 @@ restarted driver or a lost executor resumes from the checkpoint instead of
 recomputing or double-writing.
 
 * ``stream_redact_route``: stateless: redaction columns + policy routing
-  (static, size-checked broadcast of the policy table) -> parquet sink.
-* ``stream_kpi_daily``: watermark + tumbling 1-day window per tier; rows
-  later than the watermark are dropped by Spark.
+  (static policy table) -> parquet sink.
+* ``stream_kpi_daily``: tumbling 1-day window per tier, one state row per day.
 * ``stream_audit_chain``: ``foreachBatch`` single writer; each micro-batch is
-  hashed in parallel, linked with the self-join, and chained to the last hash
-  of the previous batch (kept in a small state table).  The batch folder is
-  named by batch id and overwritten on replay: idempotent.
-* ``stream_dedupe``: ``dropDuplicatesWithinWatermark`` on the idempotency key.
+  hashed in parallel, linked within bounded buckets, and chained to the last
+  hash of the newest non-empty batch (kept in a small state table).  The batch
+  folder is named by batch id and overwritten on replay: idempotent.
+* ``stream_dedupe``: distinct idempotency keys, state without a watermark cut.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..operators import audit as AU
 from ..operators import redaction as RD
@@ -35,10 +35,14 @@ from ..sources.tables import table
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """File stream over one input table (schema taken from the batch scan)."""
-    schema = table(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    """File stream over one input table, a file or a folder of part files (schema taken from the batch scan)."""
+    batch = table(spark, sf_dir, name)
+    reader = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", max_files)
+    path = f"{sf_dir}/{name}.parquet"
+    if all(f.rstrip("/").endswith(f"/{name}.parquet") for f in batch.inputFiles()):
+        # a single file: the source watches folders, so watch its folder for that name
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
 
 
 def _run(df: DataFrame, name: str, mode: str = "append", fmt: str = "parquet",
@@ -75,13 +79,13 @@ def _upsert_windows(batch: DataFrame, batch_id: int, sink: str) -> None:
         os.path.join(sink, f"batch_id={batch_id}"))
 
 
-def stream_kpi_daily(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
-    """Per UTC day: calls, calls per tier (zero-filled) and entities redacted."""
+def stream_kpi_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per UTC day: calls, calls per tier (zero-filled) and entities redacted.  The state is one row per day,
+    kept without a watermark, so days that arrive late or out of order are complete."""
     ev = read_stream(spark, sf_dir, "events")
     calls = D.audit_calls(spark, sf_dir, ev).withColumn("ts", F.to_timestamp("timestamp"))
     total = F.aggregate(F.map_values("redaction_stats"), F.lit(0), lambda a, v: a + v)
-    agg = (calls.withWatermark("ts", watermark)
-           .groupBy(F.window("ts", "1 day").alias("w"))
+    agg = (calls.groupBy(F.window("ts", "1 day").alias("w"))
            .agg(F.count(F.lit(1)).alias("calls"),
                 F.count(F.when(F.col("tier") == "public", 1)).alias("public"),
                 F.count(F.when(F.col("tier") == "private", 1)).alias("private"),
@@ -102,27 +106,26 @@ class _ChainWriter:
         self.state_path = state_path
 
     def __call__(self, batch: DataFrame, batch_id: int, sink: str) -> None:
-        entries = AU.build_entries(batch)
-        linked = AU.link_chain(entries, [])
-        state = self._last(batch_id)
-        if state is not None:
-            last_seq, last_hash = state
-            linked = linked.withColumn(
-                "prev_hash", F.when(F.col("seq") == F.lit(last_seq + 1), F.lit(last_hash))
-                .otherwise(F.col("prev_hash")))
+        if batch.isEmpty():          # nothing to link; the state of the batch before stays the newest
+            return
+        last = self._last(batch_id)
+        # within a batch by sequence number, between batches by arrival
+        linked = AU.link_chain(AU.build_entries(batch), [], last=last)
         out = os.path.join(sink, f"batch_id={batch_id}")
         linked.write.mode("overwrite").parquet(out)
         lh = AU.last_hash(self.spark.read.parquet(out), []).withColumn("batch_id", F.lit(batch_id))
         lh.write.mode("overwrite").parquet(os.path.join(self.state_path, f"batch_id={batch_id}"))
 
-    def _last(self, batch_id: int):
-        """Last (seq, hash) written by an earlier batch (tiny state table)."""
+    def _last(self, batch_id: int) -> DataFrame | None:
+        """(last_hash) of the newest earlier batch; None before the first.  Any other read error is raised."""
         try:
             st = self.spark.read.parquet(self.state_path).where(F.col("batch_id") < batch_id)
-        except Exception:  # noqa: BLE001 - no state yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        r = st.agg(F.max_by(F.struct("last_seq", "last_hash"), "batch_id").alias("s")).collect()[0].s
-        return None if r is None or r.last_seq is None else (r.last_seq, r.last_hash)
+        row = st.orderBy(F.desc("batch_id")).select("last_hash").head()
+        return None if row is None else self.spark.createDataFrame([(row[0],)], "last_hash string")
 
 
 def stream_audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,9 +136,10 @@ def stream_audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).drop("batch_id")
 
 
-def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "30 days") -> DataFrame:
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct idempotency keys over the whole stream.  Event times follow no order across files, so the
+    state has no watermark cut: it holds each key once, spread over the shuffle partitions."""
     li = read_stream(spark, sf_dir, "lineitem")
     p = D.ap_proposals(spark, sf_dir, li).where(F.col("idempotency_key").isNotNull())
-    d = (p.withWatermark("proposed_at", delay).dropDuplicatesWithinWatermark(["idempotency_key"])
-         .select("idempotency_key"))
+    d = (p.select("idempotency_key").dropDuplicates(["idempotency_key"]))
     return spark.read.parquet(_run(d, "dedupe"))
