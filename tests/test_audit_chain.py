@@ -37,6 +37,7 @@ def log_lines(spark, tmp_path_factory):
     e = AU.link_chain(AU.build_entries(calls), [])
     path = str(tmp_path_factory.mktemp("log") / "intact")
     AU.write_log(e, path, n_files=3)
+    path = os.path.join(path, "batch=0")
     lines = []
     for f in sorted(os.listdir(path)):
         if f.startswith("part-"):
