@@ -48,17 +48,20 @@ def publish(df: DataFrame, root: str, dataset: str, as_of: str, source: str, key
     out = os.path.join(root, dataset, f"snapshot_as_of={as_of}")
     prev = latest_version(spark, root, dataset)
     fetched = F.current_timestamp()
-    (df.withColumn("source", F.lit(source)).write.mode("overwrite").json(out))
-    n = spark.read.json(out).count()
+    rows = df.withColumn("source", F.lit(source))
+    rows.write.mode("overwrite").json(out)
+    schema = rows.schema                    # decimals and dates come back as they went
+    n = spark.read.schema(schema).json(out).count()
     meta = spark.createDataFrame([(dataset, None, out, source, "ok", n, _bytes(spark, out), None, None)],
                                  META_SCHEMA)
     meta = meta.withColumn("snapshot_as_of", F.lit(as_of).cast("date")) \
         .withColumn("fetched_at", fetched).withColumn("parsed_at", F.current_timestamp())
-    meta.write.mode("append").parquet(os.path.join(root, "_meta"))
+    # one file per (dataset, version): publishing a version again replaces its row
+    meta.write.mode("overwrite").parquet(os.path.join(root, "_meta", dataset, as_of))
     d = {"added": 0, "changed": 0, "removed": 0}
     if prev is not None:
-        old = scan(spark, root, dataset).where(F.col("snapshot_as_of") == F.lit(prev).cast("date"))
-        new = scan(spark, root, dataset).where(F.col("snapshot_as_of") == F.lit(as_of).cast("date"))
+        old = scan(spark, root, dataset, schema).where(F.col("snapshot_as_of") == F.lit(prev).cast("date"))
+        new = scan(spark, root, dataset, schema).where(F.col("snapshot_as_of") == F.lit(as_of).cast("date"))
         counts = diff(old, new, key_cols).groupBy("change").count().collect()
         d.update({r["change"]: r["count"] for r in counts if r["change"] in d})
     run = {"dataset": dataset, "command": f"publish {dataset} {as_of}", "status": "ok", "exit_code": 0,
@@ -71,7 +74,7 @@ def publish(df: DataFrame, root: str, dataset: str, as_of: str, source: str, key
 
 
 def meta_scan(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(META_SCHEMA).parquet(os.path.join(root, "_meta"))
+    return spark.read.schema(META_SCHEMA).option("recursiveFileLookup", True).parquet(os.path.join(root, "_meta"))
 
 
 def latest_version(spark: SparkSession, root: str, dataset: str) -> str | None:
@@ -102,6 +105,28 @@ def archive_plan(meta: DataFrame, keep: int) -> DataFrame:
     return v.withColumn("rank", rk).withColumn("kept", F.col("rank") <= keep)
 
 
+def archive(spark: SparkSession, root: str, dataset: str, keep: int, keep_history: int) -> DataFrame:
+    """Keep the ``keep`` newest versions in place, move the next ``keep_history`` below _history and delete
+    the older ones; whole folders are renamed, no record is read.  Returns (dataset, snapshot_as_of, rank,
+    place: current, history or pruned), from what is on disk afterwards."""
+    def path(*parts: str):
+        return spark._jvm.org.apache.hadoop.fs.Path(os.path.join(root, *parts))
+    fs = path().getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for r in archive_plan(meta_scan(spark, root).where(F.col("dataset") == dataset), keep).orderBy("rank").collect():
+        folder = f"snapshot_as_of={r['snapshot_as_of'].isoformat()}"
+        here, there = path(dataset, folder), path("_history", dataset, folder)
+        if keep < r["rank"] <= keep + keep_history and fs.exists(here):
+            fs.mkdirs(there.getParent())
+            fs.rename(here, there)
+        elif r["rank"] > keep + keep_history:
+            for old in (here, there):
+                fs.delete(old, True)
+        place = "current" if fs.exists(here) else "history" if fs.exists(there) else "pruned"
+        rows.append((dataset, r["snapshot_as_of"], r["rank"], place))
+    return spark.createDataFrame(rows, "dataset string, snapshot_as_of date, rank int, place string")
+
+
 def diff(old: DataFrame, new: DataFrame, key_cols: list[str]) -> DataFrame:
     """Full outer join of two versions on the key with a content hash of the
     other columns: change = added | removed | changed | unchanged."""

@@ -16,60 +16,73 @@ from .audit_queries import ENTRIES_CTE
 from .finance_queries import TXN_CTE
 from .registry import register
 
-DATASET = "vendor_quarter"
-# (first day, as-of day) of the two published quarters
-QUARTERS = (("1999-01-01", "1999-03-31"), ("1999-04-01", "1999-06-30"))
+DATASET = "vendor_totals"
 SNAP_SCHEMA = T.StructType([
     T.StructField("vendor", T.StringType()), T.StructField("n_invoices", T.LongType()),
     T.StructField("total", T.DecimalType(28, 2)), T.StructField("source", T.StringType()),
 ])
 
-VQ_CTE = f"""vq AS (
-  SELECT 'Vendor ' || (o.o_custkey % 300)::VARCHAR AS vendor, q.as_of AS snapshot_as_of, count(*) AS n_invoices,
+VQ_CTE = """vd AS (SELECT DISTINCT make_date(year(o_orderdate::DATE), 12, 31) AS as_of FROM orders),
+vq AS (
+  SELECT 'Vendor ' || (o.o_custkey % 300)::VARCHAR AS vendor, vd.as_of AS snapshot_as_of, count(*) AS n_invoices,
          sum(o.o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS total
-  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
-  JOIN (VALUES {', '.join(f"(DATE '{lo}', DATE '{hi}')" for lo, hi in QUARTERS)}) q(lo, as_of)
-    ON o.o_orderdate::DATE BETWEEN q.lo AND q.as_of
+  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN vd ON o.o_orderdate::DATE <= vd.as_of
   GROUP BY 1, 2),
-q1 AS (SELECT * FROM vq WHERE snapshot_as_of = DATE '{QUARTERS[0][1]}'),
-q2 AS (SELECT * FROM vq WHERE snapshot_as_of = DATE '{QUARTERS[1][1]}'),
+q2 AS (SELECT * FROM vq WHERE snapshot_as_of = (SELECT max(as_of) FROM vd)),
+q1 AS (SELECT * FROM vq WHERE snapshot_as_of = (SELECT as_of FROM vd ORDER BY as_of DESC LIMIT 1 OFFSET 1)),
 df AS (SELECT coalesce(q1.vendor, q2.vendor) AS vendor,
               CASE WHEN q1.vendor IS NULL THEN 'added' WHEN q2.vendor IS NULL THEN 'removed'
                    WHEN q1.n_invoices <> q2.n_invoices OR q1.total <> q2.total THEN 'changed' ELSE 'unchanged' END AS change
        FROM q1 FULL OUTER JOIN q2 ON q1.vendor = q2.vendor)"""
 
+_ROOTS: dict[tuple[str, str], tuple[str, list[str]]] = {}
 
-def vendor_quarter(spark, sf_dir, lo: str, hi: str):
+
+def vendor_totals(spark, sf_dir, as_of: str):
+    """Totals per vendor over all invoices up to the day."""
     inv = D.invoices(spark, sf_dir)
-    return (inv.where(F.col("issue_date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    return (inv.where(F.col("issue_date") <= F.lit(as_of).cast("date"))
             .groupBy("vendor").agg(F.count(F.lit(1)).alias("n_invoices"),
                                    F.sum("amount").cast("decimal(28,2)").alias("total")))
 
 
-def _published(spark, sf_dir) -> str:
+def _publish_all(spark, sf_dir) -> tuple[str, list[str]]:
+    """One version per year end that has invoices, oldest first."""
     root = scratch_path(spark, f"snapshots-{uuid.uuid4().hex}")
-    for lo, hi in QUARTERS:
-        SN.publish(vendor_quarter(spark, sf_dir, lo, hi), root, DATASET, hi, "orders", ["vendor"])
-    return root
+    years = D.invoices(spark, sf_dir).select(F.year("issue_date").alias("y")).where("y is not null").distinct().collect()
+    dates = [f"{y:04d}-12-31" for y in sorted(r["y"] for r in years)]
+    for as_of in dates:
+        SN.publish(vendor_totals(spark, sf_dir, as_of), root, DATASET, as_of, "orders", ["vendor"])
+    return root, dates
+
+
+def _published(spark, sf_dir) -> tuple[str, list[str]]:
+    """The folder of versions, published once per session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROOTS:
+        _ROOTS[key] = _publish_all(spark, sf_dir)
+    return _ROOTS[key]
 
 
-def _versions(spark, root):
+def _versions(spark, published: tuple[str, list[str]]):
+    """The last two versions (an empty older one if there is one only)."""
+    root, dates = published
     s = SN.scan(spark, root, DATASET, SNAP_SCHEMA)
-    return (s.where(F.col("snapshot_as_of") == F.lit(QUARTERS[0][1]).cast("date")),
-            s.where(F.col("snapshot_as_of") == F.lit(QUARTERS[1][1]).cast("date")))
+    older = s.where(F.col("snapshot_as_of") == F.lit(dates[-2]).cast("date")) if len(dates) > 1 else s.limit(0)
+    return older, s.where(F.col("snapshot_as_of") == F.lit(dates[-1]).cast("date"))
 
 
 @register("snapshot_publish", "2.1", f"""WITH {VQ_CTE}
 SELECT '{DATASET}' AS dataset, snapshot_as_of, 'ok' AS status, count(*) AS n_rows FROM vq GROUP BY snapshot_as_of""")
 def snapshot_publish(spark, sf_dir):
-    root = _published(spark, sf_dir)
+    root, _ = _published(spark, sf_dir)
     return SN.meta_scan(spark, root).select("dataset", "snapshot_as_of", "status", "n_rows")
 
 
 @register("snapshot_scan", "2.1", f"""WITH {VQ_CTE}
 SELECT vendor, snapshot_as_of, n_invoices, total, 'orders' AS source FROM vq""")
 def snapshot_scan(spark, sf_dir):
-    root = _published(spark, sf_dir)
+    root, _ = _published(spark, sf_dir)
     return SN.scan(spark, root, DATASET, SNAP_SCHEMA).select("vendor", "snapshot_as_of", "n_invoices", "total",
                                                              "source")
 
@@ -78,22 +91,20 @@ def snapshot_scan(spark, sf_dir):
 SELECT '{DATASET}' AS dataset, snapshot_as_of, 'ok' AS status, 'orders' AS source, count(*) AS n_rows,
        TRUE AS has_bytes, TRUE AS parsed_after_fetch FROM vq GROUP BY snapshot_as_of""")
 def snapshot_meta_scan(spark, sf_dir):
-    root = _published(spark, sf_dir)
+    root, _ = _published(spark, sf_dir)
     m = SN.meta_scan(spark, root)
     return m.select("dataset", "snapshot_as_of", "status", "source", "n_rows", (F.col("bytes") > 0).alias("has_bytes"),
                     (F.col("parsed_at") >= F.col("fetched_at")).alias("parsed_after_fetch"))
 
 
-@register("snapshot_archive", "2.1", f"""WITH {VQ_CTE}
-SELECT '{DATASET}' AS dataset, snapshot_as_of,
-       dense_rank() OVER (ORDER BY snapshot_as_of DESC) AS rank,
-       dense_rank() OVER (ORDER BY snapshot_as_of DESC) <= 1 AS kept
-FROM (SELECT DISTINCT snapshot_as_of FROM vq)""")
+@register("snapshot_archive", "2.1", f"""WITH {VQ_CTE},
+r AS (SELECT as_of, dense_rank() OVER (ORDER BY as_of DESC) AS rank FROM vd)
+SELECT '{DATASET}' AS dataset, as_of AS snapshot_as_of, rank,
+       CASE WHEN rank <= 1 THEN 'current' WHEN rank <= 4 THEN 'history' ELSE 'pruned' END AS place FROM r""")
 def snapshot_archive(spark, sf_dir):
-    """Keep the newest version, the others go to history (keep = 1)."""
-    root = _published(spark, sf_dir)
-    return SN.archive_plan(SN.meta_scan(spark, root), keep=1).select(
-        "dataset", "snapshot_as_of", F.col("rank").cast("bigint").alias("rank"), "kept")
+    """The newest version stays, three go to history, older ones are deleted."""
+    root, _ = _publish_all(spark, sf_dir)
+    return SN.archive(spark, root, DATASET, keep=1, keep_history=3).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @register("snapshot_diff", "2.1", f"""WITH {VQ_CTE}
@@ -118,14 +129,14 @@ def join_snapshot_diff(spark, sf_dir):
 
 
 @register("ingest_run_log", "2.1", f"""WITH {VQ_CTE}
-SELECT '{DATASET}' AS dataset, 2::BIGINT AS n_runs, 2::BIGINT AS n_ok, (SELECT count(*) FROM vq) AS rows_written,
+SELECT '{DATASET}' AS dataset, (SELECT count(*) FROM vd) AS n_runs, (SELECT count(*) FROM vd) AS n_ok, (SELECT count(*) FROM vq) AS rows_written,
        (SELECT count(*) FROM df WHERE change = 'added') AS last_added,
        (SELECT count(*) FROM df WHERE change = 'changed') AS last_changed,
        (SELECT count(*) FROM df WHERE change = 'removed') AS last_removed""")
 def ingest_run_log(spark, sf_dir):
     """Run-level log of the publishes: runs, successes, rows and the file
     changes of the latest run per dataset."""
-    runs = SN.run_log(spark, _published(spark, sf_dir))
+    runs = SN.run_log(spark, _published(spark, sf_dir)[0])
     return runs.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n_runs"), F.count(F.when(F.col("exit_code") == 0, 1)).alias("n_ok"),
         F.sum("n_rows").alias("rows_written"),
