@@ -54,14 +54,15 @@ def tokens_long(redacted: DataFrame, id_cols: list[str]) -> DataFrame:
                 F.col("t.entity").alias("entity"))
 
 
-def rehydrate(responses: DataFrame, tokens: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def rehydrate(responses: DataFrame, tokens: DataFrame, key: str | list[str], text_col: str = "text") -> DataFrame:
     """Put original values back into response texts.
 
     ``tokens`` is a long table (key, token, value).  The token list of a key is
     gathered next to its response with one equi-join on ``key``; a key's token
     list is bounded by the size of its own prompt.
     """
-    per_key = tokens.groupBy(key).agg(
+    key = [key] if isinstance(key, str) else list(key)
+    per_key = tokens.groupBy(*key).agg(
         F.collect_list(F.struct(F.col("token"), F.col("value"), F.lit(None).cast("string").alias("entity")))
         .alias("_toks"))
     j = responses.join(per_key, key, "left")

@@ -112,10 +112,11 @@ def rehydrate(spark, sf_dir):
     """Responses echo the redacted prompt plus an unknown token; rehydration
     must give back the original prompt and leave the unknown token alone."""
     r = RD.redact_text(D.prompt_requests(spark, sf_dir), "text")
-    responses = r.select("request_id", F.concat(F.lit("Seen: "), F.col("redacted_text"),
+    key = ["o_orderkey", "request_id"]      # the short id alone is a label: two requests may share it
+    responses = r.select("o_orderkey", "request_id", F.concat(F.lit("Seen: "), F.col("redacted_text"),
                                                 F.lit(" [EMAIL_9999]")).alias("text"))
-    toks = RD.tokens_long(r, ["request_id"])
-    return RD.rehydrate(responses, toks, "request_id")
+    toks = RD.tokens_long(r, key)
+    return RD.rehydrate(responses, toks, key).drop("o_orderkey")
 
 
 def prompt_messages(spark, sf_dir) -> DataFrame:

@@ -236,16 +236,16 @@ def join_tokens(spark, sf_dir):
     table on (request_id, token) instead of a per-row map lookup.  Correct
     rehydration gives back the original text, which is the oracle."""
     red = RD.redact_text(D.prompt_requests(spark, sf_dir), "text")
-    toks = red.select("request_id", F.explode("tokens").alias("t")).select(
-        "request_id", F.col("t.token").alias("token"), F.col("t.value").alias("value"))
-    resp = red.select("request_id", F.col("redacted_text").alias("resp"))
+    toks = red.select("o_orderkey", "request_id", F.explode("tokens").alias("t")).select(
+        "o_orderkey", "request_id", F.col("t.token").alias("token"), F.col("t.value").alias("value"))
+    resp = red.select("o_orderkey", "request_id", F.col("redacted_text").alias("resp"))
     pat = r"\[[A-Z_]+_\d{4,}\]"
-    pieces = resp.select("request_id", "resp", F.posexplode_outer(F.split("resp", pat, -1)).alias("pos", "gap"),
+    pieces = resp.select("o_orderkey", "request_id", "resp", F.posexplode_outer(F.split("resp", pat, -1)).alias("pos", "gap"),
                          F.regexp_extract_all("resp", F.lit(pat), 0).alias("found"))
     pieces = pieces.withColumn("token", F.try_element_at("found", (F.col("pos") + 1).cast("int")))
-    j = pieces.join(toks, ["request_id", "token"], "left")
+    j = pieces.join(toks, ["o_orderkey", "request_id", "token"], "left")
     filled = F.concat(F.col("gap"), F.coalesce(F.col("value"), F.col("token"), F.lit("")))
-    g = j.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("pos", filled.alias("s")))).alias("a"))
+    g = j.groupBy("o_orderkey", "request_id").agg(F.array_sort(F.collect_list(F.struct("pos", filled.alias("s")))).alias("a"))
     return g.select("request_id", F.array_join(F.transform("a", lambda x: x["s"]), "").alias("text"))
 
 
