@@ -34,6 +34,7 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "phone": "+"}                 # a text without the character has no match
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"         # tokens with a digit or at sign
+PIECE = 1000                                         # code points of the pieces that masked texts are cut from
 CONTEXT, LONGEST, SHORTEST = 60, 64, 5               # characters of context looked at; bounds of an identifier
 ROUNDS, USEFUL, CONFIDENT = 3, 0.5, 0.9
 
@@ -182,6 +183,12 @@ def _annotated(docs: DataFrame, text_col: str, cols: list[str], keep_text: bool)
     return found.drop("cands_").join(extra, "row_", "left")
 
 
+def _every(rows: DataFrame) -> Column:
+    """Base and contextual spans in order."""
+    return F.array_sort(F.concat(F.col("base_"), F.transform(F.coalesce("extra_", F.array().cast(rows.schema["extra_"].dataType)),
+                                                           lambda x: F.struct(*[x[n].alias(n) for n in ("s", "o", "kind", "e")]))))
+
+
 def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
@@ -202,14 +209,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span in ``text_col`` replaced by its kind in brackets, such as ``[EMAIL]``, and
+    """``docs`` with every span in ``text_col`` replaced by its kind in brackets, such as ``[EMAIL]`` (spans that
+    overlap: their whole stretch, by the kind of the first), and
     ``length_col`` (if there is one) set to the new length.  Null texts stay null; texts without spans and all
     other columns stay as they are."""
     rows = _annotated(docs, text_col, docs.columns, True)
-    rows = _replace(rows, "text_", CANDIDATE, lambda m, k: F.get(F.transform(
-        F.filter("extra_", lambda x: x["k"] == k), lambda x: F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))), 0), F.col("extra_").isNotNull())
+    rows = _splice(rows, "text_", _every(rows))
+    # what a span had kept from matching can match now
     for kind in KINDS:
-        rows = _replace(rows, "text_", PATTERNS[kind], _mask_if_valid(kind), F.exists("base_", _of_kind(kind)))
+        rows = _replace(rows, "text_", PATTERNS[kind], _mask_if_valid(kind), (F.size("base_") > 0) | F.col("extra_").isNotNull())
     changed = (F.size("base_") > 0) | F.col("extra_").isNotNull()
 
     def column(i: int, c: str):
@@ -221,6 +229,35 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text", length_col: str
     return rows.select(*[column(i, c).alias(c) for i, c in enumerate(docs.columns)])
 
 
+def _splice(df: DataFrame, text: str, spans: Column) -> DataFrame:
+    """Replaces ``spans`` (in order) in one go; overlapping ones are one stretch.  The text is cut into pieces of
+    ``PIECE`` code points first, so that a cut far into it does not count its characters from the start."""
+    kept = [c for c in df.columns if c != text]
+    empty = F.array().cast("array<struct<s:int,e:int,kind:string>>")
+
+    def merge(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        own = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))
+        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), last["kind"].alias("kind"))
+        return F.when((F.size(acc) > 0) & (x["s"] < last["e"]), F.array_append(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.array_append(acc, own))
+
+    df = df.withColumn("cuts_", F.aggregate(spans, empty, merge))
+    df = df.withColumn("pieces_", F.when(F.size("cuts_") > 0, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+
+    def cut(s: Column, e: Column) -> Column:
+        first = F.floor(s / PIECE).cast("int")
+        held = F.slice(F.col("pieces_"), first + 1, F.floor(e / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(held, ""), s - first * PIECE + 1, e - s)
+
+    def part(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.get(F.col("cuts_"), i - 1)["e"])
+        return F.concat(cut(before, x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+    n = F.size("cuts_")
+    tail = cut(F.get(F.col("cuts_"), n - 1)["e"], F.size("pieces_") * PIECE)
+    joined = F.concat(F.array_join(F.transform("cuts_", part), ""), tail)
+    return df.withColumn(text, F.when(n > 0, joined).otherwise(F.col(text))).select(*kept, text)
+
+
 def _mask_if_valid(kind: str):
     return lambda m, k: F.when(VALID[kind](m), F.lit(f"[{kind.upper()}]"))
 

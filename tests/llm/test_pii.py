@@ -83,3 +83,21 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
     assert sorted(map(str, ((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()))) == sorted(map(str, [(1, None, 5), (1, None, 5), (None, "[EMAIL]", 7), (2, "", None)]))
     assert P.personal_data(df.limit(0)).count() == 0 and P.mask_personal_data(df.limit(0)).count() == 0
+
+
+def test_no_character_of_a_span_stays(spark):
+    texts = ["call +33.1.45.67.89.10 now", "card 4111 1111 1111 1111@shop.com now", "+1 234 567 8901 5555555@x.com", "é𝒳 a@b.co, c@d.ef" + " 日𝒳" * 1500 + " 1.2.3.4 x@y.zz",
+             "a@b.co" * 3 + "x" * 1000 + " a@b.co", "y" * 1000 + " +1 (569) 555-4877 end", *random_texts(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in P.mask_personal_data(df).collect()}
+    spans = {r["doc_id"]: [(int(s), int(e), k) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)] for r in P.personal_data(df).collect()}
+    assert got[0] == "call [PHONE] now" and got[1] == "card [CARD] now"
+    for i, t in enumerate(texts):
+        want, at = "", 0
+        for s, e, k in spans[i]:
+            want, at = (want + t[at:s] + f"[{k.upper()}]", e) if s >= at else (want, max(at, e))
+        want += t[at:]
+        # what the spans had kept from matching goes too
+        for k, p in BASE.items():
+            want = re.sub(p, lambda m: f"[{k.upper()}]" if valid(k, m[0]) else m[0], want)
+        assert got[i] == want, t[:80]
