@@ -2,14 +2,16 @@
 
 Everything is DataFrame expressions.  The base kinds are regular expressions; their matches are the seeds.
 
-1. Every token with a digit or an at sign is a candidate identifier.  Its context gives up to three lexical
-   patterns: the word before it, the two words before it, and the words on both sides.
+1. Every base match is an identifier as a whole, however long or short its tokens.  Every other token with a
+   digit or an at sign, and every run of number tokens (``555 123 4567``), of ``SHORTEST`` to ``LONGEST``
+   characters is a candidate.  Its context gives up to three lexical patterns: the word before its first
+   token, the two words before it, and the words on both sides.
 2. (pattern, identifier) pairs form a graph.  In turn, a pattern's confidence for a kind is the share of
    that kind among its distinct identifiers (less for rare patterns: two are added to the divisor), and an
    identifier's score is the probability that at least one of its patterns is right (noisy or).  Seeds keep
    score 1; after ``ROUNDS`` rounds, patterns that only unseen identifiers link to seeds have scores too.
-3. Tokens outside base spans whose score reaches ``CONFIDENT`` through a pattern of that confidence are
-   reported as ``context_<kind>``.
+3. Tokens and runs outside base spans whose score reaches ``CONFIDENT`` through a pattern of that confidence are
+   reported as ``context_<kind>``; a token in a reported run is not reported besides.
 
 Patterns and identifiers are aggregated before they are joined, and only patterns above ``USEFUL`` go on, so
 a word that stands before a third of all tokens is one row of partial sums per task.
@@ -34,8 +36,11 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "phone": "+"}                 # a text without the character has no match
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"         # tokens with a digit or at sign
+# two or more number tokens with one space between them: an identifier written in groups
+_GROUP = r"[0-9]++(?:[().+/-]++[0-9]++)*+\)?+"
+RUN = rf"(?<![^\s(\[{{<\"'])\+?\(?{_GROUP}(?:\x20\(?{_GROUP}(?![^\s)\]}}>\"'.,;:!?]))++"
 PIECE = 1000                                         # code points of the pieces that masked texts are cut from
-CONTEXT, LONGEST, SHORTEST = 60, 64, 5               # characters of context looked at; bounds of an identifier
+CONTEXT, LONGEST, SHORTEST = 60, 64, 5               # characters of context looked at; bounds of an unseen identifier
 ROUNDS, USEFUL, CONFIDENT = 3, 0.5, 0.9
 
 
@@ -87,7 +92,8 @@ def _spans(prefix: str) -> Column:
 
 def _valid_spans(prefix: str, order: int, kind: str) -> Column:
     valid = F.filter(_spans(prefix), lambda x: VALID[kind](x["m"]))
-    return F.transform(valid, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("o"), F.lit(kind).alias("kind"), x["e"].alias("e")))
+    return F.transform(valid, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("o"), F.lit(kind).alias("kind"), x["e"].alias("e"),
+                                                F.lower(x["m"]).alias("value")))
 
 
 def _of_kind(kind: str):
@@ -95,7 +101,7 @@ def _of_kind(kind: str):
 
 
 def with_base_spans(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: array of (s, o, kind, e) of the valid base matches, in order."""
+    """Adds ``out``: array of (s, o, kind, e, value) of the valid base matches, in order."""
     kept, names = df.columns, []
     for o, kind in enumerate(KINDS):
         df = _matches(df, text, PATTERNS[kind], f"{kind}_", HINTS.get(kind))
@@ -105,8 +111,9 @@ def with_base_spans(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.array_sort(F.concat(*names))).select(*kept, out)
 
 
-def with_candidates(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: array of (s, e, token, k, value, before, before2, after) of the candidate tokens."""
+def with_candidates(df: DataFrame, text: str, out: str, runs: str) -> DataFrame:
+    """Adds ``out``: array of (s, e, value, before, before2, after) of the tokens with a digit or at sign (a value
+    out of bounds is null: such a token is no candidate), and ``runs``: array of (s, e, value) of the number runs."""
     kept = df.columns
     df = _matches(df, text, CANDIDATE, "candidate_").withColumn("candidate_s", _spans("candidate_"))
 
@@ -119,13 +126,16 @@ def with_candidates(df: DataFrame, text: str, out: str) -> DataFrame:
         head = F.length(F.regexp_extract(x["m"], "^[(\\[{<\"']*+", 0))
         tail = F.length(F.regexp_extract(x["m"], "(?<![)\\]}>\"'.,;:!?])[)\\]}>\"'.,;:!?]++$", 0))
         start, end = x["s"] + head, x["e"] - tail
+        fits = F.length(x["m"]).between(SHORTEST, LONGEST) & (end - start >= SHORTEST)
         one = F.regexp_extract(left, r"(?<!\S)(\S++)\s++$", 1)
-        return F.struct(start.alias("s"), end.alias("e"), x["m"].alias("token"), x["k"].alias("k"),
-                        F.lower(F.substring(x["m"], head + 1, F.greatest(end - start, F.lit(0)))).alias("value"), clean(one).alias("before"),
-                        clean(F.regexp_extract(left, r"(?<!\S)(\S++\s++\S++)\s++$", 1)).alias("before2"),
+        return F.struct(start.alias("s"), end.alias("e"), F.when(fits, F.lower(F.substring(x["m"], head + 1, end - start))).alias("value"),
+                        clean(one).alias("before"), clean(F.regexp_extract(left, r"(?<!\S)(\S++\s++\S++)\s++$", 1)).alias("before2"),
                         clean(F.regexp_extract(right, r"^\s++(\S++)", 1)).alias("after"))
-    short = F.filter("candidate_s", lambda x: F.length(x["m"]).between(SHORTEST, LONGEST))
-    return df.withColumn(out, F.filter(F.transform(short, describe), lambda c: F.length(c["value"]) >= SHORTEST)).select(*kept, out)
+    df = df.withColumn(out, F.transform("candidate_s", describe)).select(*kept, out)
+    df = _matches(df, text, RUN, "run_").withColumn("run_s", _spans("run_"))
+    fitting = F.filter("run_s", lambda x: F.length(x["m"]).between(SHORTEST, LONGEST))
+    return df.withColumn(runs, F.transform(fitting, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("value")))) \
+        .select(*kept, out, runs)
 
 
 def score_identifiers(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -160,33 +170,49 @@ def score_identifiers(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame
         .select("value", F.col("t.kind").alias("kind"), F.col("t.score").alias("score"))
 
 
+def _overlap(x: Column, y: Column) -> Column:
+    return (x["s"] < y["e"]) & (y["s"] < x["e"])
+
+
+def _occurrences(found: DataFrame) -> DataFrame:
+    """(row_, s, e, value, before, before2, after, seed): every base span, and the runs and tokens that touch none."""
+    def untouched(x: Column) -> Column:
+        return ~F.exists("base_", lambda s: _overlap(x, s))
+
+    def held(x: Column, seed: Column) -> Column:
+        return F.struct(x.alias("x"), seed.cast("string").alias("seed"), F.filter("tokens_", lambda c: _overlap(c, x)).alias("in"))
+
+    def described(w: Column) -> Column:
+        first, last = F.get(w["in"], F.lit(0)), F.get(w["in"], F.size(w["in"]) - 1)
+        return F.struct(w["x"]["s"].alias("s"), w["x"]["e"].alias("e"), w["x"]["value"].alias("value"), first["before"].alias("before"),
+                        first["before2"].alias("before2"), last["after"].alias("after"), w["seed"].alias("seed"))
+    seeds = F.transform(F.transform("base_", lambda x: held(x, x["kind"])), described)
+    runs = F.transform(F.transform(F.filter("runs_", untouched), lambda x: held(x, F.lit(None))), described)
+    tokens = F.transform(F.filter("tokens_", lambda c: c["value"].isNotNull() & untouched(c)),
+                         lambda c: F.struct(*[c[n].alias(n) for n in ("s", "e", "value", "before", "before2", "after")], F.lit(None).cast("string").alias("seed")))
+    return found.select("row_", F.explode(F.concat(seeds, runs, tokens)).alias("c")).select("row_", "c.*")
+
+
 def _annotated(docs: DataFrame, text_col: str, cols: list[str], keep_text: bool) -> DataFrame:
-    """Written rows: ``cols`` as in0_, in1_, ..., text_ if asked for, base_ and extra_ (contextual spans,
-    with the candidate's number among all of the text's candidate tokens)."""
+    """Written rows: ``cols`` as in0_, in1_, ..., text_ if asked for, base_ and extra_ (contextual spans)."""
     kept = [f"in{i}_" for i in range(len(cols))] + ["text_"] * keep_text
     rows = docs.select(F.monotonically_increasing_id().alias("row_"), *[F.col(c).alias(n) for c, n in zip(cols, kept)],
                        F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    found = with_candidates(with_base_spans(rows, "text_", "base_"), "text_", "cands_")
-    found = written(found.select("row_", *kept, "base_", "cands_"), "pii_rows")
-    one = found.select("row_", "base_", F.explode("cands_").alias("c"))
-    clash = F.filter("base_", lambda s: (s["s"] < F.col("c.e")) & (F.col("c.s") < s["e"]))
-    one = one.withColumn("clash", clash)
-    # the first token of a base span stands for it; its other tokens are neither seeds nor unseen
-    first = F.filter("clash", lambda s: F.col("c.s") <= s["s"])
-    occurrences = one.select("row_", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.col("c.k").alias("k"), F.col("c.value").alias("value"),
-                             F.col("c.before").alias("before"), F.col("c.before2").alias("before2"), F.col("c.after").alias("after"),
-                             F.get(first, 0)["kind"].alias("seed"), (F.size("clash") > 0).alias("clashes")) \
-        .filter("seed is not null or not clashes")
+    found = with_candidates(with_base_spans(rows, "text_", "base_"), "text_", "tokens_", "runs_")
+    found = written(found.select("row_", *kept, "base_", "tokens_", "runs_"), "pii_rows")
+    occurrences = _occurrences(found)
     named = score_identifiers(occurrences)
-    extra = occurrences.filter("not clashes").join(named, "value").groupBy("row_").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("s"), F.lit(len(KINDS)).alias("o"), F.concat(F.lit("context_"), F.col("kind")).alias("kind"), F.col("e"), F.col("k")))).alias("extra_"))
-    return found.drop("cands_").join(extra, "row_", "left")
+    extra = occurrences.filter("seed is null").join(named, "value").groupBy("row_").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("s"), F.lit(len(KINDS)).alias("o"), F.concat(F.lit("context_"), F.col("kind")).alias("kind"), F.col("e")))).alias("all_"))
+    longest = F.filter("all_", lambda x: ~F.exists("all_", lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
+    extra = extra.select("row_", longest.alias("extra_"))
+    plain = F.transform("base_", lambda x: F.struct(*[x[n].alias(n) for n in ("s", "o", "kind", "e")]))
+    return found.select("row_", *kept, plain.alias("base_")).join(extra, "row_", "left")
 
 
 def _every(rows: DataFrame) -> Column:
     """Base and contextual spans in order."""
-    return F.array_sort(F.concat(F.col("base_"), F.transform(F.coalesce("extra_", F.array().cast(rows.schema["extra_"].dataType)),
-                                                           lambda x: F.struct(*[x[n].alias(n) for n in ("s", "o", "kind", "e")]))))
+    return F.array_sort(F.concat(F.col("base_"), F.coalesce("extra_", F.array().cast(rows.schema["base_"].dataType))))
 
 
 def _text_of(spans: Column) -> Column:
@@ -199,11 +225,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have no spans.  Texts of any length are searched whole.  Repeated rows give
     repeated results; null ids give rows too; extra columns are ignored; an empty table gives an empty
-    result.  Of base spans and contextual ones none overlap each other's tokens."""
+    result.  No contextual span overlaps a base one.  Unseen identifiers are single tokens or runs of number
+    tokens with one space between them, of 5 to 64 characters; base spans of any length teach contexts."""
     out = _annotated(docs, text_col, [id_col], False)
-    plain = F.transform(F.coalesce("extra_", F.array().cast("array<struct<s:int,o:int,kind:string,e:int,k:int>>")),
-                        lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), x["kind"].alias("kind"), x["e"].alias("e")))
-    every = F.array_sort(F.concat(F.col("base_"), plain))
+    every = _every(out)
     counts = [F.size(F.filter("base_", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select(F.col("in0_").alias(id_col), *counts, F.sha2(_text_of(F.col("base_")), 256).alias("base_sha256"), _text_of(every).alias("spans"))
 

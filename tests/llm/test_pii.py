@@ -85,6 +85,18 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert P.personal_data(df.limit(0)).count() == 0 and P.mask_personal_data(df.limit(0)).count() == 0
 
 
+def test_spaced_seeds_find_unseen_identifiers(spark):
+    def phone(i):
+        return f"+49 30 {1000000 + 7919 * i}" if i % 2 else f"+1 (569) 555-{4000 + i}"
+    rows = [(i, f"dear all please ring {phone(i)} before noon") for i in range(40)]
+    rows += [(100, "others wrote: please ring 555 0199 before noon"), (101, "others wrote: please ring (030)55501 before noon"), (102, "in 12 of 555 0198 cases")]
+    got = {r["doc_id"]: r for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = len("others wrote: please ring ")
+    assert all(got[i]["n_phone"] == 1 and "context" not in got[i]["spans"] for i in range(40))
+    assert got[100]["spans"] == f"context_phone:{at}:{at + len('555 0199')}"
+    assert got[101]["spans"].startswith("context_phone:") and got[102]["spans"] == ""
+
+
 def test_no_character_of_a_span_stays(spark):
     texts = ["call +33.1.45.67.89.10 now", "card 4111 1111 1111 1111@shop.com now", "+1 234 567 8901 5555555@x.com", "é𝒳 a@b.co, c@d.ef" + " 日𝒳" * 1500 + " 1.2.3.4 x@y.zz",
              "a@b.co" * 3 + "x" * 1000 + " a@b.co", "y" * 1000 + " +1 (569) 555-4877 end", *random_texts(1500)]
