@@ -31,15 +31,18 @@ BLOCK = set("""address article aside blockquote body caption center dd details d
 form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td
 tfoot th thead title tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script|style|noscript|template|iframe|svg|math|canvas|object|textarea|select|title|xmp|noembed|noframes"
+SKIPPED = "script|style|noscript|template|iframe|svg|canvas|object|textarea|select|title|noembed|noframes"
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}),
           "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"optgroup"})}
 NOT_CONTENT = {"nav", "aside", "footer", "form", "header", "menu", "dialog"}
 TELLING = re.compile(r"cookie|subscri|newsletter|advert|sponsor|copyright|©|all rights|privacy|terms|login|log in|sign ?(?:in|up)|share|repl(?:y|ies)|comment|"
                      r"related|read more|menu|search|follow us|click|accept|e-?mail|password", re.IGNORECASE)
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                   r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.IGNORECASE | re.DOTALL)
+# a quote opens a value only after "="; any other ends with its tag, and an unquoted value at white space or ">"
+ATTRS = r"""(?:=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)|[^>])*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SKIPPED})(?=[\s/>]){ATTRS}(?<!/)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|"
+                   rf"<xmp(?=[\s/>]){ATTRS}>(?P<raw>.*?)(?:</xmp\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{ATTRS})(?:>|\Z)",
+                   re.IGNORECASE | re.DOTALL)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 LABEL = re.compile(r'data-y="([01])"')
@@ -85,11 +88,17 @@ def leaf_blocks(page: str) -> list[Block]:
             if links:
                 link += m.start() - at
         at = m.end()
-        tag = m[3]
+        tag = m["tag"]
+        if m["raw"] is not None:        # its text is as it stands
+            flush()
+            stack.append(("xmp", "xmp"))
+            pieces.append(entities.escape(m["raw"]))
+            flush()
+            stack.pop()
         if not tag:
             continue
         tag = tag.lower()
-        if m[2]:
+        if m["end"]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK:
@@ -108,12 +117,12 @@ def leaf_blocks(page: str) -> list[Block]:
                     close(t, CLOSES[tag][1])
             elif stack and stack[-1][0] == "p":
                 stack.pop()
-            if tag not in VOID and not m[4].endswith("/"):
+            if tag not in VOID and not m["attrs"].endswith("/"):
                 named = tag
-                if m[4]:
-                    words = [w.lower() for x in NAMES.findall(m[4]) for w in WORDS.findall("".join(x))][:8]
-                    named = " ".join([tag, *words, *["hidden!"] * bool(HIDDEN.search(m[4]))])
-                    if y := LABEL.search(m[4]):
+                if m["attrs"]:
+                    words = [w.lower() for x in NAMES.findall(m["attrs"]) for w in WORDS.findall("".join(x))][:8]
+                    named = " ".join([tag, *words, *["hidden!"] * bool(HIDDEN.search(m["attrs"]))])
+                    if y := LABEL.search(m["attrs"]):
                         label = int(y[1])
                 stack.append((tag, named))
         elif tag == "br" or tag in VOID:

@@ -55,6 +55,17 @@ def test_leaf_blocks():
         H.leaf_blocks(odd)
 
 
+def test_custom_elements_formulas_and_stray_quotes_lose_no_text():
+    def texts(page):
+        return [b.text for b in H.leaf_blocks(page)]
+    for tag in ("svg-icon", "template-card", "select-menu", "object-view", "style-guide", "script-box"):
+        assert texts(f"<p>One</p><{tag}></{tag}><p>Two</p><{tag} class='a'>in<p>Three</p>") == ["One", "Two", "in", "Three"], tag
+    assert texts("<p>One</p><svg width=1><text>no</text></svg><style\n>no</style><SCRIPT>no</script><template>no</template><p>Two") == ["One", "Two"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><xmp>a <b> &amp; c</xmp><p>end") == ["so x=2 holds", "a <b> &amp; c", "end"]
+    assert texts("""<p class=x">One</p><p>Two "q" three</p>""") == ["One", 'Two "q" three']
+    assert texts("""<p '>One's</p><p class=a'b title="1>0">Two</p><p a=b="c>Three</p><p id = 'x>y'>Four""") == ["One's", "Two", "Three", "Four"]
+
+
 def truth(page):
     inside = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1].replace("<br>", " ")
     parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
