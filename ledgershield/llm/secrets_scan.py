@@ -4,8 +4,9 @@ Base kinds are regular expressions.  Beyond them, every run of 20 or more token
 For each character class (hexadecimal; letters, digits and signs) a window slides over the candidate's
 stretches of that class.  The entropy is updated from the counts of the character that leaves and the one
 that enters, so a step costs the same whatever the window.  Windows at or above the class's threshold
-are joined to spans of kind ``entropy``.  Suppressed are spans that an allow-list pattern covers, stretches
-without the mix of characters that keys have, and spans that overlap base ones.  Texts are never shuffled.
+are joined to spans of kind ``entropy``.  Suppressed are spans that an allow-list pattern covers and, of letters,
+digits and signs, windows that read like words: whose letter pairs are those of words rather than of random strings.
+Base spans are cut out of entropy spans, and the rest is kept.  Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")              # the stated [0-9a-f]+ of 16 characters or more: runs are maximal
 LEAST = {"assign": 12, "access": 18}
 
-WINDOW = 20
+WINDOW, REST, SIGNS = 20, 8, "+/_=-"
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
 CLASSES = (("hex", re.compile(rf"[0-9A-Fa-f]{{{WINDOW},}}"), 3.0), ("text", CANDIDATE, 3.85))
 # Harmless strings of high entropy (UUIDs, data-URI media types, alphabets, digests of nothing).
@@ -63,9 +64,55 @@ def high_windows(s: str, window: int, threshold: float) -> list[tuple[int, int]]
     return out
 
 
-def mixed(s: str) -> bool:
-    """Digits and letters in turn, as in keys: not words, numbers or identifiers with a numbered end."""
-    return sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:])) >= 4
+# Plain words of several languages and of identifiers, for the frequency of letter pairs.
+PLAIN = """the and that have with this from they would there their what about which when make like time just know take people into year your good some
+could them other than then look only come over think also back after work first well even want because these give most where through between another
+under never system number world area money story fact month different right study book word business issue side kind head house service friend father power
+hour game line member city community president team minute idea body information nothing ago lead social understand whether watch together follow around
+parent stop face anything create public already speak others read level allow add office spend door health person art sure such war history party within grow
+result open change morning walk reason low win research girl guy early food before moment himself air teacher force offer enough both education across although
+remember foot second boy maybe toward able age everything love process music including consider appear actually buy probably human wait serve market die send
+expect home sense build stay fall nation plan cut college interest death course someone experience behind reach local kill six remain effect use very long
+without any digits letters all in it path some module file name thing value string index list type class function method object test data user request response
+config settings default error message handler client server session manager factory service controller interface implementation abstract property attribute
+component container element document window event listener callback promise account invoice payment transaction reference description configuration
+application development production environment version library package import export source target directory resource template generator parser builder
+und der die das nicht ein eine ich sie wir werden haben sein mit auf fuer auch nach bei aus wie noch nur oder aber wenn schon mehr immer sehr wieder gegen
+zwischen Versicherung Gesellschaft Entwicklung Wirtschaft Regierung Rechnung Arbeit Zeit Jahr Leben Geschichte Verwaltung Bundes Strasse Kapitaen schaft keit
+les des est pas pour dans une sur avec qui que par plus tout comme mais nous vous leur fait entre temps sans monde toujours chose gouvernement homme histoire
+jour notre beaucoup travail pendant question politique developpement el los las por con para una como pero sus este cuando muy sin sobre tambien hasta hay donde
+quien desde todo nos durante todos uno les contra otros ese eso ante ellos porque trabajo tiempo gobierno desarrollo informacion nacional ciudad persona"""
+BROKEN = -1.5                                   # a digit beside a letter, or a capital after a small letter
+
+
+def _letter_pairs() -> dict[str, float]:
+    counts: dict[str, int] = {}
+    for w in PLAIN.lower().split():
+        for x in map("".join, zip(w, w[1:])):
+            counts[x] = counts.get(x, 0) + 1
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {a + b: math.log(26 * (counts.get(a + b, 0) + 0.5) / (sum(counts.get(a + c, 0) for c in letters) + 13)) for a in letters for b in letters}
+
+
+PAIRS = _letter_pairs()
+
+
+def odds(s: str) -> list[float]:
+    """Per character of ``s``, the log odds of words over random strings, given the character before it."""
+    return [0.0, *(BROKEN if a.isdigit() != b.isdigit() and a.isalnum() and b.isalnum() or a.islower() and b.isupper() else PAIRS.get((a + b).lower(), 0.0)
+                   for a, b in zip(s, s[1:]))]
+
+
+def unlike_words(s: str, window: int) -> list[tuple[int, int]]:
+    """Joined spans of the windows of ``s`` that are rather random than words."""
+    sums = [0.0]
+    for x in odds(s):
+        sums.append(sums[-1] + x)
+    out: list[tuple[int, int]] = []
+    for i in range(len(s) - window + 1):
+        if sums[i + window] - sums[i + 1] < 0:          # the first character's pair is not in the window
+            out.append((out.pop()[0] if out and i <= out[-1][1] else i, i + window))
+    return out
 
 
 class Scanner:
@@ -88,18 +135,20 @@ class Scanner:
         for at, token in _long_tokens(text, WINDOW):
             for m in CANDIDATE.finditer(token):
                 fine = [a.span() for p in self.allowed for a in p.finditer(m[0])]
-                for _, pattern, threshold in CLASSES:
+                for kind, pattern, threshold in CLASSES:
                     for run in pattern.finditer(m[0]):
-                        found += [(at + m.start() + run.start() + s, at + m.start() + run.start() + e)
-                                  for s, e in high_windows(run[0], WINDOW, threshold)
-                                  if mixed(run[0][s:e]) and not any(a <= run.start() + s and run.start() + e <= z for a, z in fine)]
+                        high = high_windows(run[0], WINDOW, threshold)
+                        if kind == "text":
+                            high = [(s + a, s + z) for s, e in high for a, z in unlike_words(run[0][s:e], WINDOW)]
+                        found += [(at + m.start() + run.start() + s, at + m.start() + run.start() + e) for s, e in high
+                                  if not any(a <= run.start() + s and run.start() + e <= z for a, z in fine)]
         joined: list[tuple[int, int]] = []
         for s, e in sorted(found):
             if joined and s <= joined[-1][1]:
                 joined[-1] = (joined[-1][0], max(joined[-1][1], e))
             else:
                 joined.append((s, e))
-        return [x for x in joined if not _overlaps(x, base)]
+        return [x for span in joined for x in _rest(text, span, base)]
 
     def scan(self, text: str) -> tuple[int, int, int, str, str]:
         base = self.base(text)
@@ -118,8 +167,20 @@ def _long_tokens(text: str, least: int) -> Iterator[tuple[int, str]]:
             at += len(t)
 
 
-def _overlaps(span: tuple[int, int], base: list[tuple[int, int, int]]) -> bool:
-    return any(s < span[1] and span[0] < e for s, _, e in base)
+def _rest(text: str, span: tuple[int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """``span`` without the base spans in it: the stretches of ``REST`` or more characters besides signs at their ends
+    that are not words."""
+    inside = [(s, e) for s, _, e in base if s < span[1] and span[0] < e]
+    if not inside:
+        return [span]
+    out, at = [], span[0]
+    for s, e in [*sorted(inside), (span[1], span[1])]:
+        part = text[at:max(at, s)]
+        start, end = at + len(part) - len(part.lstrip(SIGNS)), at + len(part.rstrip(SIGNS))
+        if end - start >= REST and sum(odds(text[start:end])) < 0:
+            out.append((start, end))
+        at = max(at, e)
+    return out
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: Sequence[str] = ALLOWED) -> DataFrame:

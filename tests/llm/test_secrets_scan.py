@@ -62,3 +62,30 @@ def test_entropy_finds_unnamed_keys_and_spares_the_allowed():
                  "aaaaaaaaaaaaaaaaaaaaaaaaa1", "path/to/some/module/file_name/of_2024/thing"):
         assert scan.scan(fine)[4].count("entropy") == 0, fine
     assert "entropy" not in scan.scan(f'token="{key}"')[4]
+
+
+ALPHABETS = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+             "small": "abcdefghijklmnopqrstuvwxyz", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+
+
+def test_every_random_key_of_high_entropy_is_found():
+    rng, scan = random.Random(8), S.Scanner(S.ALLOWED)
+    for name, alphabet in ALPHABETS.items():
+        for n in (20, 24, 32, 40):
+            keys = [k for k in ("".join(rng.choice(alphabet) for _ in range(n)) for _ in range(500)) if S.high_windows(k, 20, 3.85)]
+            hit = sum("entropy" in scan.scan(f"x {k} y")[4] for k in keys)
+            assert len(keys) > 50 and hit >= 0.99 * len(keys), (name, n, hit, len(keys))
+
+
+def test_words_are_spared():
+    scan = S.Scanner(S.ALLOWED)
+    for fine in ("thequickbrownfoxjumpsoverthelazydog", "src/main/resources/application-production.properties", "AbstractConfigurationManagerFactoryBean", "Donaudampfschifffahrtsgesellschaft",
+                 "MAXIMUM_NUMBER_OF_CONCURRENT_REQUESTS", "responsabilidades-gubernamentales-nacionales", "read-more-about-this-story-of-the-year-2024"):
+        assert "entropy" not in scan.scan(fine)[4], fine
+
+
+def test_what_base_spans_leave_of_a_key_is_kept():
+    scan, key = S.Scanner(S.ALLOWED), "q7Rt9ZpL2mXv8KsW4nYb6HcDgT3xJ5uEaVfQzNwB"
+    assert scan.scan(f"AKIA{'B7Q2XK9ZLM4TR8WP'}/{key}")[4] == f"access:0:20,entropy:21:{21 + len(key)}"
+    assert scan.scan(f"0f3a9b7c51e2d486-{key}")[4] == f"hex:0:16,entropy:17:{17 + len(key)}"
+    assert "entropy" not in scan.scan(f"my_secret={key}")[4]
