@@ -5,11 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from public_tokenizers import PATTERN
 from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgershield.session import scratch_path
 
+from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .decontaminate import contamination
 from .html_extract import main_text
@@ -113,3 +116,16 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+@query
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document by rank, and the bytes that they decode to."""
+    ranks = vocabulary_path(RANKS)
+    rows = bpe_decode(bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, PATTERN), ranks, PATTERN)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
