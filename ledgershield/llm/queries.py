@@ -17,6 +17,7 @@ from .common import table
 from .decontaminate import contamination
 from .html_extract import main_text
 from .imatch import imatch
+from .merkle import fold, leaf_digest, manifest, proof_digest
 from .packing import pack_documents
 from .pii import personal_data
 from .repeats import remove_repeats
@@ -129,3 +130,18 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proof of every document, and the root that it gives once line feeds are deleted from half of them."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    docs = table(spark, sf_dir, "documents", *fields)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    cut = leaf_digest(*[F.replace("text", F.lit("\n"), F.lit("")) if f == "text" else F.col(f) for f in fields])
+    changed = F.when(chosen & F.contains("text", F.lit("\n")), F.unhex(cut))
+    rows = manifest(docs, fields, carry=[("changed", changed)])
+    now = F.coalesce(F.lower(F.hex("changed")), F.col("leaf"))
+    rows = rows.withColumn("folded_root", fold(F.col("path"), now))
+    return rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
