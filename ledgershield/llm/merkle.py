@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .numbering import numbered
+from .numbering import numbered, placed
 
 LEVELS = 6             # levels that one pass over the windows climbs
 PATH = "array<struct<before:string,after:string>>"
@@ -98,11 +98,11 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
     def of_groups(tops: DataFrame) -> DataFrame:
         groups = tops.select(F.lit(0).alias("key"), F.col("key").alias("group"), "hash")
         nodes, one = numbered(groups, "key", ["group"], "merkle-groups")
-        return prove(nodes.withColumn("subroot", F.col("hash")), fan, largest(one), of_root).select(F.col("group").alias("key"), "path", "subroot", "root")
+        return prove(placed(nodes, one, "key").withColumn("subroot", F.col("hash")), fan, largest(one), of_root).select(F.col("group").alias("key"), "path", "subroot", "root")
 
     def of_root(top: DataFrame) -> DataFrame:
         return top.select("key", F.array().cast(PATH).alias("path"), F.col("hash").alias("root"))
-    leaves = leaves.withColumn("leaf", F.lower(F.hex("leaf"))).withColumn("hash", F.col("leaf"))
+    leaves = placed(leaves, runs, "key").withColumn("leaf", F.lower(F.hex("leaf"))).withColumn("hash", F.col("leaf"))
     out = prove(leaves, fan, largest(runs), of_groups)
     return out.select(F.col("id").alias(id_col), "leaf", "path", "subroot", "root", *[F.col(f"carry{i}").alias(n) for i, (n, _) in enumerate(carry)])
 
