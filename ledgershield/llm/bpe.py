@@ -14,14 +14,16 @@ time linear in its length:
   are memoised by pair.
 
 A token sequence whose neighbours are all compatible is the one that the merges give, so the ids are those of merging
-step by step.  A piece that is itself a token gets its id, also when merges alone would not reach that token.
+step by step.  The ids of pieces are remembered up to a bound, and so are those of the units between single spaces:
+the pattern must begin a match at every space between two non-spaces, as all patterns of this family do.  A piece that is itself a token gets its id, also when merges alone would not reach that token.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from struct import pack
 from types import ModuleType
@@ -29,12 +31,15 @@ from types import ModuleType
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEEP = 400_000         # pieces, and pairs of tokens, that a worker remembers; the others are worked out anew
-LONGEST_KEPT = 64      # characters of a piece that is remembered
+KEEP = 300_000         # pieces, units and pairs of tokens that a worker remembers; the others are worked out anew
+LONGEST_KEPT = 64      # characters of a piece or unit that is remembered
+NOT_SINGLE = re.compile(r" \s|\s ").search
+TOGETHER = 1 << 18     # bytes of texts, or ids, that a worker handles at a time (one row at least)
 
 
 def read_ranks(text: str) -> dict[bytes, int]:
@@ -42,7 +47,7 @@ def read_ranks(text: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encodes and decodes by one vocabulary.  Single bytes must have the lowest ranks."""
+    """Encodes by one vocabulary.  Single bytes must have the lowest ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = KEEP) -> None:
         self.pieces_of = regex.compile(pattern).findall
@@ -66,10 +71,8 @@ class Codec:
         for rank in merged:
             self.automaton.add_word(self.tokens[rank].decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.known: dict[str, bytes] = {}
-        self.lengths = np.array(self.length, np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(t or b"" for t in self.tokens), np.uint8)
+        self.known: dict[str, bytes] = {}                  # ids of pieces
+        self.units: dict[str, bytes] = {}                  # and of stretches between spaces, with the space before
 
     def _prefixes(self, usable: Callable[[int], bool]) -> list[int]:
         """The longest proper prefix of each token that is a usable token, or -1."""
@@ -158,77 +161,108 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if NOT_SINGLE(text):
+            return self._pieces(text)
+        first, *units = text.split(" ")
+        known = self.units
+        new = set(units).difference(known)
+        before = len(known)
+        for unit in new:
+            known[unit] = self._pieces(" " + unit)
+        out = self._pieces(first) + b"".join(map(known.__getitem__, units))
+        forget(known, new, max(before, self.keep))
+        return out
+
+    def _pieces(self, text: str) -> bytes:
         pieces = self.pieces_of(text)
         known = self.known
-        new = set(pieces).difference(known)
+        new = [p for p in pieces if p not in known] if len(pieces) < 20 else set(pieces).difference(known)
         before = len(known)
         for piece in new:
             ids = self.encode_piece(piece.encode())
             known[piece] = pack(f"<{len(ids)}I", *ids)
         out = b"".join(map(known.__getitem__, pieces))
-        if before + len(new) > self.keep:                  # full: the pieces learned last go
-            for _ in range(before + len(new) - max(before, self.keep)):
-                known.popitem()
-        for piece in new:
-            if len(piece) > LONGEST_KEPT:
-                known.pop(piece, None)
+        forget(known, new, max(before, self.keep))
         return out
 
+
+def forget(known: dict[str, bytes], new: Iterable[str], most: int) -> None:
+    """Keep ``most`` entries at most, and none that is long."""
+    for key in new:
+        if len(key) > LONGEST_KEPT:
+            known.pop(key, None)
+    while len(known) > most:               # the last ones go
+        known.popitem()
+
+
+class Decoder:
+    """The bytes of ids; a small table, without what encoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all ids in one array, and the number of bytes of each id."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= self.size or not self.lengths[ids].all()):
+        """The bytes of all ids, and the place where those of each id end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
             raise ValueError("ids that the vocabulary does not have")
         many = self.lengths[ids]
         ends = np.cumsum(many)
-        if not len(ids):
-            return np.zeros(0, np.uint8), many
-        places = np.arange(int(ends[-1])) + np.repeat(self.starts[ids] - (ends - many), many)
-        return self.bytes[places], many
+        places = np.arange(int(many.sum())) + np.repeat(self.starts[ids] - ends + many, many)
+        return self.bytes[places], ends
+
 
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows from and to, in order, of TOGETHER in size or one row."""
+    ends = np.cumsum(sizes)
+    at, before = 0, 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        yield at, to
+        at, before = to, int(ends[to - 1])
 
-def codec(path: str, pattern: str, keep: int = KEEP) -> Callable[[], Codec]:
-    """Gives the ``Codec`` of the rank file at ``path``, one per Python worker."""
-    text = Path(path).read_text(encoding="ascii")
-    key = f"codec of {path}, {pattern}, {keep}"
 
-    def build() -> Codec:
-        kept = sys.modules.setdefault("_ledgershield_worker", ModuleType("_ledgershield_worker")).__dict__
-        if key not in kept:
-            kept[key] = Codec(read_ranks(text), pattern, keep)
-        return kept[key]
-    return build
+def per_worker(key: str, build: Callable[[], object]) -> object:
+    kept = sys.modules.setdefault("_ledgershield_worker", ModuleType("_ledgershield_worker")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
 
 
 def encode_column(path: str, pattern: str) -> Callable[[Column], Column]:
     """A text column's ids as array<int>; null texts have no ids."""
-    build = codec(path, pattern)
+    ranks = Path(path).read_text(encoding="ascii")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = build()
-        for texts in batches:
-            parts = [own.encode(t) if t else b"" for t in texts.to_pylist()]
-            ends = np.cumsum([0, *map(len, parts)]) // 4
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
+        own = per_worker(f"codec of {path}, {pattern}", lambda: Codec(read_ranks(ranks), pattern))
+        for batch in batches:
+            for at, to in slices(np.asarray(pc.binary_length(batch).fill_null(0))):
+                parts = [own.encode(t) if t else b"" for t in batch.slice(at, to - at).to_pylist()]
+                ends = np.cumsum([0, *map(len, parts)]) // 4
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<int>").asNondeterministic()
 
 
-def decode_column(path: str, pattern: str) -> Callable[[Column], Column]:
+def decode_column(path: str) -> Callable[[Column], Column]:
     """The bytes of a column of ids (array<int>); a null array has no bytes, a null or unknown id is an error."""
-    build = codec(path, pattern)
+    ranks = Path(path).read_text(encoding="ascii")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = build()
-        for lists in batches:
-            lists = lists.fill_null([])
-            flat = lists.flatten()
-            if flat.null_count:
-                raise ValueError("null ids")
-            counts = np.asarray(lists.value_lengths(), np.int64)
-            data, many = own.decode(np.asarray(flat, np.int64))
-            ends = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(counts)))]
-            yield pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        own = per_worker(f"decoder of {path}", lambda: Decoder(read_ranks(ranks)))
+        for batch in batches:
+            counts = np.asarray(pc.list_value_length(batch).fill_null(0))
+            for at, to in slices(counts):
+                ids = batch.slice(at, to - at).flatten()
+                if ids.null_count:
+                    raise ValueError("null ids")
+                data, places = own.decode(np.asarray(ids))
+                ends = np.concatenate(([0], places))[np.concatenate(([0], np.cumsum(counts[at:to])))]
+                yield pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "binary").asNondeterministic()
@@ -242,6 +276,6 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return docs.select(F.col(id_col), encode_column(path, pattern)(F.col(text_col)).alias("ids"))
 
 
-def bpe_decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with the bytes of their ids as ``out_col``."""
-    return rows.withColumn(out_col, decode_column(path, pattern)(F.col(ids_col)))
+    return rows.withColumn(out_col, decode_column(path)(F.col(ids_col)))

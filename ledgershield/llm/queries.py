@@ -126,7 +126,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document by rank, and the bytes that they decode to."""
     ranks = vocabulary_path(RANKS)
-    rows = bpe_decode(bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, PATTERN), ranks, PATTERN)
+    rows = bpe_decode(bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, PATTERN), ranks)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
