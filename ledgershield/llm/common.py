@@ -56,3 +56,20 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+SHARE, FEW = 1000, 100      # a key is hot if it has more than one in SHARE of the rows, and more than FEW
+
+
+def hot_keys(rows: DataFrame, keys: list[str], n: int, few: int | None = None) -> DataFrame:
+    """The keys of more than one in SHARE of ``rows`` (``n`` in all), and more than ``few``: fewer than SHARE keys,
+    whatever the data, so they may be broadcast.  Counted by partial sums, so no task sees all rows of a key."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_key")).filter(F.col("rows_of_key") > max(FEW if few is None else few, n // SHARE))
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows.join(small, key)`` for a ``small`` with one row per key: rows of hot keys get theirs by broadcast, the
+    others by a shuffle in which no key has more than its share."""
+    hot = hot_keys(rows, [key], n).select(key)
+    near = rows.join(F.broadcast(small.join(F.broadcast(hot), key, "left_semi")), key)
+    return near.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(small, key))

@@ -20,6 +20,7 @@ from .imatch import imatch
 from .merkle import fold, leaf_digest, manifest, proof_digest
 from .packing import pack_documents
 from .pii import personal_data
+from .prefix_trie import prefix_trie, read_conversations
 from .repeats import remove_repeats
 from .secrets_scan import secrets
 from .simhash import simhash_components
@@ -145,3 +146,22 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("folded_root", fold(F.col("path"), now))
     return rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the rebuilt conversations: up to 8 first turns of each are those of the conversation at c - c % 5."""
+    read = read_conversations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    own = read.runs.select("seq", F.col("total").alias("own")).distinct()
+    plan = own.withColumns({"base": F.col("seq") - F.col("seq") % 5, "h": F.crc32(F.col("seq").cast("string").cast("binary")) % 9})
+    plan = plan.join(own.select(F.col("seq").alias("base"), F.col("own").alias("of_base")), "base", "left") \
+        .withColumn("head", F.least("h", F.coalesce("of_base", F.lit(0)))) \
+        .withColumn("size", F.col("head") + F.greatest(F.col("own") - F.col("h"), F.lit(0)))
+    # each row learns its conversation's plan with its place: by conversation and partition
+    rows = read.placed(read.runs.join(plan.select("seq", "h", "head", "size"), "seq"))
+    kept = rows.filter("pos >= h").select("seq", (F.col("pos") - F.col("h") + F.col("head")).alias("pos"), "key", "weight", "size")
+    first = rows.filter("seq % 5 = 0 and pos < 8").select(F.col("seq").alias("base"), "pos", "key", "weight")
+    heads = plan.join(first, "base").filter("pos < head").select("seq", "pos", "key", "weight", "size")
+    return prefix_trie(kept.unionByName(heads), plan.select("seq", "size")).select(
+        F.col("seq").alias("conv_id"), "depth", F.col("parent_seq").alias("parent_conv_id"), F.col("n_seqs").alias("n_convs"), "n_children",
+        "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
