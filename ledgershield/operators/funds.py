@@ -24,6 +24,7 @@ PEER_CLASSES = ("stable", "eth", "btc")
 ASSET_CLASSES = ("lending", "staking", "basis", "liquidity", "options",
                  "treasuries", "credit", "restaking", "perps", "cash")
 RISK_LEVELS = ("Low", "Medium", "High", "Degen")
+VENUES = ("custody", "exchange", "protocol")
 CAPACITY_MULT = 1.25
 
 
@@ -76,24 +77,25 @@ def aum_group(series: DataFrame) -> DataFrame:
                     .alias("share_pct")))
 
 
-def positions(flows: DataFrame) -> DataFrame:
-    """Positions per (sp, asset_class, risk): value of the flows booked to it
+def positions(flows: DataFrame, by_venue: bool = False) -> DataFrame:
+    """Positions per (sp, asset_class, risk), and venue if asked for: value of the flows booked to it
     and its share of the fund (shares sum to 1 per fund)."""
-    cls = F.element_at(F.array(*[F.lit(c) for c in ASSET_CLASSES]), (F.col("user_id") % 10 + 1).cast("int"))
-    risk = F.element_at(F.array(*[F.lit(c) for c in RISK_LEVELS]), (F.col("user_id") % 4 + 1).cast("int"))
-    p = (flows.groupBy("sp", cls.alias("asset_class"), risk.alias("risk"))
-         .agg(F.sum(F.col("value").cast("decimal(18,2)")).cast(SUM).alias("pos_value")))
+    def one_of(values: tuple[str, ...]) -> Column:
+        return F.element_at(F.array(*[F.lit(c) for c in values]), (F.col("user_id") % len(values) + 1).cast("int"))
+    by = [one_of(ASSET_CLASSES).alias("asset_class"), one_of(RISK_LEVELS).alias("risk")] + [one_of(VENUES).alias("venue")] * by_venue
+    p = flows.groupBy("sp", *by).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast(SUM).alias("pos_value"))
     tot = p.groupBy("sp").agg(F.sum("pos_value").alias("_fund"))
     return p.join(tot, "sp").withColumn(
         "share", F.col("pos_value").cast("double") / F.col("_fund").cast("double")).drop("_fund")
 
 
 def position_rollup(pos: DataFrame, series: DataFrame) -> DataFrame:
-    """value_usd = share x latest AUM, rolled up by (sp, asset_class)."""
+    """value_usd = share x latest AUM, rolled up by (sp, asset_class, risk, venue); ``level`` is the grouping id:
+    0 a position, 1 a risk level, 3 an asset class, 7 a fund, 15 all."""
     a = latest(series, ["aum"]).select("sp", "aum")
-    v = pos.join(a, "sp").withColumn("value_usd", F.round(F.col("share") * F.col("aum").cast("double"), 2))
-    return (v.rollup("sp", "asset_class")
-            .agg(F.round(F.sum("value_usd"), 2).alias("value_usd"), F.count(F.lit(1)).alias("n_positions"),
+    v = pos.join(a, "sp").withColumn("value_usd", F.round(F.col("share") * F.col("aum").cast("double"), 2).cast(SUM))
+    return (v.rollup("sp", "asset_class", "risk", "venue")
+            .agg(F.sum("value_usd").cast(SUM).alias("value_usd"), F.count(F.lit(1)).alias("n_positions"),
                  F.grouping_id().alias("level")))
 
 

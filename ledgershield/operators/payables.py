@@ -9,7 +9,7 @@ rate_to_chf) valid on the as-of day (3 rows, broadcast).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .treasury import money
@@ -199,30 +199,37 @@ def cash_position(accounts: DataFrame, rates: DataFrame) -> DataFrame:
 
 def cash_forecast(accounts: DataFrame, invoices: DataFrame, rates: DataFrame, as_of: str,
                   window_days: int = 21) -> DataFrame:
-    """Per account and due day inside (as_of, as_of + window]: outflow =
-    -sum(gross) of open invoices debiting the account, in CHF at the
-    account's rate; balance = CHF balance + running sum of outflows.
-
-    Sparse: one row per (account, day with an outflow).  The running sum is a
-    window partitioned by account (many small partitions), never global."""
-    lo, hi = _d(as_of), F.date_add(_d(as_of), window_days)
-    op = open_as_of(invoices, as_of).where((F.col("due_date") > lo) & (F.col("due_date") <= hi))
-    out = (op.groupBy(F.col("debit_account").alias("account_number"), F.col("due_date").alias("date"))
-           .agg(F.sum("gross").cast(SUM).alias("gross")))
-    acc = with_chf(accounts, rates, amount_col="balance_native", out_col="balance_chf") \
-        .select("account_number", "owner", "currency", "balance_chf")
-    r = rates.select(F.col("ccy").alias("currency"), "rate_to_chf")
-    acc = acc.join(r, "currency", "left")
-    j = out.join(acc, "account_number")
-    j = j.withColumn("outflow_chf", money(-F.col("gross") * F.col("rate_to_chf")))
-    w = (Window.partitionBy("account_number").orderBy("date")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return j.select("account_number", "owner", "currency", "date", "outflow_chf",
-                    (F.col("balance_chf") + F.sum("outflow_chf").over(w)).cast(SUM).alias("balance_chf"))
+    """Every account on the as-of day and on each of the ``window_days`` days after it: outflow = -sum(gross) of
+    its open invoices due that day, in CHF at the account's rate (0 if none is due), and balance = CHF balance
+    plus the outflows so far.  An account without a rate has null amounts.
+
+    Invoices are summed per account into one column per day (one shuffle, partial sums on the map side), joined
+    to the accounts once, and the days come out of the row by ``explode``: no window, no join of the grid."""
+    op = open_as_of(invoices, as_of).withColumn("_day", F.datediff("due_date", _d(as_of))).where(F.col("_day").between(1, window_days))
+    due = op.groupBy(F.col("debit_account").alias("account_number")) \
+        .agg(F.array(*[F.sum(F.when(F.col("_day") == k, F.col("gross"))).cast(SUM) for k in range(1, window_days + 1)]).alias("_due"))
+    acc = with_chf(accounts, rates, amount_col="balance_native", out_col="_now") \
+        .join(rates.select(F.col("ccy").alias("currency"), "rate_to_chf"), "currency", "left")
+    zero = F.when(F.col("rate_to_chf").isNotNull(), F.lit(0).cast("decimal(18,2)"))
+    flows = F.transform("_due", lambda gross: F.coalesce(money(-gross * F.col("rate_to_chf")), zero))
+    none = F.array_repeat(zero, window_days)
+    j = acc.join(due, "account_number", "left") \
+        .withColumn("_flows", F.concat(F.array(zero), F.coalesce(flows, none)))
+    grid = j.select("account_number", "owner", "currency", "_now", "_flows", F.posexplode("_flows").alias("_k", "outflow_chf"))
+    after = F.aggregate(F.slice("_flows", F.lit(1), F.col("_k") + 1), F.col("_now").cast(SUM), lambda so_far, x: (so_far + x).cast(SUM))
+    return grid.select("account_number", "owner", "currency", F.date_add(_d(as_of), F.col("_k")).alias("date"), "outflow_chf",
+                       after.alias("balance_chf"))
+
+
+def forecast_totals(forecast: DataFrame) -> DataFrame:
+    """Per forecast date over all accounts: accounts, outflow and balance after it (partial sums, one row per date)."""
+    return forecast.groupBy("date").agg(F.count(F.lit(1)).alias("n_accounts"), _sum0(F.col("outflow_chf")).alias("outflow_chf"),
+                                        _sum0(F.col("balance_chf")).alias("balance_chf"))
 
 
 def shortfall_flag(forecast: DataFrame) -> DataFrame:
-    """First forecast day on which an account's balance is negative."""
+    """First forecast date on which an account's balance is negative (the as-of day if it is so already), and
+    its lowest balance."""
     return (forecast.where(F.col("balance_chf") < 0).groupBy("account_number")
             .agg(F.min("date").alias("first_negative"), F.min("balance_chf").alias("lowest_balance_chf")))
 
@@ -232,8 +239,8 @@ def payments_summary(cash: DataFrame, forecast: DataFrame, open_total: DataFrame
     """One row rolling up cash, forecast, open invoices, pending payments and
     reconciliation; each input is a one-row (or tiny) aggregate."""
     c = cash.where(F.col("level") == "total").select(F.col("balance_chf").alias("cash_chf"))
-    f = forecast.agg(_sum0(F.col("outflow_chf")).alias("forecast_outflow_chf"),
-                     F.countDistinct("account_number").alias("forecast_accounts"))
+    f = forecast_totals(forecast).agg(_sum0(F.col("outflow_chf")).alias("forecast_outflow_chf"),
+                                      F.coalesce(F.max("n_accounts"), F.lit(0)).alias("forecast_accounts"))
     r = recon.agg(F.count(F.when(F.col("status") == "matched", 1)).alias("recon_matched"),
                   F.count(F.when(F.col("status") == "not_in_ap", 1)).alias("recon_not_in_ap"))
     return (c.join(f, how="cross").join(open_total, how="cross").join(pend, how="cross")

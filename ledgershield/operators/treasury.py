@@ -51,18 +51,27 @@ def rates_at(rates: DataFrame, as_of: str) -> DataFrame:
     return day.unionByName(chf)
 
 
+def rate_calendar(rates: DataFrame) -> DataFrame:
+    """One row, ``calendar``: currency -> (first day, its rate of every day up to the last known one).
+
+    At most currencies x calendar days numbers, whatever the transactions."""
+    days = fx_fill(rates).groupBy("ccy").agg(F.min("date").alias("first"), F.array_sort(F.collect_list(F.struct("date", "rate_to_chf"))).alias("d"))
+    entry = F.struct("ccy", F.struct("first", F.transform("d", lambda x: x["rate_to_chf"]).alias("rates")))
+    return days.agg(F.map_from_entries(F.collect_list(entry)).alias("calendar"))
+
+
 def to_chf(txns: DataFrame, rates: DataFrame, ccy_col: str = "currency", date_col: str = "booking_date",
            amount_col: str = "amount", out_col: str = "amount_chf") -> DataFrame:
-    """As-of join: amount x the rate in force on the booking day.  Within the range of the known rates that
-    is an equi-join with the filled days, after it one with the last rate of each currency."""
-    r = fx_fill(rates).select(F.col("ccy").alias("_ccy"), F.col("date").alias("_d"), F.col("rate_to_chf").alias("_rate"))
-    last = rates.groupBy(F.col("ccy").alias("_lccy")).agg(
-        F.max("date").alias("_ld"), F.max_by("rate_to_chf", "date").cast(RATE).alias("_lrate"))
-    j = txns.join(r, (F.col(ccy_col) == F.col("_ccy")) & (F.col(date_col) == F.col("_d")), "left")
-    j = j.join(last, F.col(ccy_col) == F.col("_lccy"), "left")
-    known = F.coalesce(F.col("_rate"), F.when(F.col(date_col) > F.col("_ld"), F.col("_lrate")))
+    """As-of conversion: amount x the rate in force on the booking day.
+
+    The calendar is one row, so it goes to the transactions (not they to it): the rate is looked up by currency and
+    by the number of days since the currency's first rate; later days than the last have the last rate."""
+    j = txns.crossJoin(rate_calendar(rates).withColumnRenamed("calendar", "_calendar"))
+    own = F.try_element_at(F.col("_calendar"), F.col(ccy_col))
+    day = F.datediff(F.col(date_col), own["first"])
+    known = F.when(day >= 0, F.get(own["rates"], F.least(day, F.size(own["rates"]) - 1)))
     rate = F.when(F.col(ccy_col) == "CHF", F.lit(1).cast(RATE)).otherwise(known)
-    return j.withColumn(out_col, money(F.col(amount_col) * rate)).drop("_ccy", "_d", "_rate", "_lccy", "_ld", "_lrate")
+    return j.withColumn(out_col, money(F.col(amount_col) * rate)).drop("_calendar")
 
 
 def _in(c: str = "amount") -> Column:
@@ -216,16 +225,16 @@ def by_bank(banks: DataFrame, conv: DataFrame) -> DataFrame:
 
 
 def by_company(conv: DataFrame) -> DataFrame:
-    """Per reporting entity: its accounts, banks and currencies (sorted,
-    comma-joined) and CHF totals."""
-    return (conv.groupBy("entity").agg(
-        F.array_join(F.array_sort(F.collect_set(account_of(F.col("entity"), F.col("bank"), F.col("currency")))),
-                     ",").alias("accounts"),
-        F.array_join(F.array_sort(F.collect_set("bank")), ",").alias("banks"),
-        F.array_join(F.array_sort(F.collect_set("currency")), ",").alias("currencies"),
-        _sum0(_in("amount_chf")).alias("in_chf"), _sum0(_out("amount_chf")).alias("out_chf"),
-        F.count(F.lit(1)).alias("n_txns"))
-        .withColumn("net_chf", F.col("in_chf") - F.col("out_chf")))
+    """Per reporting entity: its accounts (array of records in order of the account), their number, and CHF totals.
+
+    Transactions are summed per account first; a company's accounts are as many as its banks and currencies."""
+    accounts = conv.groupBy("entity", "bank", "currency").agg(
+        _sum0(_in("amount_chf")).alias("in_chf"), _sum0(_out("amount_chf")).alias("out_chf"), F.count(F.lit(1)).alias("n_txns"))
+    record = F.struct(account_of(F.col("entity"), F.col("bank"), F.col("currency")).alias("account"), "bank", "currency", "in_chf", "out_chf", "n_txns")
+    return accounts.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("account_count"), F.array_sort(F.collect_list(record)).alias("accounts"),
+        *[F.sum(c).cast("decimal(28,2)").alias(c) for c in ("in_chf", "out_chf")], F.sum("n_txns").alias("n_txns")) \
+        .withColumn("net_chf", F.col("in_chf") - F.col("out_chf"))
 
 
 def treasury_summary(classified: DataFrame) -> DataFrame:

@@ -116,11 +116,18 @@ pend AS (
 fc_out AS (
   SELECT debit_account AS account_number, due_date AS date, sum(gross)::DECIMAL(28,2) AS gross FROM opn
   WHERE due_date > DATE '{AS_OF}' AND due_date <= DATE '{AS_OF}' + 21 GROUP BY 1, 2),
+grid AS (
+  SELECT a.account_number, a.owner, a.currency, a.rate_to_chf, a.balance_chf AS now_chf, DATE '{AS_OF}' + d.k::INTEGER AS date
+  FROM accc a CROSS JOIN (SELECT unnest(range(0, 22)) AS k) d),
+flow AS (
+  SELECT g.*, CASE WHEN g.rate_to_chf IS NULL THEN NULL
+                   ELSE coalesce(round(-o.gross * g.rate_to_chf, 2), 0)::DECIMAL(18,2) END AS outflow_chf
+  FROM grid g LEFT JOIN fc_out o ON o.account_number = g.account_number AND o.date = g.date),
 fc AS (
-  SELECT o.account_number, a.owner, a.currency, o.date, round(-o.gross * a.rate_to_chf, 2)::DECIMAL(18,2) AS outflow_chf,
-         (a.balance_chf + sum(round(-o.gross * a.rate_to_chf, 2)::DECIMAL(18,2)) OVER (PARTITION BY o.account_number
-          ORDER BY o.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DECIMAL(28,2) AS balance_chf
-  FROM fc_out o JOIN accc a ON a.account_number = o.account_number)"""
+  SELECT account_number, owner, currency, date, outflow_chf,
+         (now_chf + sum(outflow_chf) OVER (PARTITION BY account_number ORDER BY date
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DECIMAL(28,2) AS balance_chf
+  FROM flow)"""
 
 
 def _bucket_sql(due: str) -> str:
@@ -243,14 +250,18 @@ def by_bank(spark, sf_dir):
     return TR.by_bank(D.banks(spark, sf_dir), _conv(spark, sf_dir))
 
 
-@register("by_company", "2.6", f"""WITH {TXN_CTE}
-SELECT entity, string_agg(DISTINCT {_ACCT_SQL}, ',' ORDER BY {_ACCT_SQL}) AS accounts,
-       string_agg(DISTINCT bank, ',' ORDER BY bank) AS banks, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies,
-       {_s0(_IN.format('amount_chf'))} AS in_chf, {_s0(_OUT.format('amount_chf'))} AS out_chf, count(*) AS n_txns,
-       {_s0(_IN.format('amount_chf'))} - {_s0(_OUT.format('amount_chf'))} AS net_chf
-FROM conv GROUP BY entity""")
+@register("by_company", "2.6", f"""WITH {TXN_CTE},
+a AS (SELECT entity, bank, currency, {_ACCT_SQL} AS account, {_s0(_IN.format('amount_chf'))} AS in_chf,
+             {_s0(_OUT.format('amount_chf'))} AS out_chf, count(*) AS n_txns FROM conv GROUP BY entity, bank, currency)
+SELECT entity, count(*) AS account_count,
+       '[' || string_agg('{{"account":"' || account || '","bank":"' || bank || '","currency":"' || currency || '","in_chf":' || in_chf::VARCHAR
+              || ',"out_chf":' || out_chf::VARCHAR || ',"n_txns":' || n_txns::VARCHAR || '}}', ',' ORDER BY account) || ']' AS accounts,
+       sum(in_chf)::DECIMAL(28,2) AS in_chf, sum(out_chf)::DECIMAL(28,2) AS out_chf, sum(n_txns)::BIGINT AS n_txns,
+       sum(in_chf)::DECIMAL(28,2) - sum(out_chf)::DECIMAL(28,2) AS net_chf
+FROM a GROUP BY entity""")
 def by_company(spark, sf_dir):
-    return TR.by_company(_conv(spark, sf_dir))
+    """Companies with their accounts; the nested records as JSON, so that they can be compared as text."""
+    return TR.by_company(_conv(spark, sf_dir)).withColumn("accounts", F.to_json("accounts"))
 
 
 @register("treasury_summary", "2.6", f"""WITH {TXN_CTE},
@@ -419,6 +430,13 @@ def cash_forecast(spark, sf_dir):
     return _forecast(spark, sf_dir)
 
 
+@register("cash_forecast_totals", "2.7", f"""WITH {INV_CTE}
+SELECT date, count(*) AS n_accounts, {_s0('outflow_chf')} AS outflow_chf, {_s0('balance_chf')} AS balance_chf FROM fc GROUP BY date""")
+def cash_forecast_totals(spark, sf_dir):
+    """Outflow and balance of the whole group per forecast date."""
+    return PY.forecast_totals(_forecast(spark, sf_dir))
+
+
 @register("shortfall_flag", "2.7", f"""WITH {INV_CTE}
 SELECT account_number, min(date) AS first_negative, min(balance_chf) AS lowest_balance_chf
 FROM fc WHERE balance_chf < 0 GROUP BY account_number""")
@@ -496,12 +514,16 @@ def aum_group(spark, sf_dir):
 
 
 @register("position_rollup", "2.6", f"""WITH {FUND_CTE},
-v AS (SELECT pos.*, round(share * la.aum::DOUBLE, 2) AS value_usd FROM pos JOIN la ON la.sp = pos.sp)
-SELECT sp, asset_class, round(sum(value_usd), 2) AS value_usd, count(*) AS n_positions,
-       grouping_id(sp, asset_class) AS level
-FROM v GROUP BY ROLLUP (sp, asset_class)""")
+pv0 AS (SELECT event_type AS sp, {_list(FU.ASSET_CLASSES)}[user_id % 10 + 1] AS asset_class,
+               {_list(FU.RISK_LEVELS)}[user_id % 4 + 1] AS risk, {_list(FU.VENUES)}[user_id % 3 + 1] AS venue,
+               sum(value::DECIMAL(18,2))::DECIMAL(28,2) AS pos_value FROM events GROUP BY 1, 2, 3, 4),
+v AS (SELECT pv0.*, round(pos_value::DOUBLE / (sum(pos_value) OVER (PARTITION BY sp))::DOUBLE * la.aum::DOUBLE, 2)::DECIMAL(28,2) AS value_usd
+      FROM pv0 JOIN la USING (sp))
+SELECT sp, asset_class, risk, venue, sum(value_usd)::DECIMAL(28,2) AS value_usd, count(*) AS n_positions,
+       grouping_id(sp, asset_class, risk, venue) AS level
+FROM v GROUP BY ROLLUP (sp, asset_class, risk, venue)""")
 def position_rollup(spark, sf_dir):
-    return FU.position_rollup(FU.positions(D.fund_flows(spark, sf_dir)), _fund(spark, sf_dir)[0])
+    return FU.position_rollup(FU.positions(D.fund_flows(spark, sf_dir), by_venue=True), _fund(spark, sf_dir)[0])
 
 
 @register("exposure_wide", "2.6", f"""WITH {FUND_CTE}
