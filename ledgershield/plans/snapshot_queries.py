@@ -35,33 +35,49 @@ df AS (SELECT coalesce(q1.vendor, q2.vendor) AS vendor,
                    WHEN q1.n_invoices <> q2.n_invoices OR q1.total <> q2.total THEN 'changed' ELSE 'unchanged' END AS change
        FROM q1 FULL OUTER JOIN q2 ON q1.vendor = q2.vendor)"""
 
-_ROOTS: dict[tuple[str, str], tuple[str, list[str]]] = {}
+DELTA = "vendor string, year int, n_invoices long, total decimal(28,2)"
 
 
-def vendor_totals(spark, sf_dir, as_of: str):
-    """Totals per vendor over all invoices up to the day."""
-    inv = D.invoices(spark, sf_dir)
-    return (inv.where(F.col("issue_date") <= F.lit(as_of).cast("date"))
-            .groupBy("vendor").agg(F.count(F.lit(1)).alias("n_invoices"),
-                                   F.sum("amount").cast("decimal(28,2)").alias("total")))
+def vendor_deltas(invoices):
+    """Invoices and totals per vendor and year: one pass, whatever the number of versions."""
+    return invoices.where(F.col("issue_date").isNotNull()).groupBy("vendor", F.year("issue_date").alias("year")) \
+        .agg(F.count(F.lit(1)).alias("n_invoices"), F.sum("amount").cast("decimal(28,2)").alias("total"))
+
+
+def vendor_versions(deltas, years: list[int]):
+    """Totals per vendor up to the end of every year of ``years`` from the vendor's first one on.
+
+    A vendor's years are one short array; each version is the sum of its beginning: no join per version."""
+    own = deltas.groupBy("vendor").agg(F.collect_list(F.struct("year", "n_invoices", "total")).alias("d"))
+    ends = F.filter(F.array(*[F.lit(y) for y in years]), lambda y: y >= F.array_min(F.col("d.year")))
+    rows = own.select("vendor", "d", F.explode(ends).alias("y"))
+    part = F.filter("d", lambda x: x["year"] <= F.col("y"))
+    return rows.select("vendor", F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x["n_invoices"]).alias("n_invoices"),
+                       F.aggregate(part, F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["total"]).cast("decimal(28,2)")).alias("total"),
+                       F.make_date("y", F.lit(12), F.lit(31)).alias("snapshot_as_of"))
 
 
-def _publish_all(spark, sf_dir) -> tuple[str, list[str]]:
-    """One version per year end that has invoices, oldest first."""
+def _published(spark, sf_dir, until: int | None = None) -> tuple[str, list[str]]:
+    """One version per year end that has invoices, oldest first (up to ``until``): one pass over the invoices."""
     root = scratch_path(spark, f"snapshots-{uuid.uuid4().hex}")
-    years = D.invoices(spark, sf_dir).select(F.year("issue_date").alias("y")).where("y is not null").distinct().collect()
-    dates = [f"{y:04d}-12-31" for y in sorted(r["y"] for r in years)]
-    for as_of in dates:
-        SN.publish(vendor_totals(spark, sf_dir, as_of), root, DATASET, as_of, "orders", ["vendor"])
-    return root, dates
+    kept = scratch_path(spark, f"vendor-deltas-{uuid.uuid4().hex}")
+    inv = D.invoices(spark, sf_dir)
+    vendor_deltas(inv if until is None else inv.where(F.col("issue_date") <= F.make_date(F.lit(until), F.lit(12), F.lit(31)))).write.parquet(kept)
+    deltas = spark.read.schema(DELTA).parquet(kept)
+    years = sorted(r["year"] for r in deltas.select("year").distinct().collect())
+    SN.publish_versions(vendor_versions(deltas, years), root, DATASET, "orders", ["vendor"])
+    return root, [f"{y:04d}-12-31" for y in years]
 
 
-def _published(spark, sf_dir) -> tuple[str, list[str]]:
-    """The folder of versions, published once per session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ROOTS:
-        _ROOTS[key] = _publish_all(spark, sf_dir)
-    return _ROOTS[key]
+def publish_next(spark, sf_dir, root: str, year: int, attempt: int = 1):
+    """The version of one more year: the last version plus that year's invoices; no other invoices are read."""
+    last = SN.latest_version(spark, root, DATASET)
+    day = F.col("issue_date")
+    mine = D.invoices(spark, sf_dir).where((day >= F.lit(f"{year:04d}-01-01").cast("date")) & (day <= F.lit(f"{year:04d}-12-31").cast("date")))
+    delta = vendor_deltas(mine).select("vendor", "n_invoices", "total")
+    before = SN.scan(spark, root, DATASET, SNAP_SCHEMA).where(F.col("snapshot_as_of") == F.lit(last).cast("date")).select("vendor", "n_invoices", "total")
+    rows = before.unionByName(delta).groupBy("vendor").agg(F.sum("n_invoices").alias("n_invoices"), F.sum("total").cast("decimal(28,2)").alias("total"))
+    return SN.publish(rows, root, DATASET, f"{year:04d}-12-31", "orders", ["vendor"], attempt)
 
 
 def _versions(spark, published: tuple[str, list[str]]):
@@ -76,7 +92,20 @@ def _versions(spark, published: tuple[str, list[str]]):
 SELECT '{DATASET}' AS dataset, snapshot_as_of, 'ok' AS status, count(*) AS n_rows FROM vq GROUP BY snapshot_as_of""")
 def snapshot_publish(spark, sf_dir):
     root, _ = _published(spark, sf_dir)
-    return SN.meta_scan(spark, root).select("dataset", "snapshot_as_of", "status", "n_rows")
+    return SN.meta_scan(spark, root, DATASET).select("dataset", "snapshot_as_of", "status", "n_rows")
+
+
+@register("snapshot_increment", "2.1", f"""WITH {VQ_CTE}
+SELECT vendor, n_invoices, total, (SELECT count(*) FROM vd) AS n_versions FROM q2""")
+def snapshot_increment(spark, sf_dir):
+    """All versions but the newest are published, then the newest from the one before it and its own year:
+    the newest version, and the number of versions."""
+    newest = D.invoices(spark, sf_dir).agg(F.max(F.year("issue_date"))).first()[0]
+    root, _ = _published(spark, sf_dir, until=newest - 1)
+    publish_next(spark, sf_dir, root, newest)
+    n = SN.meta_scan(spark, root, DATASET).agg(F.count(F.lit(1)).alias("n_versions"))
+    s = SN.scan(spark, root, DATASET, SNAP_SCHEMA).where(F.col("snapshot_as_of") == F.lit(f"{newest:04d}-12-31").cast("date"))
+    return s.select("vendor", "n_invoices", "total").crossJoin(n)
 
 
 @register("snapshot_scan", "2.1", f"""WITH {VQ_CTE}
@@ -92,7 +121,7 @@ SELECT '{DATASET}' AS dataset, snapshot_as_of, 'ok' AS status, 'orders' AS sourc
        TRUE AS has_bytes, TRUE AS parsed_after_fetch FROM vq GROUP BY snapshot_as_of""")
 def snapshot_meta_scan(spark, sf_dir):
     root, _ = _published(spark, sf_dir)
-    m = SN.meta_scan(spark, root)
+    m = SN.meta_scan(spark, root, DATASET)
     return m.select("dataset", "snapshot_as_of", "status", "source", "n_rows", (F.col("bytes") > 0).alias("has_bytes"),
                     (F.col("parsed_at") >= F.col("fetched_at")).alias("parsed_after_fetch"))
 
@@ -103,7 +132,7 @@ SELECT '{DATASET}' AS dataset, as_of AS snapshot_as_of, rank,
        CASE WHEN rank <= 1 THEN 'current' WHEN rank <= 4 THEN 'history' ELSE 'pruned' END AS place FROM r""")
 def snapshot_archive(spark, sf_dir):
     """The newest version stays, three go to history, older ones are deleted."""
-    root, _ = _publish_all(spark, sf_dir)
+    root, _ = _published(spark, sf_dir)
     return SN.archive(spark, root, DATASET, keep=1, keep_history=3).withColumn("rank", F.col("rank").cast("bigint"))
 
 
