@@ -9,7 +9,6 @@ from .registry import REGISTRY, register
 
 # the stateless stream must equal the batch decision
 _ROUTE_SQL = REGISTRY["route_decision"].sql
-_CHAIN_COLS = ("seq", "request_id", "prompt_hash", "redacted_prompt_hash", "response_hash", "hash", "prev_hash")
 
 
 @register("stream_redact_route", "2.11", _ROUTE_SQL)
@@ -26,10 +25,10 @@ def stream_kpi_daily(spark, sf_dir):
     return S.stream_kpi_daily(spark, sf_dir)
 
 
-@register("stream_audit_chain", "2.11", f"""WITH {ENTRIES_CTE}
-SELECT {', '.join(_CHAIN_COLS)} FROM chained""")
+@register("stream_audit_chain", "2.11", REGISTRY["chain_link"].sql)
 def stream_audit_chain(spark, sf_dir):
-    return S.stream_audit_chain(spark, sf_dir).select(*_CHAIN_COLS)
+    """One chain per tenant, equal to the chains that the batch job links."""
+    return S.stream_audit_chain(spark, sf_dir).select("tenant", "seq_in_log", "request_id", "hash", "prev_hash")
 
 
 @register("stream_dedupe", "2.11", f"""WITH {PROPOSALS_CTE}

@@ -72,15 +72,55 @@ def folders(spark, tmp_path_factory):
     return str(out)
 
 
-def test_streams_over_folders_in_any_order(spark, folders):
-    chain = S.stream_audit_chain(spark, folders)
-    n = spark.read.parquet(f"{SF}/events.parquet").count()
-    assert chain.count() == n and chain.where("prev_hash is null").count() == 1
-    assert chain.select("prev_hash").distinct().count() == n
+@pytest.mark.parametrize(("delay", "max_files"), [("2 days", 1), ("0 days", 1), ("90 days", 2)])
+def test_streams_over_folders_in_any_order(spark, folders, delay, max_files):
     want = D.ap_proposals(spark, SF).where("idempotency_key is not null").select("idempotency_key").distinct()
-    got = S.stream_dedupe(spark, folders)
+    got = S.stream_dedupe(spark, folders, delay, max_files)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
-    assert sorted(S.stream_kpi_daily(spark, folders).collect()) == sorted(S.stream_kpi_daily(spark, SF).collect())
+    days = AU.kpi_by_day(AU.build_entries(D.audit_calls(spark, SF))).withColumn("day", F.to_date("day"))
+    assert sorted(S.stream_kpi_daily(spark, folders, delay, max_files).collect()) == sorted(days.collect())
+
+
+@pytest.mark.parametrize("width", [1 << 20, 5])
+def test_chains_of_tenants_advance_in_parallel(spark, folders, width):
+    chain = S.stream_audit_chain(spark, folders, max_files=1, bucket_width=width).select("tenant", "seq_in_log", "hash", "prev_hash")
+    rows = chain.orderBy("tenant", "seq_in_log").collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/events.parquet").count()
+    for before, r in zip([None, *rows], rows):
+        first = before is None or before["tenant"] != r["tenant"]
+        assert (r["seq_in_log"], r["prev_hash"]) == ((0, None) if first else (before["seq_in_log"] + 1, before["hash"]))
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark):
+    calls = D.audit_calls(spark, SF).withColumn("ts", F.to_timestamp("timestamp"))
+    chain, days = S.ChainWriter(spark, "tenant"), S.DailyCalls(spark, "1 day")
+    sink = scratch_path(spark, f"chain-{uuid.uuid4().hex}")
+    for i in (0, 1, 1, 2, 2):
+        part = calls.where(F.col("seq") % 3 == i)
+        chain(part, i, sink), days(part, i)
+    rows = spark.read.parquet(sink).drop("batch_id").orderBy("tenant", "seq_in_log").collect()
+    assert len(rows) == calls.count() == len({r["hash"] for r in rows})
+    assert [r["prev_hash"] for r in rows if r["seq_in_log"]] == [a["hash"] for a, b in zip(rows, rows[1:]) if b["seq_in_log"]]
+    assert sum(r["calls"] for r in days.result().collect()) == calls.count()
+
+
+def test_state_stays_bounded_over_many_batches(spark):
+    """50 batches, a day each and some late rows: the states hold the days within the delay only."""
+    rows = spark.range(2000).select(F.expr("cast(id % 1500 as string)").alias("idempotency_key"),
+                                    F.expr("timestamp'2024-01-01' + make_dt_interval(cast(id div 40 as int), 0, cast(id % 40 as int))").alias("ts")).cache()
+    calls = rows.select("ts", F.lit("public").alias("tier"), F.expr("map('email', 2)").alias("redaction_stats"))
+    keys, days = S.Deduplicator(spark, "3 days"), S.DailyCalls(spark, "3 days")
+    held = []
+    for i in range(50):
+        mine = F.datediff("ts", F.lit("2024-01-01").cast("date")) == (i if i % 10 else max(0, i - 5))
+        keys(rows.where(mine), i), days(calls.where(mine), i)
+        held.append((keys.state.read("seen", i, S.KEYS).count(), days.state.read("open", i, S.DAYS).count()))
+    assert max(k for k, _ in held[10:]) <= 4 * 40 and max(d for _, d in held[10:]) <= 4
+    batches = [i if i % 10 else max(0, i - 5) for i in range(50)]
+    got = {str(r["day"]): r["calls"] for r in days.result().collect()}
+    assert sum(got.values()) == 50 * 40 and len(got) == len(set(batches))
+    seen = rows.where(F.datediff("ts", F.lit("2024-01-01").cast("date")).isin(batches)).select("idempotency_key").distinct()
+    assert keys.result().count() == seen.count() and keys.result().exceptAll(seen).count() == 0
 
 
 def test_rates_hold_after_the_last_known_day(spark):
