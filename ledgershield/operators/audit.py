@@ -22,8 +22,8 @@ from ..functions import hashing as H
 from ..plans.joins import widen
 
 
-def build_entries(calls: DataFrame, native_only: bool = False) -> DataFrame:
-    """Calls -> audit entries (without prev_hash).
+def build_entries(calls: DataFrame, native_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Calls -> audit entries (without prev_hash); ``keep`` names further columns to carry.
 
     calls: seq, timestamp (ISO string), tenant, user, tier, model, request_id,
     prompt_text, response_text, redacted_prompt_text, redaction_stats,
@@ -39,7 +39,7 @@ def build_entries(calls: DataFrame, native_only: bool = False) -> DataFrame:
          .alias("response_hash"),
         H.sorted_map(F.col("redaction_stats")).alias("redaction_stats"),
         F.col("duration_ms").cast("int").alias("duration_ms"),
-        "status", "error", "host")
+        "status", "error", "host", *keep)
     native_hash = H.sha256_text(H.body_json())
     if native_only:
         return e.withColumn("hash", native_hash)
@@ -99,21 +99,36 @@ def entry_line(entries: DataFrame) -> Column:
                                 for c in cols]), {"ignoreNullFields": "false"})
 
 
+def files_for(df: DataFrame, file_bytes: int) -> int:
+    """Number of files for ``df`` from the size that the optimizer expects of it; at least one, at most 2**16."""
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(1, -(-expected // file_bytes)), 1 << 16)
+
+
 def write_log(entries: DataFrame, path: str, log_cols: list[str] | None = None,
               seq_col: str = "seq", n_files: int | None = None, batch: int = 0) -> None:
-    """Write entries as JSON Lines: range-partitioned by (log, seq) and sorted
-    within files, so batch number + part number + line order = log order.  One
-    folder per log when ``log_cols`` is given (``partitionBy``), and in it one per
-    batch; writing a batch again replaces it, and no other batch is touched."""
+    """Write entries as JSON Lines (see ``write_lines``)."""
     log_cols = log_cols or []
-    n = n_files or max(1, entries.sparkSession.sparkContext.defaultParallelism)
-    lines = entries.select(*log_cols, seq_col, entry_line(entries).alias("value"))
-    ordered = lines.repartitionByRange(n, *log_cols, seq_col).sortWithinPartitions(*log_cols, seq_col)
+    write_lines(entries.select(*log_cols, seq_col, entry_line(entries).alias("value")), path, log_cols, seq_col, n_files, batch)
+
+
+def write_lines(lines: DataFrame, path: str, log_cols: list[str], seq_col: str = "seq", n_files: int | None = None,
+                batch: int = 0, file_bytes: int = 256 << 20, line_bytes: int = 1 << 10) -> None:
+    """Write lines (log columns, number, value) range-partitioned by (log, number) and sorted within files, so
+    batch number + part number + file number + line order = log order.  One folder per log when ``log_cols`` is
+    given (``partitionBy``), and in it one per batch; writing a batch again replaces it, and no other batch is touched.
+
+    The number of parts follows the input's size, ``file_bytes`` each; where the estimate is too low, a part goes on
+    in further files of ``file_bytes // line_bytes`` lines."""
+    n = n_files or files_for(lines, file_bytes)
+    ordered = lines.repartitionByRange(n, *log_cols, seq_col).sortWithinPartitions(*log_cols, seq_col).drop(seq_col)
+    if log_cols:
+        ordered = ordered.withColumn("batch", F.lit(batch))
+    writer = ordered.write.mode("overwrite").option("maxRecordsPerFile", max(1, file_bytes // line_bytes))
     if log_cols:
-        ordered.drop(seq_col).withColumn("batch", F.lit(batch)).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy(*log_cols, "batch").text(path)
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(*log_cols, "batch").text(path)
     else:
-        ordered.drop(seq_col).write.mode("overwrite").text(f"{path}/batch={batch}")
+        writer.text(f"{path}/batch={batch}")
 
 
 def last_batch(spark, path: str) -> int:
@@ -137,10 +152,11 @@ def scan_log(spark, path: str, log_cols: list[str] | None = None) -> DataFrame:
     """Read a JSON Lines log in file order.
 
     Blank lines are skipped and not counted.  Output: log columns, seq (0-based
-    line index among non-blank lines of the log), raw, and the parsed fields
+    line index among non-blank lines of the log), raw, corrupt (the line is not a
+    JSON object; its text is in raw all the same), and the parsed fields
     ``hash``/``prev_hash``/``tier``/... via ``get_json_object`` (null when the
-    line is malformed; ``corrupt`` says so).  Numbering uses the split
-    position and a per-task running id: no shuffle of the lines.
+    line is corrupt).  Numbering uses the split position and a per-task running
+    id: no shuffle of the lines.
     """
     log_cols = log_cols or []
     base = (spark.read.text(path)
@@ -149,6 +165,7 @@ def scan_log(spark, path: str, log_cols: list[str] | None = None) -> DataFrame:
                     # numbers, not path text: part-100000 comes after part-99999
                     F.struct(F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).try_cast("bigint").alias("batch"),
                              F.regexp_extract(F.col("_metadata.file_path"), r"/part-(\d+)", 1).try_cast("bigint").alias("part"),
+                             F.regexp_extract(F.col("_metadata.file_path"), r"-c(\d+)\.\w+$", 1).try_cast("bigint").alias("file"),
                              F.col("_metadata.file_path").alias("path")).alias("_f"),
                     F.col("_metadata.file_block_start").alias("_b"))
             .withColumn("_m", F.monotonically_increasing_id()))
@@ -157,18 +174,16 @@ def scan_log(spark, path: str, log_cols: list[str] | None = None) -> DataFrame:
     offs = splits.select(*log_cols, "_f", "_b", "_m0", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
     j = base.join(offs, [*log_cols, "_f", "_b"])
     raw = F.col("value")
-    return j.select(
+    parsed = F.try_parse_json(raw)
+
+    def text(name: str) -> Column:
+        return F.when(~F.col("corrupt"), F.get_json_object("raw", f"$.{name}")).alias(name)
+    x = j.select(
         *log_cols,
         (F.col("_off") + F.col("_m") - F.col("_m0")).cast("bigint").alias("seq"),
-        raw.alias("raw"),
-        F.get_json_object(raw, "$.hash").alias("hash"),
-        F.get_json_object(raw, "$.prev_hash").alias("prev_hash"),
-        F.get_json_object(raw, "$.tier").alias("tier"),
-        F.get_json_object(raw, "$.tenant").alias("tenant_field"),
-        F.get_json_object(raw, "$.timestamp").alias("timestamp"),
-        F.get_json_object(raw, "$.status").alias("status"),
-        F.get_json_object(raw, "$.request_id").alias("request_id"),
-    )
+        raw.alias("raw"), (parsed.isNull() | ~raw.rlike(r"^\s*\{")).alias("corrupt"))
+    return x.select(*log_cols, "seq", "raw", "corrupt", text("hash"), text("prev_hash"), text("tier"),
+                    text("tenant").alias("tenant_field"), text("timestamp"), text("status"), text("request_id"))
 
 
 ENTRY_SCHEMA = ("timestamp string, tenant string, user string, tier string, model string, request_id string, "
@@ -177,8 +192,8 @@ ENTRY_SCHEMA = ("timestamp string, tenant string, user string, tier string, mode
                 "prev_hash string, hash string")
 
 
-def recompute_hash(raw: Column) -> Column:
-    """Canonical body hash of a raw log line.
+def recompute_parts(raw: Column) -> tuple[Column, Column]:
+    """Canonical body hash of a raw log line: (whether it can be computed natively, that hash).
 
     Native when the line is printable ASCII and re-serialising its parsed
     form gives back exactly the same bytes (then the parsed struct is a
@@ -192,26 +207,18 @@ def recompute_hash(raw: Column) -> Column:
     body = F.to_json(F.struct(*[(H.sorted_map(p[c]) if c == "redaction_stats" else p[c]).alias(c)
                                 for c in H.BODY_FIELDS]), {"ignoreNullFields": "false"})
     fast = F.coalesce(raw.rlike(H.PRINTABLE_ASCII) & (reser == raw), F.lit(False))
-    return F.coalesce(F.when(fast, H.sha256_text(body)), H.canonical_hash_udf(F.when(~fast, raw)))
-
-
-def recompute_parts(raw: Column) -> tuple[Column, Column]:
-    """(fast flag, native hash) of ``recompute_hash`` as separate columns."""
-    p = F.from_json(raw, ENTRY_SCHEMA)
-    cols = sorted(set(H.ENTRY_FIELDS))
-    reser = F.to_json(F.struct(*[(H.sorted_map(p[c]) if c == "redaction_stats" else p[c]).alias(c) for c in cols]),
-                      {"ignoreNullFields": "false"})
-    body = F.to_json(F.struct(*[(H.sorted_map(p[c]) if c == "redaction_stats" else p[c]).alias(c)
-                                for c in H.BODY_FIELDS]), {"ignoreNullFields": "false"})
-    fast = F.coalesce(raw.rlike(H.PRINTABLE_ASCII) & (reser == raw), F.lit(False))
     return fast, H.sha256_text(body)
 
 
-def verify_chain(lines: DataFrame, log_cols: list[str] | None = None) -> DataFrame:
+def verify_chain(lines: DataFrame, log_cols: list[str] | None = None, bucket_width: int = 1 << 16) -> DataFrame:
     """Per log: n_entries, n_broken, broken_at (first broken 0-based index or
     null), ok.  A line is broken if it is malformed, its prev_hash differs from
     the previous line's recorded hash (null for the first line), or its body
-    hash does not recompute."""
+    hash does not recompute.
+
+    One shuffle: within (log, bucket) a lag gives the line before, and the same
+    partitioning sums each bucket up; the first line of a bucket is judged in
+    the (logs x buckets) table against the last hash of the bucket before."""
     log_cols = log_cols or []
     # the fast flag and the native hash are computed once in their own
     # projection (referenced twice, so Catalyst keeps them as columns); only
@@ -221,15 +228,21 @@ def verify_chain(lines: DataFrame, log_cols: list[str] | None = None) -> DataFra
          .select(*log_cols, "seq", "hash", "prev_hash",
                  F.coalesce(F.when(F.col("_fast"), F.col("_nat")),
                             H.canonical_hash_udf(F.when(~F.col("_fast"), F.col("raw")))).alias("_re")))
-    prev = x.select(*log_cols, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_prev_rec"))
-    j = x.join(prev, [*log_cols, "seq"], "left")
-    broken = (F.col("_re").isNull() | ~F.col("prev_hash").eqNullSafe(F.col("_prev_rec"))
-              | ~F.col("_re").eqNullSafe(F.col("hash")))
-    agg = j.withColumn("_broken", broken)
-    grouped = agg.groupBy(*log_cols) if log_cols else agg.groupBy()
-    out = grouped.agg(F.count(F.lit(1)).alias("n_entries"),
-                      F.count(F.when(F.col("_broken"), 1)).alias("n_broken"),
-                      F.min(F.when(F.col("_broken"), F.col("seq"))).alias("broken_at"))
+    x = x.select(*log_cols, "seq", "hash", "prev_hash", F.floor(F.col("seq") / bucket_width).alias("_bkt"),
+                 (F.col("_re").isNull() | ~F.col("_re").eqNullSafe(F.col("hash"))).alias("_bad"))
+    w = Window.partitionBy(*log_cols, "_bkt").orderBy("seq")
+    x = x.withColumns({"_before": F.lag("hash").over(w), "_later": F.lag(F.lit(True), 1, False).over(w)})
+    broken = F.col("_bad") | (F.col("_later") & ~F.col("prev_hash").eqNullSafe(F.col("_before")))
+    buckets = x.groupBy(*log_cols, "_bkt").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(broken, 1)).alias("bad"), F.min(F.when(broken, F.col("seq"))).alias("at"),
+        F.min("seq").alias("first"), F.min_by(F.struct("prev_hash", "_bad"), "seq").alias("head"),
+        F.max_by(F.struct("hash"), "seq").alias("tail"))
+    seam = (~F.col("head.prev_hash").eqNullSafe(F.lag("tail.hash").over(Window.partitionBy(*log_cols).orderBy("_bkt"))) & ~F.col("head._bad"))
+    buckets = buckets.withColumn("seam", seam)
+    grouped = buckets.groupBy(*log_cols) if log_cols else buckets.groupBy()
+    out = grouped.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_entries"),
+                      F.coalesce(F.sum(F.col("bad") + F.col("seam").cast("int")), F.lit(0)).alias("n_broken"),
+                      F.least(F.min("at"), F.min(F.when(F.col("seam"), F.col("first")))).alias("broken_at"))
     return out.withColumn("ok", F.col("broken_at").isNull())
 
 
@@ -271,6 +284,12 @@ def kpi_today(entries: DataFrame, as_of: str, limit: int | None = None, seq_col:
                                                    .otherwise(F.lit(" entities")), F.lit(" redacted today"))))
 
 
+def on_day(df: DataFrame, as_of: str, ts_col: str = "ts") -> DataFrame:
+    """Rows of one UTC day by a timestamp column: a range, so it prunes files and row groups at the scan."""
+    day = F.lit(as_of).cast("date")
+    return df.where((F.col(ts_col) >= day.cast("timestamp")) & (F.col(ts_col) < F.date_add(day, 1).cast("timestamp")))
+
+
 def today_filter(entries: DataFrame, as_of: str, ts_col: str = "timestamp") -> DataFrame:
     """Entries whose timestamp string starts with the UTC date ``as_of``."""
     return entries.where(F.col(ts_col).startswith(as_of))

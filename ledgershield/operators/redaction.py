@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import redact as R
 from ..functions.patterns import DETECTORS, Detector
+from .spans import redact_by_spans
 
-BACKEND = "regex"
+REGEX, SPANS = "regex", "spans"
 
 
 def detector(entity: str) -> Detector:
@@ -36,9 +37,23 @@ def detect_entities(df: DataFrame, id_cols: list[str], text_col: str, entity: st
                     F.array_join("_h", "|").alias("hits")))
 
 
-def redact_text(df: DataFrame, text_col: str) -> DataFrame:
-    """Input columns + redacted_text, tokens, stats, n_entities, n_<type>, backend."""
-    return R.redact(df, text_col).withColumn("backend", F.lit(BACKEND))
+def redact_text(df: DataFrame, text_col: str, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
+    """Input columns + redacted_text, tokens, stats, n_entities, n_<type>, backend.  ``detectors`` apply in order; own
+    ones may be added (``DETECTORS + (Detector(...),)``)."""
+    return R.redact(df, text_col, detectors).withColumn("backend", F.lit(REGEX))
+
+
+def redact_documents(docs: DataFrame, spans: DataFrame | None = None, prefer: str | None = None,
+                     detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, redacted_text, stats, backend.
+
+    With the spans of a detector the span path is taken, without them the patterns; ``prefer="regex"`` forces the
+    patterns, ``prefer="spans"`` is an error without spans."""
+    if prefer not in (None, REGEX, SPANS) or prefer == SPANS and spans is None:
+        raise ValueError(f"no backend {prefer!r} here")
+    if spans is None or prefer == REGEX:
+        return redact_text(docs.select("doc_id", "text"), "text", detectors).select("doc_id", "redacted_text", "stats", "backend")
+    return redact_by_spans(docs, spans).select("doc_id", "redacted_text", "stats", F.lit(SPANS).alias("backend"))
 
 
 def stats_long(redacted: DataFrame, id_cols: list[str]) -> DataFrame:
@@ -78,39 +93,47 @@ def entity_corpus_stats(redacted: DataFrame) -> DataFrame:
                                     F.sum("n").cast("bigint").alias("n_values"))
 
 
-def redact_messages(messages: DataFrame, key: str = "request_id", order_col: str = "turn",
+Key = str | list[str]
+
+
+def _keys(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def redact_messages(messages: DataFrame, key: Key = "request_id", order_col: str = "turn",
                     text_col: str = "text") -> DataFrame:
     """Redact every message separately (tokens restart per message, as in the
     multi-message tier).  Returns per message: key, order, redacted_text, tokens,
-    stats, n_entities, n_<type>."""
-    return R.redact(messages.select(key, order_col, text_col), text_col)
+    stats, n_entities, n_<type>.  ``key`` must identify a request: a short request
+    id is a label, give the column that it comes from with it."""
+    return R.redact(messages.select(*_keys(key), order_col, text_col), text_col)
 
 
-def merged_stats(redacted_msgs: DataFrame, key: str = "request_id") -> DataFrame:
+def merged_stats(redacted_msgs: DataFrame, key: Key = "request_id") -> DataFrame:
     """Stats added over the messages of a request: key, entity, n."""
-    return (redacted_msgs.select(key, F.explode("stats").alias("entity", "n"))
-            .groupBy(key, "entity").agg(F.sum("n").cast("bigint").alias("n")))
+    return (redacted_msgs.select(*_keys(key), F.explode("stats").alias("entity", "n"))
+            .groupBy(*_keys(key), "entity").agg(F.sum("n").cast("bigint").alias("n")))
 
 
-def merged_rehydration(redacted_msgs: DataFrame, key: str = "request_id", order_col: str = "turn") -> DataFrame:
+def merged_rehydration(redacted_msgs: DataFrame, key: Key = "request_id", order_col: str = "turn") -> DataFrame:
     """Per-request token map merged over messages, *first message wins* when
     two messages produced the same token (reference behaviour; see
     ``request_token_map`` for the collision-free numbering)."""
-    ex = redacted_msgs.select(key, order_col, F.explode("tokens").alias("t"))
-    return (ex.groupBy(key, F.col("t.token").alias("token"))
+    ex = redacted_msgs.select(*_keys(key), order_col, F.explode("tokens").alias("t"))
+    return (ex.groupBy(*_keys(key), F.col("t.token").alias("token"))
             .agg(F.min_by(F.col("t.value"), F.col(order_col)).alias("value")))
 
 
-def request_token_map(redacted_msgs: DataFrame, key: str = "request_id", order_col: str = "turn") -> DataFrame:
+def request_token_map(redacted_msgs: DataFrame, key: Key = "request_id", order_col: str = "turn") -> DataFrame:
     """Collision-free token map per request (deliberate fix): distinct values are
     numbered per (request, type) by first occurrence over all messages.
 
     The window is partitioned by (request, type); its size is the number of
     distinct sensitive values in one request, bounded by the prompt size.
     """
-    ex = redacted_msgs.select(key, order_col, F.posexplode("tokens").alias("pos", "t"))
-    first = (ex.groupBy(key, F.col("t.entity").alias("entity"), F.col("t.value").alias("value"))
+    ex = redacted_msgs.select(*_keys(key), order_col, F.posexplode("tokens").alias("pos", "t"))
+    first = (ex.groupBy(*_keys(key), F.col("t.entity").alias("entity"), F.col("t.value").alias("value"))
              .agg(F.min(F.struct(F.col(order_col), F.col("pos"))).alias("first")))
-    w = Window.partitionBy(key, "entity").orderBy("first")
-    return first.select(key, "entity", "value",
+    w = Window.partitionBy(*_keys(key), "entity").orderBy("first")
+    return first.select(*_keys(key), "entity", "value",
                         F.format_string("[%s_%04d]", F.col("entity"), F.row_number().over(w)).alias("token"))

@@ -1,14 +1,23 @@
 """Tier routing by per-tenant policy.
 
 Policies are configuration (one small row per tenant with its ordered rule
-list).  They are joined to the request table once, broadcast after a size
-check, and the first firing rule is chosen row-locally with higher-order
-functions, so routing adds no shuffle of the request table.
+list).  They are joined to the request table once, without a hint: while the
+policy table is below Spark's broadcast threshold, routing adds no shuffle of
+the request table.  The first firing rule is chosen row-locally with
+higher-order functions.
+
+A rule's conditions are looked up by their key in the policy document:
+``RULE_TYPES`` holds the built-in ones, ``with_rule_type`` adds one.
 """
 
 from __future__ import annotations
 
-from pathlib import Path
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +25,14 @@ from pyspark.sql import types as T
 
 from ..functions.patterns import DEFAULT_RULES, DEFAULT_TIER, TIERS
 from ..functions.redact import sensitivity_total
+from ..sources import files
 
 RULE_TYPE = T.StructType([
     T.StructField("rule_no", T.IntegerType()),
     T.StructField("entity_in", T.ArrayType(T.StringType())),
     T.StructField("max_entities_gt", T.IntegerType()),
     T.StructField("then_tier", T.StringType()),
+    T.StructField("params", T.MapType(T.StringType(), T.StringType())),
 ])
 POLICY_SCHEMA = T.StructType([
     T.StructField("tenant", T.StringType()),
@@ -33,9 +44,13 @@ POLICY_SCHEMA = T.StructType([
 ])
 
 
+BUILT_IN = ("if_entity_in", "if_max_entities_gt", "then_tier")
+
+
 def _policy_row(tenant: str, doc: dict | None) -> tuple:
     """Apply the loading defaults: no document -> all defaults with name = tenant;
-    missing ``rules`` key -> default rules; explicit empty list -> no rules."""
+    missing ``rules`` key -> default rules; explicit empty list -> no rules.
+    Keys that are not built in go to ``params`` as JSON."""
     found = doc is not None
     doc = doc or {}
     rules = doc.get("rules")
@@ -46,7 +61,7 @@ def _policy_row(tenant: str, doc: dict | None) -> tuple:
         wanted = r.get("if_entity_in")
         thr = r.get("if_max_entities_gt")
         rows.append((i, list(wanted) if wanted else None, int(thr) if thr is not None else None,
-                     r.get("then_tier")))
+                     r.get("then_tier"), {k: json.dumps(v) for k, v in r.items() if k not in BUILT_IN}))
     return (tenant, doc.get("name", tenant), doc.get("default_tier", DEFAULT_TIER),
             bool(doc.get("allow_tier_override_via_header", False)), rows, found)
 
@@ -56,15 +71,22 @@ def policies_from_docs(spark: SparkSession, docs: dict[str, dict | None]) -> Dat
     return spark.createDataFrame([_policy_row(t, d) for t, d in sorted(docs.items())], POLICY_SCHEMA)
 
 
-def load_policies(spark: SparkSession, tenants_dir: str, tenant_ids: list[str]) -> DataFrame:
-    """Read ``<tenants_dir>/<tenant>.yaml`` for each tenant (config, parsed on
-    the driver: a handful of small files).  Missing file -> defaults."""
-    import yaml
-    docs = {}
-    for t in tenant_ids:
-        p = Path(tenants_dir) / f"{t}.yaml"
-        docs[t] = (yaml.safe_load(p.read_text()) or {}) if p.exists() else None
-    return policies_from_docs(spark, docs)
+def load_policies(spark: SparkSession, tenants_dir: str) -> DataFrame:
+    """The policies in ``<tenants_dir>/<tenant>.yaml``, read by Spark as whole files from any file system and parsed
+    in the tasks.  A folder that is missing or empty has no policies; an empty document has all defaults."""
+    if not files.exists(spark, tenants_dir):
+        return spark.createDataFrame([], POLICY_SCHEMA)
+    docs = spark.read.option("pathGlobFilter", "*.yaml").text(tenants_dir, wholetext=True) \
+        .select(F.regexp_replace(F.col("_metadata.file_name"), r"\.yaml$", "").alias("tenant"), F.col("value").alias("doc"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+        for b in batches:
+            rows = [_policy_row(t, yaml.safe_load(d) or {}) for t, d in zip(b["tenant"], b["doc"])]
+            out = pd.DataFrame(rows, columns=POLICY_SCHEMA.names)
+            out["rules"] = [[dict(zip(RULE_TYPE.names, r)) for r in rules] for rules in out["rules"]]
+            yield out
+    return docs.mapInPandas(parse, POLICY_SCHEMA)
 
 
 def rules_long(policies: DataFrame) -> DataFrame:
@@ -86,9 +108,41 @@ def threshold_condition(rule: Column, total: Column) -> Column:
     return rule["max_entities_gt"].isNotNull() & (total > rule["max_entities_gt"])
 
 
-def rule_fires(rule: Column, stats: Column, total: Column) -> Column:
-    """A rule fires when it names a tier and either condition holds (OR)."""
-    return rule["then_tier"].isNotNull() & (entity_condition(rule, stats) | threshold_condition(rule, total))
+@dataclass(frozen=True)
+class Request:
+    """What a condition may look at: the counts per type, their sum, and any other column of the request."""
+    stats: Column
+    total: Column
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
+
+
+Condition = Callable[[Column, Request], Column]
+# key in a rule document -> whether the rule's condition of that kind holds
+RULE_TYPES: dict[str, Condition] = {
+    "if_entity_in": lambda rule, request: entity_condition(rule, request.stats),
+    "if_max_entities_gt": lambda rule, request: threshold_condition(rule, request.total),
+}
+
+
+def param(rule: Column, key: str, kind: str) -> Column:
+    """The value that a rule document has under ``key``, as ``kind``; null if it has none or one of another kind."""
+    return F.from_json(F.concat(F.lit('{"v":'), rule["params"][key], F.lit("}")), f"v {kind}")["v"]
+
+
+def with_rule_type(key: str, condition: Condition, types: dict[str, Condition] = RULE_TYPES) -> dict[str, Condition]:
+    """``types`` and one more, for rule documents that use ``key``.  ``condition`` gets the rule (``param`` reads its value)
+    and the request; a rule without the key never fires by it."""
+    if key in BUILT_IN:
+        raise ValueError(f"{key} is built in")
+    return types | {key: lambda rule, request: F.map_contains_key(rule["params"], F.lit(key)) & F.coalesce(condition(rule, request), F.lit(False))}
+
+
+def rule_fires(rule: Column, stats: Column, total: Column, types: dict[str, Condition] = RULE_TYPES) -> Column:
+    """A rule fires when it names a tier and any of its conditions holds (OR)."""
+    request = Request(stats, total)
+    return rule["then_tier"].isNotNull() & reduce(Column.__or__, [holds(rule, request) for holds in types.values()])
 
 
 def _rules_literal(rows: list[tuple]) -> Column:
@@ -96,14 +150,15 @@ def _rules_literal(rows: list[tuple]) -> Column:
                       (F.array(*[F.lit(x) for x in ents]) if ents else F.lit(None)).cast("array<string>")
                       .alias("entity_in"),
                       F.lit(thr).cast("int").alias("max_entities_gt"),
-                      F.lit(tier).cast("string").alias("then_tier"))
-             for n, ents, thr, tier in rows]
+                      F.lit(tier).cast("string").alias("then_tier"),
+                      F.create_map().cast("map<string,string>").alias("params"))
+             for n, ents, thr, tier, _ in rows]
     return F.array(*items).cast(T.ArrayType(RULE_TYPE))
 
 
 def with_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
-    """Left join requests to their tenant policy (broadcast after a size check).
-    A tenant without a policy row gets the defaults; ``policy_found`` says so."""
+    """Left join requests to their tenant policy.  A tenant without a policy row gets the defaults;
+    ``policy_found`` says so."""
     default_rules = _rules_literal(_policy_row("_", None)[4])
     j = requests.join(policies, "tenant", "left")
     return j.select(
@@ -117,7 +172,7 @@ def with_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def route(requests: DataFrame, policies: DataFrame, stats_col: str = "stats",
-          explicit_col: str = "explicit_tier") -> DataFrame:
+          explicit_col: str = "explicit_tier", rule_types: dict[str, Condition] = RULE_TYPES) -> DataFrame:
     """Routing decision per request.
 
     Order: honoured override -> first firing rule (lowest rule_no) -> default tier.
@@ -129,7 +184,7 @@ def route(requests: DataFrame, policies: DataFrame, stats_col: str = "stats",
     total = sensitivity_total(stats)
     rules_sorted = F.array_sort(F.col("rules"), lambda a, b: F.when(a["rule_no"] < b["rule_no"], -1)
                                 .when(a["rule_no"] > b["rule_no"], 1).otherwise(0))
-    fired = F.filter(rules_sorted, lambda r: rule_fires(r, stats, total))
+    fired = F.filter(rules_sorted, lambda r: rule_fires(r, stats, total, rule_types))
     first = F.when(F.size(fired) > 0, F.element_at(fired, 1))
     explicit = F.col(explicit_col)
     has_explicit = explicit.isNotNull() & (explicit != "")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as AU
 from ..session import scratch_path
 from ..sources import domain as D
+from ..sources.tables import table
 from .registry import register
 
 AS_OF_DAY = "2024-01-15"
@@ -57,6 +58,11 @@ def _entries(spark, sf_dir):
     return AU.build_entries(D.audit_calls(spark, sf_dir))
 
 
+def _entries_of(spark, sf_dir, day: str):
+    """Entries of one day: the day is a range of the event time, which reaches the scan."""
+    return AU.build_entries(D.audit_calls(spark, sf_dir, AU.on_day(table(spark, sf_dir, "events"), day)))
+
+
 def _chained(spark, sf_dir):
     return AU.link_chain(_entries(spark, sf_dir), [])
 
@@ -101,6 +107,19 @@ def audit_scan(spark, sf_dir):
     return _written_shared_log(spark, sf_dir).select("seq", "request_id", "tier", "hash", "prev_hash")
 
 
+@register("audit_scan_corrupt", "2.1", f"""WITH {ENTRIES_CTE}
+SELECT seq, seq % {TAMPER_MOD} = {TAMPER_AT} AS corrupt, CASE WHEN seq % {TAMPER_MOD} = {TAMPER_AT} THEN substr(body, 1, 18) END AS raw,
+       CASE WHEN seq % {TAMPER_MOD} <> {TAMPER_AT} THEN request_id END AS request_id FROM chained""")
+def audit_scan_corrupt(spark, sf_dir):
+    """Some lines of the log are cut off: they come out marked, with the text that is left, and the others as they are."""
+    e = _chained(spark, sf_dir)
+    line = AU.entry_line(e)
+    cut = e.select("seq", F.when(F.col("seq") % TAMPER_MOD == TAMPER_AT, F.substring(line, 1, 18)).otherwise(line).alias("value"))
+    path = scratch_path(spark, f"audit-cut-{uuid.uuid4().hex}")
+    AU.write_lines(cut, path, [])
+    return AU.scan_log(spark, path).select("seq", "corrupt", F.when(F.col("corrupt"), F.col("raw")).alias("raw"), "request_id")
+
+
 @register("audit_append_existing", "2.1", f"""WITH {ENTRIES_CTE}
 SELECT count(*)::BIGINT AS n_entries, 0::BIGINT AS n_broken, TRUE AS ok, 1::BIGINT AS n_first,
        (SELECT arg_max(hash, seq) FROM entries) AS last_hash FROM entries""")
@@ -194,7 +213,7 @@ SELECT '{AS_OF_DAY}' AS day, calls, public, private, sealed, entities,
 FROM k""")
 def kpi_today(spark, sf_dir):
     """KPI tiles for one day over all entries (exact)."""
-    return AU.kpi_today(_entries(spark, sf_dir), AS_OF_DAY)
+    return AU.kpi_today(_entries_of(spark, sf_dir, AS_OF_DAY), AS_OF_DAY)
 
 
 @register("kpi_today_last100", "2.6", f"""WITH {ENTRIES_CTE},
@@ -211,7 +230,7 @@ def kpi_today_last100(spark, sf_dir):
 @register("today_filter", "2.2", f"""WITH {ENTRIES_CTE}
 SELECT seq, request_id, tier FROM entries WHERE starts_with(timestamp, '{AS_OF_DAY}')""")
 def today_filter(spark, sf_dir):
-    return AU.today_filter(_entries(spark, sf_dir), AS_OF_DAY).select("seq", "request_id", "tier")
+    return AU.today_filter(_entries_of(spark, sf_dir, AS_OF_DAY), AS_OF_DAY).select("seq", "request_id", "tier")
 
 
 @register("audit_row_view", "2.2", f"""WITH {ENTRIES_CTE}

@@ -112,13 +112,16 @@ def rehydrate(spark, sf_dir):
     """Responses echo the redacted prompt plus an unknown token; rehydration
     must give back the original prompt and leave the unknown token alone."""
     r = RD.redact_text(D.prompt_requests(spark, sf_dir), "text")
-    key = ["o_orderkey", "request_id"]      # the short id alone is a label: two requests may share it
+    key = KEY
     responses = r.select("o_orderkey", "request_id", F.concat(F.lit("Seen: "), F.col("redacted_text"),
                                                 F.lit(" [EMAIL_9999]")).alias("text"))
     toks = RD.tokens_long(r, key)
     return RD.rehydrate(responses, toks, key).drop("o_orderkey")
 
 
+KEY = ["o_orderkey", "request_id"]      # the short id alone is a label: two requests may share it
+
+
 def prompt_messages(spark, sf_dir) -> DataFrame:
     """Three messages per prompt request; the follow-up names a second vendor so
     per-message token numbering collides ([VENDOR_0001] twice)."""
@@ -126,10 +129,10 @@ def prompt_messages(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey")
     follow = F.concat(F.lit("Follow-up: also Vendor"), (k % 89 + 1000).cast("string"),
                       F.lit(" AG and CHF "), (k % 9000 + 1000).cast("string"), F.lit("."))
-    return (p.select("request_id", F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
-            .unionByName(p.select("request_id", F.lit(1).alias("turn"), F.lit("assistant").alias("role"),
+    return (p.select(*KEY, F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
+            .unionByName(p.select(*KEY, F.lit(1).alias("turn"), F.lit("assistant").alias("role"),
                                   F.lit("Noted.").alias("text")))
-            .unionByName(p.select("request_id", F.lit(2).alias("turn"), F.lit("user").alias("role"),
+            .unionByName(p.select(*KEY, F.lit(2).alias("turn"), F.lit("user").alias("role"),
                                   follow.alias("text"))))
 
 
@@ -149,8 +152,8 @@ _RED_MSGS, _RED_MSGS_LAST = redaction_ctes("msgs", "text", "rm")
 s AS ({stats_long_select(_RED_MSGS_LAST, "request_id, turn")})
 SELECT request_id, entity, sum(n)::BIGINT AS n FROM s GROUP BY request_id, entity""")
 def redact_messages(spark, sf_dir):
-    r = RD.redact_messages(prompt_messages(spark, sf_dir))
-    return RD.merged_stats(r)
+    r = RD.redact_messages(prompt_messages(spark, sf_dir), KEY)
+    return RD.merged_stats(r, KEY).drop("o_orderkey")
 
 
 @register("rehydration_merge", "2.3", f"""WITH {PROMPT_MESSAGES_CTE},
@@ -158,8 +161,8 @@ def redact_messages(spark, sf_dir):
 x AS (SELECT request_id, turn, unnest(toks) AS t FROM {_RED_MSGS_LAST})
 SELECT request_id, t.token AS token, arg_min(t.value, turn) AS value FROM x GROUP BY request_id, t.token""")
 def rehydration_merge(spark, sf_dir):
-    r = RD.redact_messages(prompt_messages(spark, sf_dir))
-    return RD.merged_rehydration(r)
+    r = RD.redact_messages(prompt_messages(spark, sf_dir), KEY)
+    return RD.merged_rehydration(r, KEY).drop("o_orderkey")
 
 
 @register("request_token_map", "2.3", f"""WITH {PROMPT_MESSAGES_CTE},
@@ -171,8 +174,8 @@ SELECT request_id, entity, value,
        printf('[%s_%04d]', entity, row_number() OVER (PARTITION BY request_id, entity ORDER BY first)) AS token
 FROM f""")
 def request_token_map(spark, sf_dir):
-    r = RD.redact_messages(prompt_messages(spark, sf_dir))
-    return RD.request_token_map(r)
+    r = RD.redact_messages(prompt_messages(spark, sf_dir), KEY)
+    return RD.request_token_map(r, KEY).drop("o_orderkey")
 
 
 _RED_NULL, _RED_NULL_LAST = redaction_ctes(
@@ -195,7 +198,7 @@ def _policy_values_sql() -> tuple[str, str]:
     for tenant, doc in sorted(D.policy_catalog().items()):
         t, name, default_tier, allow, rows, found = RT._policy_row(tenant, doc)
         pol.append(f"({q(t)}, {q(name)}, {q(default_tier)}, {str(allow).upper()}, {str(found).upper()})")
-        for n, ents, thr, tier in rows:
+        for n, ents, thr, tier, _ in rows:
             ent_sql = "[" + ", ".join(q(e) for e in ents) + "]" if ents else "NULL::VARCHAR[]"
             rules.append(f"({q(t)}, {n}, {ent_sql}, {thr if thr is not None else 'NULL::INTEGER'}, "
                          f"{q(tier) if tier else 'NULL::VARCHAR'})")
@@ -248,7 +251,7 @@ def _policies(spark):
 
 def _redacted_requests(spark, sf_dir):
     return RD.redact_text(D.prompt_requests(spark, sf_dir), "text").select(
-        "request_id", "tenant", "explicit_tier", "stats")
+        *KEY, "tenant", "explicit_tier", "stats")
 
 
 @register("route_decision", "2.4", f"""WITH {ROUTE_CTES}
@@ -342,16 +345,18 @@ def tier_breakdown(spark, sf_dir):
 
 @register("last_user_text", "2.2", """
 SELECT 'req_' || substr(sha256('conv:' || conv_id::VARCHAR), 1, 16) AS request_id,
-       coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS last_user_text,
+       coalesce(arg_max(CASE WHEN (conv_id + turn) % 7 = 6 THEN '' ELSE coalesce(text, '') END, turn) FILTER (WHERE role = 'user'), '')
+         AS last_user_text,
        count(*)::BIGINT AS n_messages
 FROM conversations GROUP BY conv_id""")
 def last_user_text(spark, sf_dir):
-    """Only the last user message of a request is classified ('' if none)."""
+    """Only the last user message of a request is classified: '' if there is none or its content is not text."""
     m = D.chat_messages(spark, sf_dir)
-    return (m.groupBy("request_id")
-            .agg(F.coalesce(F.max_by(F.when(F.col("role") == "user", F.col("text")),
-                                     F.when(F.col("role") == "user", F.col("turn"))), F.lit("")).alias("last_user_text"),
-                 F.count(F.lit(1)).alias("n_messages")))
+    of_user = F.when(F.col("role") == "user", F.col("turn"))
+    text = F.when(F.col("block_type") == "text", F.coalesce("text", F.lit(""))).otherwise(F.lit(""))
+    return (m.groupBy("conv_id", "request_id")
+            .agg(F.coalesce(F.max_by(F.when(F.col("role") == "user", text), of_user), F.lit("")).alias("last_user_text"),
+                 F.count(F.lit(1)).alias("n_messages")).drop("conv_id"))
 
 
 @register("request_defaults", "2.2", f"""WITH {PROMPTS_CTE}
@@ -390,8 +395,8 @@ def usage_map(spark, sf_dir):
     """Usage map of the multi-message tier: entities_redacted = sum of stats,
     plus each stat re-keyed redacted_<type>; as (request_id, key, value) rows."""
     msgs = prompt_messages(spark, sf_dir)
-    r = RD.redact_messages(msgs)
-    per = (r.groupBy("request_id")
+    r = RD.redact_messages(msgs, KEY)
+    per = (r.groupBy(*KEY)
            .agg(F.sum("n_entities").cast("bigint").alias("total"),
                 *[F.sum(c).cast("bigint").alias(c) for c in N_COLS]))
     m = F.map_concat(

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.patterns import DETECTORS
+from ..functions import timing as TM
+from ..functions.patterns import DEFAULT_MODEL, DETECTORS, Detector
+from ..operators import envelope as EN
 from ..operators import redaction as RD
 from ..operators import routing as RT
 from ..session import scratch_path
 from ..sources import domain as D
-from .gateway import ROUTE_CTES, _policies, _redacted_requests, _routed, corpus
-from .oracle_common import CORPUS_CTE, PROMPTS_CTE, q, redaction_ctes
+from ..sources import files
+from .gateway import KEY, ROUTE_CTES, _policies, _redacted_requests, corpus
+from .oracle_common import CORPUS_CTE, PROMPTS_CTE, q, redaction_ctes, total_expr
 from .registry import register
 
 MSG_CTE = """msg AS (
@@ -111,28 +113,118 @@ def prepend_system(spark, sf_dir):
         F.size("p").cast("bigint").alias("n_payload"))
 
 
-@register("response_envelope", "2.2", f"""WITH {ROUTE_CTES}
-SELECT request_id, json_object('request_id', request_id,
-         'routing', json_object('tier', tier, 'reason', reason, 'rule_no', rule_no::INTEGER,
-                                'override_denied', override_denied))::VARCHAR AS envelope FROM decision""")
+# start and end of a call as the gateway would store them, and the elapsed whole milliseconds
+TIMES_CTE = """times AS (
+  SELECT o_orderkey, o_orderdate::TIMESTAMP + to_microseconds((o_orderkey % 86400) * 1000000 + o_orderkey % 1000003) AS started_at,
+         o_orderdate::TIMESTAMP + to_microseconds((o_orderkey % 86400) * 1000000 + o_orderkey % 1000003
+                                                  + (o_orderkey * 7919) % 4000000) AS finished_at
+  FROM orders)"""
+_ELAPSED = "((epoch_us(finished_at) - epoch_us(started_at)) // 1000)::INTEGER"
+
+
+@register("elapsed_ms", "2.10", f"""WITH {TIMES_CTE}
+SELECT o_orderkey, {_ELAPSED} AS duration_ms FROM times""")
+def elapsed_ms(spark, sf_dir):
+    """Duration of a call from its stored start and end."""
+    t = D.call_times(spark, sf_dir)
+    return t.select("o_orderkey", TM.elapsed_ms(F.col("started_at"), F.col("finished_at")).alias("duration_ms"))
+
+
+_RED_E, _RED_E_LAST = redaction_ctes("prompts", "text", "re")
+_SORTED = sorted(d.entity.lower() for d in DETECTORS)
+
+
+def _stats_json(rel: str) -> str:
+    return "'{{' || concat_ws(',', " + ", ".join(f"CASE WHEN {rel}.n_{e} > 0 THEN '\"{e}\":' || {rel}.n_{e}::VARCHAR END" for e in _SORTED) + ") || '}}'"
+
+
+def _j(x: str) -> str:
+    return f"""CASE WHEN {x} IS NULL THEN 'null' ELSE '"' || {x} || '"' END"""
+
+
+# (every text here is ASCII without quotes, so a quoted string is its JSON form)
+RECORD_CTES = f"""{ROUTE_CTES}, {TIMES_CTE},
+{_RED_E},
+calls AS (
+  SELECT p.o_orderkey, p.request_id, p.tenant, p.user_name, p.text, r.t AS redacted, {total_expr('r')} AS total,
+         {_stats_json('r').replace('{{', '{').replace('}}', '}')} AS stats,
+         d.tier, d.reason, coalesce(nullif(p.model, ''), {q(DEFAULT_MODEL)}) AS model,
+         strftime(started_at, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS timestamp, {_ELAPSED} AS duration_ms,
+         'Noted: ' || CASE WHEN d.tier = 'private' THEN r.t ELSE p.text END AS answer
+  FROM prompts p JOIN decision d USING (request_id) JOIN times USING (o_orderkey) JOIN {_RED_E_LAST} r USING (o_orderkey)),
+hashed AS (
+  SELECT *, sha256('{{"duration_ms":' || duration_ms::VARCHAR || ',"error":null,"host":"gw-host-1","model":"' || model
+         || '","prompt_hash":"' || sha256(text) || '","redacted_prompt_hash":' || {_j("CASE WHEN tier = 'private' THEN sha256(redacted) END")}
+         || ',"redaction_stats":' || stats || ',"request_id":"' || request_id || '","response_hash":"' || sha256(answer)
+         || '","status":"ok","tenant":"' || tenant || '","tier":"' || tier || '","timestamp":"' || timestamp || '","user":"' || user_name || '"}}') AS hash
+  FROM calls)"""
+
+
+@register("response_envelope", "2.2", f"""WITH {RECORD_CTES}
+SELECT o_orderkey, '{{"id":"' || request_id || '","type":"message","role":"assistant","model":"' || model
+       || '","content":[{{"type":"text","text":"' || answer || '"}}],"stop_reason":"end_turn","usage":{{"input_chars":' || length(text)::VARCHAR
+       || ',"output_chars":' || length(answer)::VARCHAR || ',"entities_redacted":' || total::VARCHAR
+       || '}},"gateway":{{"tier":"' || tier || '","tier_reason":"' || reason || '","backend":"regex","tenant":"' || tenant
+       || '","redaction":' || stats || ',"duration_ms":' || duration_ms::VARCHAR || ',"audit_hash":"' || hash || '"}}}}' AS envelope FROM hashed""")
 def response_envelope(spark, sf_dir):
-    r = _routed(spark, sf_dir)
-    env = F.struct("request_id", F.struct("tier", "reason", "rule_no", "override_denied").alias("routing"))
-    return r.select("request_id", F.to_json(env, {"ignoreNullFields": "false"}).alias("envelope"))
+    """The whole record of a call as it goes back to the caller: model, content, usage, and the gateway's tier, reason,
+    backend, tenant, counts, duration and audit hash, as one nested column."""
+    requests = D.prompt_requests(spark, sf_dir)
+    model = F.coalesce(F.nullif(F.col("model"), F.lit("")), F.lit(DEFAULT_MODEL))
+    red = RD.redact_text(requests.withColumn("model", model), "text")
+    routed = RT.route(red.drop("tokens", *[c for c in red.columns if c.startswith("n_") and c != "n_entities"]), _policies(spark))
+    times = D.call_times(spark, sf_dir).select("o_orderkey", F.col("started_at"), TM.elapsed_ms(F.col("started_at"), F.col("finished_at")).alias("duration_ms"))
+    answer = F.concat(F.lit("Noted: "), F.when(F.col("tier") == "private", F.col("redacted_text")).otherwise(F.col("text")))
+    return EN.envelopes(routed.withColumn("response_text", answer).join(times, "o_orderkey"), "o_orderkey") \
+        .select("o_orderkey", F.to_json("envelope", {"ignoreNullFields": "false"}).alias("envelope"))
 
 
 @register("redactor_backend", "2.3", f"""WITH {CORPUS_CTE}
-SELECT 'regex' AS backend, count(*) AS n_texts FROM corpus""")
+SELECT CASE WHEN kind = 'doc' THEN 'spans' ELSE 'regex' END AS backend, count(*) AS n_texts FROM corpus GROUP BY 1""")
 def redactor_backend(spark, sf_dir):
-    r = RD.redact_text(corpus(spark, sf_dir).select("kind", "id", "text"), "text")
-    return r.groupBy("backend").agg(F.count(F.lit(1)).alias("n_texts"))
+    """Documents have detector spans and take the span path, the other texts the patterns; the backend column says which."""
+    texts = corpus(spark, sf_dir).select("kind", F.col("id").alias("doc_id"), "text")
+    by_spans = RD.redact_documents(texts.where("kind = 'doc'"), D.ner_spans(spark, sf_dir))
+    by_regex = RD.redact_documents(texts.where("kind != 'doc'"))
+    return by_spans.unionByName(by_regex).groupBy("backend").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
+@register("force_backend", "2.12", f"""WITH {redaction_ctes("documents", "text", "fb")[0]}
+SELECT doc_id, 'regex' AS backend, t AS redacted_text FROM {redaction_ctes("documents", "text", "fb")[1]}""")
+def force_backend(spark, sf_dir):
+    """Documents with spans, but the patterns are asked for."""
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return RD.redact_documents(docs, D.ner_spans(spark, sf_dir), prefer=RD.REGEX).select("doc_id", "backend", "redacted_text")
+
+
+LINK = Detector("LINK", r"https?://[A-Za-z0-9./_-]+", needles=("://",))
+_RED_L, _RED_L_LAST = redaction_ctes("pages", "html", "rl", DETECTORS + (LINK,))
+
+
+@register("add_detector", "2.12", f"""WITH {_RED_L}
+SELECT page_id, t AS redacted_text, n_link, n_email FROM {_RED_L_LAST}""")
+def add_detector(spark, sf_dir):
+    """Pages redacted with one more detector, after the built-in ones."""
+    pages = D.table(spark, sf_dir, "pages").select("page_id", "html")
+    return RD.redact_text(pages, "html", DETECTORS + (LINK,)).select("page_id", "redacted_text", "n_link", "n_email")
+
+
+@register("add_rule_type", "2.12", f"""WITH {PROMPTS_CTE}, {_RED_E}
+SELECT request_id, CASE WHEN length(text) > 90 THEN 'sealed' WHEN {total_expr()} > 1 THEN 'private' ELSE 'public' END AS tier,
+       CASE WHEN length(text) > 90 THEN 1 WHEN {total_expr()} > 1 THEN 2 END::INTEGER AS rule_no FROM {_RED_E_LAST}""")
+def add_rule_type(spark, sf_dir):
+    """A rule on the prompt's length, of a type that is not built in, before a built-in one."""
+    types = RT.with_rule_type("if_prompt_longer_than", lambda rule, request: F.length(request["text"]) > RT.param(rule, "if_prompt_longer_than", "int"))
+    doc = {"rules": [{"if_prompt_longer_than": 90, "then_tier": "sealed"}, {"if_max_entities_gt": 1, "then_tier": "private"}]}
+    red = RD.redact_text(D.prompt_requests(spark, sf_dir), "text").withColumn("explicit_tier", F.lit(None).cast("string"))
+    return RT.route(red, RT.policies_from_docs(spark, {t: doc for t in D.policy_catalog()}), rule_types=types).select("request_id", "tier", "rule_no")
 
 
 def _rule_rows_sql() -> str:
     rows = []
     for tenant, doc in sorted(D.policy_catalog().items()):
         t, _name, _dt, _allow, rules, found = RT._policy_row(tenant, doc)
-        for n, ents, thr, tier in rules:
+        for n, ents, thr, tier, _ in rules:
             rows.append(f"({q(t)}, {n}, {q(','.join(ents)) if ents else 'NULL'}, "
                         f"{thr if thr is not None else 'NULL::INTEGER'}, {q(tier) if tier else 'NULL'}, "
                         f"{str(found).upper()})")
@@ -159,11 +251,9 @@ def policy_defaults(spark, sf_dir):
 def _write_policy_files(spark) -> str:
     import yaml
     d = scratch_path(spark, f"tenants-{uuid.uuid4().hex}")
-    os.makedirs(d, exist_ok=True)
     for t, doc in D.policy_catalog().items():
         if doc is not None:
-            with open(os.path.join(d, f"{t}.yaml"), "w") as fh:
-                yaml.safe_dump(doc, fh)
+            files.put_once(spark, f"{d}/{t}.yaml", yaml.safe_dump(doc))
     return d
 
 
@@ -183,12 +273,9 @@ SELECT t.tenant, coalesce(f.name, t.tenant) AS name, coalesce(f.default_tier, 'p
        f.tenant IS NOT NULL AS policy_found
 FROM (SELECT DISTINCT tenant FROM prompts) t LEFT JOIN files f ON f.tenant = t.tenant""")
 def policy_load(spark, sf_dir):
-    """Tenant YAML files -> policies (parsed once on the driver: a few small
-    config files), joined to the tenants of the requests.  No file -> all
+    """Tenant YAML files -> policies, joined to the tenants of the requests.  No file -> all
     defaults with the tenant id as name; an explicit empty rule list -> no rules."""
-    d = _write_policy_files(spark)
-    ids = [f[:-5] for f in sorted(os.listdir(d)) if f.endswith(".yaml")]
-    pol = RT.load_policies(spark, d, ids)
+    pol = RT.load_policies(spark, _write_policy_files(spark))
     tenants = D.prompt_requests(spark, sf_dir).select("tenant").distinct()
     j = RT.with_policy(tenants, pol)
     return j.select("tenant", F.col("policy_name").alias("name"), "default_tier", "allow_override",
@@ -203,8 +290,8 @@ def join_rules(spark, sf_dir):
     per request the number of firing rules and the first one."""
     reqs = _redacted_requests(spark, sf_dir)
     fired = RT.fired_rules(reqs, _policies(spark), which="any")
-    g = fired.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_fired"), F.min("rule_no").alias("first_rule"))
-    return reqs.select("request_id").join(g, "request_id", "left").select(
+    g = fired.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_fired"), F.min("rule_no").alias("first_rule"))
+    return reqs.select(*KEY).join(g, KEY, "left").select(
         "request_id", F.coalesce("n_fired", F.lit(0).cast("bigint")).alias("n_fired"), "first_rule")
 
 

@@ -86,6 +86,15 @@ def prompt_requests(spark: SparkSession, sf_dir: str, orders: DataFrame | None =
     )
 
 
+def call_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start and end of the call that each order's prompt makes: o_orderkey, started_at, finished_at."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("day"))
+    k = F.col("o_orderkey")
+    start = F.unix_micros("day") + (k % 86400) * 1000000 + k % 1000003
+    return o.select("o_orderkey", F.timestamp_micros(start).alias("started_at"),
+                    F.timestamp_micros(start + (k * 7919) % 4000000).alias("finished_at"))
+
+
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form messages: request_id, conv_id, turn, role, text, tenant,
     block_type ('text', or 'image' for every seventh (conv_id + turn): a

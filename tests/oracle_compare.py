@@ -5,6 +5,7 @@ Compares row count, column names and an order-insensitive hash of values.
 """
 from __future__ import annotations
 
+import decimal
 import hashlib
 import math
 import os
@@ -32,12 +33,8 @@ def norm(v):
         return "[" + ",".join(norm(x) for x in v) + "]"
     if isinstance(v, dict):
         return "{" + ",".join(f"{k}:{norm(x)}" for k, x in sorted(v.items())) + "}"
-    try:
-        import decimal
-        if isinstance(v, decimal.Decimal):
-            return f"{float(v):.6g}"
-    except Exception:
-        pass
+    if isinstance(v, decimal.Decimal):          # exactly; the number of trailing zeros is not part of the value
+        return format(v.normalize() + 0, "f")
     return str(v)
 
 
