@@ -3,7 +3,7 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
 Beyond"): every step is one grouped minimum and one equi-join on the node, so nothing about the graph
 is gathered in the driver but two numbers per round, and the rounds grow with the logarithm of the
-longest path.  A node with very many links is a skewed join key, which adaptive execution splits.
+longest path.  A node with very many links is a hot join key: its rows are joined by broadcast (``spread_join``).
 """
 
 from __future__ import annotations
@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return spread_join(both.filter("v > u"), least, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """``edges`` has u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(edges, least, "u", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least).filter("u <> v").distinct()
 
 
@@ -35,7 +35,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = written(edges, "edges")
     mark = _mark(edges)
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        turned = written(_large_star(edges, mark[0]), "edges")
+        edges = written(_small_star(turned, mark[0]), "edges")
         before, mark = mark, _mark(edges)
         if mark == before:
             break

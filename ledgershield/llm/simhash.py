@@ -14,8 +14,10 @@ pairs:
    at distance t_i or less share a key.  One shuffle brings equal keys together.
 5. Verify: the full distance decides.  A group yields links to the fingerprint that a search first
    reached them from, at most one per member, not all pairs.  A key with more than ``HOT`` fingerprints
-   is dealt out anew by its remaining bits (the plain pigeonhole: max_bits + 1 blocks), so no task has to
-   compare a large group pairwise.
+   is dealt out anew by its remaining bits (the plain pigeonhole: max_bits + 1 blocks); a group that still has
+   more is cut into blocks of ``HOT``, and every pair of its blocks is compared by itself.  So at most two
+   blocks are compared pairwise.  Keys are counted by partial sums before their fingerprints meet; those with
+   more than a fixed share of all (``hot_keys``) never do.
 
 Only distinct fingerprints take part, so exact copies, however many, are one row.
 """
@@ -28,16 +30,16 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, written
+from .common import free_name, hot_keys, written
 from .components import connected_components
 
 BITS = 64
 SEED = 42
-HOT = 4096              # fingerprints with one key, from which the key is dealt out anew
+HOT = 4096              # fingerprints with one key, from which the key is dealt out anew; size of a block
 SHIFTED = 64            # group size up to which all members are compared by shifted vectors
 ROW_COST, PAIR_COST = 2e-6, 5e-9   # seconds for a signature row, for a compared pair
 
@@ -270,15 +272,28 @@ def find_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
             return pd.DataFrame({"a": a.view(np.int64), "b": z.view(np.int64)})
         return run
 
-    probes = fps.select("fp").mapInPandas(probe, "part int, key long, fp long")
-    sized = probes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("part", "key")))
-    cold = sized.filter(F.col("n").between(2, HOT)).select("part", "key", "fp") \
-        .mapInPandas(verify(["part", "key"]), "a long, b long")
-    names = ["part", "key", "block", "rest"]
-    hot = sized.filter(F.col("n") > HOT).select("part", "key", "fp") \
-        .mapInPandas(again, "part int, key long, block int, rest long, fp long") \
-        .repartition(*names).sortWithinPartitions(*names).mapInPandas(verify(names), "a long, b long")
-    return cold.union(hot)
+    def pairs(n: Column) -> Column:
+        """The pairs of blocks (low, high) of a group of ``n`` that a fingerprint belongs to."""
+        blocks = F.ceil(n / HOT).cast("int")
+        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+        return F.transform(F.sequence(F.lit(0), blocks - 1), lambda t: F.struct(F.least(own, t).alias("low"), F.greatest(own, t).alias("high")))
+
+    def counted(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(rows with the size ``n`` of their group, together and in order by group, without those of hot groups; the hot
+        groups' rows with theirs)"""
+        hot = F.broadcast(hot_keys(rows, names, emitted, HOT).withColumnRenamed("rows_of_key", "n"))
+        return rows.join(hot, names, "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*names))), rows.join(hot, names)
+
+    first, second, third = ["part", "key"], ["part", "key", "block", "rest"], ["part", "key", "block", "rest", "low", "high"]
+    emitted = n * sum(len(masks) for masks in balls)
+    links, small = "a long, b long", F.col("n").between(2, HOT)
+    sized, hot = counted(fps.select("fp").mapInPandas(probe, "part int, key long, fp long"), first)
+    large = sized.filter(F.col("n") > HOT).select(*first, "fp").unionByName(hot.select(*first, "fp"))
+    resized, crowded = counted(large.mapInPandas(again, "part int, key long, block int, rest long, fp long"), second)
+    full = resized.filter(F.col("n") > HOT).unionByName(crowded.select(resized.columns)).select(*second, "fp", F.inline(pairs(F.col("n"))))
+    return sized.filter(small).select(*first, "fp").mapInPandas(verify(first), links) \
+        .union(resized.filter(small).select(*second, "fp").mapInPandas(verify(second), links)) \
+        .union(full.repartition(*third).sortWithinPartitions(*third).mapInPandas(verify(third), links))
 
 
 # -- operators ----------------------------------------------------------------------------------------

@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 import xxhash
 
+from ledgershield.llm import common
 from ledgershield.llm import simhash as S
+from ledgershield.llm.components import connected_components
 
 
 def slow_fingerprint(text, k=4):
@@ -53,9 +55,11 @@ def test_nulls_empty_repeats_and_extra_columns(spark):
     assert S.simhash_components(empty).count() == 0 and S.simhash_deduplicate(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 20])
-def test_links_connect_what_all_pairs_connect(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "share"), [(4096, 1000), (20, 1000), (20, 1), (3, 10**9)])
+def test_links_connect_what_all_pairs_connect(spark, hot, share, monkeypatch):
+    """Also with groups that stay large after the second deal, counted by a window or (every key hot) beforehand."""
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(common, "SHARE", share)
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
     fps = set()
@@ -96,3 +100,13 @@ def test_every_threshold_plan_is_complete():
         for max_bits in (1, 3, 4):
             parts = S.plan(n, both * n / 500, max_bits)
             assert sum(t + 1 for _, t in parts) == max_bits + 1
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_components_of_hubs_and_paths(spark, few, monkeypatch):
+    """A hub with most links, as a hot key or not, and a long path."""
+    monkeypatch.setattr(common, "FEW", few)
+    links = [(5, 1000 + i) for i in range(400)] + [(i, i + 1) for i in range(2000, 2040)] + [(1000, 2000), (7, 8), (9, 9)]
+    got = connected_components(spark.createDataFrame(links, "x long, y long"), "x", "y").collect()
+    want = {7: 7, 8: 7} | {v: 5 for e in links[:-2] for v in e}
+    assert sorted((r["node"], r["root"]) for r in got) == sorted(want.items())
