@@ -98,8 +98,8 @@ def flows_by_currency(txns: DataFrame) -> DataFrame:
 
 def flows_by_entity(conv: DataFrame) -> DataFrame:
     """Per (entity, currency) and per entity (currency null, level 'entity'):
-    native and CHF in / out / net and counts.  One aggregation with grouping
-    sets, so the entity totals come from the same scan as the detail."""
+    native and CHF in / out / net and counts.  The totals are summed from the
+    rows per currency."""
     g = (conv.groupBy("entity", "currency").agg(
         _sum0(_in()).alias("in_native"), _sum0(_out()).alias("out_native"),
         _sum0(_in("amount_chf")).alias("in_chf"), _sum0(_out("amount_chf")).alias("out_chf"),
