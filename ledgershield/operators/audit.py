@@ -118,9 +118,9 @@ def write_lines(lines: DataFrame, path: str, log_cols: list[str], seq_col: str =
     batch number + part number + file number + line order = log order.  One folder per log when ``log_cols`` is
     given (``partitionBy``), and in it one per batch; writing a batch again replaces it, and no other batch is touched.
 
-    The number of parts follows the input's size, ``file_bytes`` each; where the estimate is too low, a part goes on
-    in further files of ``file_bytes // line_bytes`` lines."""
-    n = n_files or files_for(lines, file_bytes)
+    The number of parts follows the input's size, ``file_bytes`` each (one per core at least); where the estimate is
+    too low, a part goes on in further files of ``file_bytes // line_bytes`` lines."""
+    n = n_files or max(lines.sparkSession.sparkContext.defaultParallelism, files_for(lines, file_bytes))
     ordered = lines.repartitionByRange(n, *log_cols, seq_col).sortWithinPartitions(*log_cols, seq_col).drop(seq_col)
     if log_cols:
         ordered = ordered.withColumn("batch", F.lit(batch))
