@@ -13,7 +13,7 @@
 
 A document with fewer than ``FEW`` lexicon terms uses all its terms in the same way.
 
-Neighbours: documents are dealt to ranges of their id, and the first document of each range is also sent to
+Neighbours: documents are dealt to ranges of (id, text hash) of about as many rows each, and the first document of each range is also sent to
 the range before it (to the last one: the first of all).  So one shuffle of the texts serves the edited
 texts, the grouping of terms and the comparison with the next document.
 """
@@ -104,24 +104,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(comparable, same / either).otherwise(F.lit(0.0))
 
 
+def range_heads(places: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """The least (key, hash) of each of about ``ranges`` ranges with about as many rows each, in order: Spark's own range
+    partitioning of the bare places, whatever their distribution.  At most RANGES rows reach the driver."""
+    dealt = places.repartitionByRange(ranges, "key_", "hash_").groupBy(F.spark_partition_id().alias("part"))
+    heads = dealt.agg(F.min(F.struct("key_", "hash_")).alias("head")).collect()
+    return sorted((r["head"]["key_"], r["head"]["hash_"]) for r in heads)
+
+
+def range_of(key: Column, hash_: Column, heads: list[tuple[int, int]]) -> Column:
+    """The number of the range, by binary search among the heads."""
+    inner = heads[1:]                       # what lies before the second head is in range 0
+    if not inner:
+        return F.lit(0).cast("long")
+    keys, hashes = (F.split(F.lit(",".join(str(h[i]) for h in inner)), ",").cast("array<long>") for i in (0, 1))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        k, h = F.get(keys, mid), F.get(hashes, mid)
+        reached = (s["low"] < s["high"]) & ((k < key) | ((k == key) & (h <= hash_)))
+        return F.struct(F.when(reached, mid + 1).otherwise(s["low"]).alias("low"),
+                        F.when(reached | (s["low"] >= s["high"]), s["high"]).otherwise(mid).alias("high"))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(inner)).alias("high"))
+    steps = F.array_repeat(F.lit(0), len(inner).bit_length() + 1)
+    return F.aggregate(steps, start, halve)["low"].cast("long")
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(range_, place_, guest_, id_, text_, next_): every document with the text of the next one by ascending
     id (nulls first, equal ids in the order of their texts' hashes), after the last the first.  guest_ rows
     are the copies that stand after the last document of a range."""
     rows = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    ids = rows.agg(F.min(F.col("id_").cast("long")).alias("low"), F.max(F.col("id_").cast("long")).alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high = (ids["low"] if ids["low"] is not None else 0) - 1, ids["high"] if ids["high"] is not None else 0
-    ranges = min(RANGES, -(-ids["n"] // RANGE_ROWS)) or 1
-    width = -(-(high - low + 1) // ranges)
-    key = F.coalesce(F.col("id_").cast("long"), F.lit(low))
-    rows = rows.withColumn("key_", key).withColumn("range_", F.floor((F.col("key_") - low) / width).cast("long")) \
-        .withColumn("hash_", F.xxhash64("text_"))
-    # the first key of each range that has documents, and the range before it (for the first: the last)
-    heads = rows.groupBy("range_").agg(F.min("key_").alias("key_")).collect()       # at most RANGES rows
-    heads = sorted((r["range_"], r["key_"]) for r in heads)
-    guests = [(heads[k - 1][0], key_, k == 0) for k, (_, key_) in enumerate(heads)]
-    host = docs.sparkSession.createDataFrame(guests, "range_ long, key_ long, after_ boolean")
-    visiting = rows.drop("range_").join(F.broadcast(host), "key_")
+    ids = rows.agg(F.min(F.col("id_").cast("long")).alias("low"), F.count(F.lit(1)).alias("n")).first()
+    low = (ids["low"] if ids["low"] is not None else 0) - 1
+    rows = rows.withColumn("key_", F.coalesce(F.col("id_").cast("long"), F.lit(low))).withColumn("hash_", F.xxhash64("text_"))
+    heads = range_heads(rows.select("key_", "hash_"), min(RANGES, -(-ids["n"] // RANGE_ROWS)) or 1)
+    rows = rows.withColumn("range_", range_of(F.col("key_"), F.col("hash_"), heads))
+    # the first document of each range also stands after the last one of the range before (for the first: of the last)
+    guests = [((k or len(heads)) - 1, *head, k == 0) for k, head in enumerate(heads)]
+    host = docs.sparkSession.createDataFrame(guests, "range_ long, key_ long, hash_ long, after_ boolean")
+    visiting = rows.drop("range_").join(F.broadcast(host), ["key_", "hash_"]).dropDuplicates(["range_", "key_", "hash_"])
     home = rows.withColumn("after_", F.lit(False)).withColumn("guest_", F.lit(False))
     cols = ["range_", "key_", "hash_", "after_", "guest_", "id_", "text_"]
     both = home.select(cols).union(visiting.withColumn("guest_", F.lit(True)).select(cols))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 
@@ -56,3 +57,49 @@ def test_edge_cases(spark):
 def test_lexicon_is_bounded(spark):
     df = spark.createDataFrame([(" ".join(f"t{j}" for j in range(i)),) for i in range(200)], "text string")
     assert M.lexicon(df, "text", 0.5, 0.0).count() == 100 and 0 < M.lexicon(df, "text", 0.5, 0.0, most=50).count() <= 50
+
+
+@pytest.mark.parametrize("ids", ["dense", "outlier", "equal", "null", "clusters"])
+def test_ranges_follow_the_rows(spark, monkeypatch, ids):
+    """One far id, equal ids or null ids: no range holds much more than its share, and neighbours stay right."""
+    monkeypatch.setattr(M, "RANGE_ROWS", 50)
+    id_of = {"dense": lambda i: i, "outlier": lambda i: i if i else 2**60, "equal": lambda i: 7, "null": lambda i: None,
+             "clusters": lambda i: i % 2 * 10**15 + i}[ids]
+    rows = [(id_of(i), f"text number {i} " * (1 + i % 3)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = M.with_next(df, "doc_id", "text").cache()
+    sizes = [r["count"] for r in placed.filter("not guest_").groupBy("range_").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 4 * 50 and len(sizes) >= 10
+    order = sorted((r["id_"] is not None, r["id_"] or 0, r["hash_"], r["text_"], r["next_"]) for r in placed.filter("not guest_").collect())
+    assert all(a[4] == b[3] for a, b in zip(order, order[1:] + order[:1]))
+
+
+def test_fingerprint_against_plain_python(spark):
+    """Equal sets of terms have one fingerprint; likeness is recomputed from the fingerprints' texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r for r in M.imatch(docs).collect()}
+    order = sorted(texts)
+    same = {}
+    for d in order:
+        terms = frozenset(t for t in re.split(r"[\W_]+", texts[d].lower()) if t)
+        same.setdefault(terms, set()).add(got[d]["fingerprint"])
+    assert all(len(prints) == 1 for prints in same.values())            # the fingerprint depends on the set of terms alone
+
+    def parts(f):
+        kind, rest = f[0], f[1:]
+        level, first, second = rest.split(":")
+        return kind, int(level), first.split("."), second.split(".")
+
+    def plain_likeness(f, g):
+        if f == g:
+            return 1.0
+        (kf, lf, f1, f2), (kg, lg, g1, g2) = parts(f), parts(g)
+        if kf != kg or abs(lf - lg) > 1:
+            return 0.0
+        x, y = (f1 if lf >= lg else f2), (g1 if lg >= lf else g2)
+        either = sum(a != "" or b != "" for a, b in zip(x, y))
+        return sum(a == b != "" for a, b in zip(x, y)) / either if either else 0.0
+    for d, nxt in zip(order, order[1:] + order[:1]):
+        assert got[d]["near_edited"] == pytest.approx(plain_likeness(got[d]["fingerprint"], got[d]["edited_fingerprint"]))
+        assert got[d]["near_next"] == pytest.approx(plain_likeness(got[d]["fingerprint"], got[nxt]["fingerprint"]))
