@@ -7,9 +7,10 @@ Everything is DataFrame expressions.  The base kinds are regular expressions; th
    characters is a candidate.  Its context gives up to three lexical patterns: the word before its first
    token, the two words before it, and the words on both sides.
 2. (pattern, identifier) pairs form a graph.  In turn, a pattern's confidence for a kind is the share of
-   that kind among its distinct identifiers (less for rare patterns: two are added to the divisor), and an
-   identifier's score is the probability that at least one of its patterns is right (noisy or).  Seeds keep
-   score 1; after ``ROUNDS`` rounds, patterns that only unseen identifiers link to seeds have scores too.
+   that kind among its distinct identifiers (less for rare patterns: ``DOUBT`` is added to the divisor, more of it
+   for one word than for two), and an identifier's score is the probability that at least one of its patterns is
+   right (noisy or).  Only kinds count whose characters the identifier could have.  Seeds keep score 1; after
+   ``ROUNDS`` rounds, patterns that only unseen identifiers link to seeds have scores too.
 3. Tokens and runs outside base spans whose score reaches ``CONFIDENT`` through a pattern of that confidence are
    reported as ``context_<kind>``; a token in a reported run is not reported besides.
 
@@ -41,7 +42,10 @@ _GROUP = r"[0-9]++(?:[().+/-]++[0-9]++)*+\)?+"
 RUN = rf"(?<![^\s(\[{{<\"'])\+?\(?{_GROUP}(?:\x20\(?{_GROUP}(?![^\s)\]}}>\"'.,;:!?]))++"
 PIECE = 1000                                         # code points of the pieces that masked texts are cut from
 CONTEXT, LONGEST, SHORTEST = 60, 64, 5               # characters of context looked at; bounds of an unseen identifier
-ROUNDS, USEFUL, CONFIDENT = 3, 0.5, 0.9
+ROUNDS, USEFUL, CONFIDENT = 5, 0.5, 0.9
+DOUBT = {"1": 1.0, "2": 0.3, "3": 0.3}               # by the words of a pattern: s seeds alone give s / (s + doubt)
+# what an unseen identifier of a kind looks like at least
+SHAPES = {"email": "@", "ip": r"^[0-9a-f]*[.:][0-9a-f.:/]*[0-9a-f]$", "card": r"^[0-9](?:[\x20./-]?[0-9])*$", "phone": r"^[+(]?[0-9][0-9\x20()./+-]*$"}
 
 
 def _digits(m: Column) -> Column:
@@ -151,17 +155,21 @@ def score_identifiers(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame
     # a value is a seed of a kind wherever it stands
     known = written(graph.groupBy("value").agg(*[F.max(k).alias(k) for k in KINDS]), "identifiers")
     scores = known
+    doubt = F.element_at(F.create_map(*[F.lit(x) for pair in DOUBT.items() for x in pair]), F.left("pattern", F.lit(1)))
     for _ in range(rounds):
         sums = graph.select("pattern", "value").join(scores, "value").groupBy("pattern") \
             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in KINDS])
-        useful = sums.select("pattern", *[(F.col(k) / (F.col("n") + 2)).alias(k) for k in KINDS]) \
+        useful = sums.select("pattern", *[(F.col(k) / (F.col("n") + doubt)).alias(k) for k in KINDS]) \
             .filter(F.greatest(*KINDS) >= USEFUL)
         votes = graph.select("pattern", "value").join(useful, "pattern").groupBy("value") \
             .agg(*[(1 - F.exp(F.sum(F.log1p(-F.when(F.col(k) >= USEFUL, F.least(F.col(k), F.lit(0.999999))).otherwise(0.0))))).alias(f"v_{k}") for k in KINDS],
                  *[F.max(k).alias(f"best_{k}") for k in KINDS])
         all_ = known.join(votes, "value", "left")
-        scores = written(all_.select("value", *[F.greatest(k, F.coalesce(f"v_{k}", F.lit(0.0))).alias(k) for k in KINDS],
-                                     *[F.coalesce(f"best_{k}", F.lit(0.0)).alias(f"best_{k}") for k in KINDS]), "scores")
+
+        def fitting(name: str, kind: str) -> Column:
+            return F.when(F.col("value").rlike(SHAPES[kind]), F.coalesce(name, F.lit(0.0))).otherwise(0.0)
+        scores = written(all_.select("value", *[F.greatest(k, fitting(f"v_{k}", k)).alias(k) for k in KINDS],
+                                     *[fitting(f"best_{k}", k).alias(f"best_{k}") for k in KINDS]), "scores")
         best, scores = scores, scores.select("value", *KINDS)
     unseen = best.join(known.filter(F.greatest(*KINDS) == 0).select("value"), "value", "left_semi")
     top = F.array_max(F.array(*[F.struct(F.col(k).alias("score"), F.lit(-o).alias("o"), F.lit(k).alias("kind"), F.col(f"best_{k}").alias("best"))

@@ -113,3 +113,59 @@ def test_no_character_of_a_span_stays(spark):
         for k, p in BASE.items():
             want = re.sub(p, lambda m: f"[{k.upper()}]" if valid(k, m[0]) else m[0], want)
         assert got[i] == want, t[:80]
+
+
+def planted():
+    """Documents of contexts with 3 to 20 seeds and 2 unseen identifiers each, and of decoys; (rows, identifiers to find)."""
+    rows, want = [], set()
+
+    def add(text, unseen=None):
+        rows.append((len(rows), text))
+        if unseen:
+            at = text.index(unseen)
+            want.add((len(rows) - 1, at, at + len(unseen)))
+    for kind, seed, unseen in (("email", lambda i: f"user{i}@host{i}.org", lambda i: f"staff{i}@intranet"),
+                               ("phone", lambda i: f"+41 44 {6000000 + 7919 * i}", lambda i: f"044 600{i:04d}"),
+                               ("ip", lambda i: f"10.{i % 200}.3.{i % 250}", lambda i: f"fe80::{i + 4096:x}:1")):
+        for n in (3, 4, 6, 10, 20):
+            for i in range(n):
+                add(f"words here {kind}{'x' * n} contact: {seed(100 * n + i)} and more")
+            for i in range(2):
+                add(f"other text {kind}{'x' * n} contact: {unseen(100 * n + i)} at the end", unseen(100 * n + i))
+    for i in range(60):                       # common words before numbers and, now and then, before a seed
+        add(f"it was the {i * 17 + 10000} day of {20000 + i} years, see of the {'info%d@site.com' % i if i % 12 == 0 else i * 31 + 50000} list")
+        add(f"a price of {i * 13 + 1000000} coins, room a {i + 12345}")
+    return rows, want
+
+
+def context_spans(got):
+    return {(d, int(s), int(e)) for d, text in got for kind, s, e in (x.split(":") for x in text.split(",") if x) if kind.startswith("context_")}
+
+
+def test_recall_and_precision_on_planted_contexts(spark):
+    rows, want = planted()
+    got = context_spans((r["doc_id"], r["spans"]) for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    recall, precision = len(got & want) / len(want), len(got & want) / max(1, len(got))
+    assert recall >= 0.95 and precision >= 0.95, (recall, precision, sorted(want - got)[:5], sorted(got - want)[:5])
+
+
+def test_a_second_round_finds_what_no_seed_stands_beside(spark):
+    """The pattern "desk of" has unseen identifiers only; they are known from another pattern."""
+    rows = [(i, f"please write to: user{i}@host{i}.org soon") for i in range(20)]
+    rows += [(100 + i, f"please write to: team{i}@intranet soon") for i in range(8)] + [(200 + i, f"from the desk of team{i}@intranet today") for i in range(8)]
+    rows += [(300, "from the desk of chief@intranet today"), (301, "from the end of 2345678 days")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in P.personal_data(df).collect()}
+    assert got[300] == f"context_email:{len('from the desk of ')}:{len('from the desk of chief@intranet')}" and got[301] == ""
+    assert all(got[100 + i].startswith("context_email:") for i in range(8))
+    occurrences = P._occurrences(P.with_candidates(P.with_base_spans(df.selectExpr("doc_id row_", "text text_"), "text_", "base_"), "text_", "tokens_", "runs_"))
+    first = {r["value"] for r in P.score_identifiers(occurrences, rounds=1).collect()}
+    last = {r["value"] for r in P.score_identifiers(occurrences).collect()}
+    assert "chief@intranet" in last - first
+
+
+def test_repeated_rows_have_the_same_contextual_spans(spark):
+    df = spark.createDataFrame(contextual_rows(), "doc_id long, text string, base_ string")
+    once = {r["doc_id"]: r["spans"] for r in P.personal_data(df).collect()}
+    twice = [(r["doc_id"], r["spans"]) for r in P.personal_data(df.union(df)).collect()]
+    assert len(twice) == 2 * len(once) and all(once[d] == s for d, s in twice)
