@@ -52,26 +52,25 @@ def rates_at(rates: DataFrame, as_of: str) -> DataFrame:
 
 
 def rate_calendar(rates: DataFrame) -> DataFrame:
-    """One row, ``calendar``: currency -> (first day, its rate of every day up to the last known one).
+    """One row per currency: (_ccy, _first day, _rates of every day from then up to the last known one).
 
     At most currencies x calendar days numbers, whatever the transactions."""
-    days = fx_fill(rates).groupBy("ccy").agg(F.min("date").alias("first"), F.array_sort(F.collect_list(F.struct("date", "rate_to_chf"))).alias("d"))
-    entry = F.struct("ccy", F.struct("first", F.transform("d", lambda x: x["rate_to_chf"]).alias("rates")))
-    return days.agg(F.map_from_entries(F.collect_list(entry)).alias("calendar"))
+    days = fx_fill(rates).groupBy(F.col("ccy").alias("_ccy")).agg(
+        F.min("date").alias("_first"), F.array_sort(F.collect_list(F.struct("date", "rate_to_chf"))).alias("_days"))
+    return days.select("_ccy", "_first", F.transform("_days", lambda x: x["rate_to_chf"]).alias("_rates"))
 
 
 def to_chf(txns: DataFrame, rates: DataFrame, ccy_col: str = "currency", date_col: str = "booking_date",
            amount_col: str = "amount", out_col: str = "amount_chf") -> DataFrame:
     """As-of conversion: amount x the rate in force on the booking day.
 
-    The calendar is one row, so it goes to the transactions (not they to it): the rate is looked up by currency and
-    by the number of days since the currency's first rate; later days than the last have the last rate."""
-    j = txns.crossJoin(rate_calendar(rates).withColumnRenamed("calendar", "_calendar"))
-    own = F.try_element_at(F.col("_calendar"), F.col(ccy_col))
-    day = F.datediff(F.col(date_col), own["first"])
-    known = F.when(day >= 0, F.get(own["rates"], F.least(day, F.size(own["rates"]) - 1)))
+    The calendar is bounded by currencies and days, so it is broadcast to the transactions; the rate is looked up by
+    the number of days since the currency's first one.  Later days than the last have the last rate."""
+    j = txns.join(F.broadcast(rate_calendar(rates)), F.col(ccy_col) == F.col("_ccy"), "left")
+    day = F.datediff(F.col(date_col), F.col("_first"))
+    known = F.when(day >= 0, F.get("_rates", F.least(day, F.size("_rates") - 1)))
     rate = F.when(F.col(ccy_col) == "CHF", F.lit(1).cast(RATE)).otherwise(known)
-    return j.withColumn(out_col, money(F.col(amount_col) * rate)).drop("_calendar")
+    return j.withColumn(out_col, money(F.col(amount_col) * rate)).drop("_ccy", "_first", "_rates")
 
 
 def _in(c: str = "amount") -> Column:
