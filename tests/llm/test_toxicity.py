@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import zlib
 
 import numpy as np
@@ -63,3 +67,33 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= set(range(0, 60, 2))
     assert T.toxicity(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in T.toxicity(docs, labels.limit(0)).collect()} == {0.0}
+
+
+APART = """
+import sys
+sys.path.append({repo!r})                    # the driver alone: the workers' path comes from the environment
+from ledgershield.session import build_session
+spark = build_session("local[2]", 2)
+import __spark_entry__
+for name in {names!r}:
+    rows = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count()
+    print(name, rows)
+
+def missing(_):
+    try:
+        import ledgershield
+    except ImportError:
+        return [1]
+    return [0]
+assert spark.sparkContext.range(1).mapPartitions(missing).first() == 1, "the workers could import the package"
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    names = ["op8_toxicity", "op11_merkle", "op12_bpe", "op13_prefix_trie", "pipeline"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = APART.format(repo=repo, names=names)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert [line.split()[0] for line in done.stdout.splitlines() if line.split()[0] in names] == names
