@@ -77,6 +77,40 @@ def test_every_random_key_of_high_entropy_is_found():
             assert len(keys) > 50 and hit >= 0.99 * len(keys), (name, n, hit, len(keys))
 
 
+def test_recall_by_alphabet():
+    """Of random keys of 32 characters at least 90 in 100 are found, whatever their alphabet."""
+    rng, scan = random.Random(9), S.Scanner(S.ALLOWED)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    found = {}
+    for alphabet in (low, up, low + digits, up + digits, up + "234567", low + up, low + up + digits, low + up + digits + "+/", low + up + digits + "_-"):
+        keys = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(300)]
+        found[alphabet] = sum("entropy" in scan.scan(f"x {k} y")[4] for k in keys) / len(keys)
+    hexadecimal = ["".join(rng.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(300)]
+    found["hex"] = sum("entropy" in scan.scan(f"x {k} y")[4] for k in hexadecimal) / len(hexadecimal)
+    assert min(found.values()) >= 0.9, found
+
+
+def test_class_windows_against_each_window():
+    rng = random.Random(4)
+    for _ in range(300):
+        s = "".join(rng.choice("abcdeABCDE0123-/" if rng.random() < 0.5 else "abcdefgh") for _ in range(rng.randint(0, 30)))
+        thresholds = {k: rng.uniform(1, 3) for k in S.THRESHOLDS}
+        want = set()
+        for i in range(len(s) - 5):
+            w = s[i:i + 6]
+            kinds = [n for n, test in (("lower", str.islower), ("upper", str.isupper), ("digit", str.isdigit)) if any(map(test, w))]
+            if kinds and kinds != ["digit"] and entropy(w) >= thresholds[", ".join(kinds)] - 1e-9:
+                want.update(range(i, i + 6))
+        assert {p for a, b in S.class_windows(s, 6, thresholds) for p in range(a, b)} == want
+
+
+def test_repeated_rows_null_ids_and_own_words(spark):
+    key = "q7Rt9ZpL2mXv8KsW4nYb6HcD"
+    df = spark.createDataFrame([(None, key), (None, key), (1, "zxqjzxqvkzjxqkzvjxqz")], "doc_id long, text string")
+    assert [r["spans"] for r in S.secrets(df.filter("doc_id is null")).collect()] == [f"entropy:0:{len(key)}"] * 2
+    assert S.secrets(df.filter("doc_id = 1"), words="zxq jzx qvk zjx qkz vjx xqj xqv kzj xqk zvj xqz " * 9).first()["spans"] == ""
+
+
 def test_words_are_spared():
     scan = S.Scanner(S.ALLOWED)
     for fine in ("thequickbrownfoxjumpsoverthelazydog", "src/main/resources/application-production.properties", "AbstractConfigurationManagerFactoryBean", "Donaudampfschifffahrtsgesellschaft",
