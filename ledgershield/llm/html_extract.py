@@ -6,7 +6,8 @@ text (length, share of link text, punctuation, tell-tale words, place in the pag
 content and boilerplate scores features and transitions.  It is trained by the gradient of the conditional
 log-likelihood (forward-backward) and decoded by Viterbi.
 
-Labelled pages: up to ``max_pages`` pages of the table (a documented bound) whose markup names its article;
+Labelled pages: up to ``max_pages`` pages of the table of at most ``page_bytes`` each (documented bounds on training
+alone) whose markup names its article;
 blocks inside it, and not inside a menu, form, aside or the like, are content.  Each is also rendered anew
 with its texts in other layouts, with containers that do not name the article and with notices, forms,
 sidebars, adverts and reader comments, so that the chain does not hang on one tag.
@@ -17,10 +18,11 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ SKIPPED = "script|style|noscript|template|iframe|svg|canvas|object|textarea|sele
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}),
           "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"optgroup"})}
 NOT_CONTENT = {"nav", "aside", "footer", "form", "header", "menu", "dialog"}
+TITLES = {"h1", "h2", "h3", "h4", "h5", "h6"}        # content also in the header of an article
 TELLING = re.compile(r"cookie|subscri|newsletter|advert|sponsor|copyright|©|all rights|privacy|terms|login|log in|sign ?(?:in|up)|share|repl(?:y|ies)|comment|"
                      r"related|read more|menu|search|follow us|click|accept|e-?mail|password", re.IGNORECASE)
 
@@ -143,8 +146,13 @@ def path_features(path: tuple[str, ...]) -> list[str]:
         if tag not in ("html", "body"):
             out.add(f"in {tag}")
         out.update(f"named {w}" for w in words if not w.isdigit())
+    tags = [element.split(" ")[0] for element in path]
     if path:
-        out.add(f"tag {path[-1].split(' ')[0]}")
+        out.add(f"tag {tags[-1]}")
+    if "header" in tags:
+        out.add(f"header of {'the page' if tags.index('header') == 0 or tags[tags.index('header') - 1] in ('html', 'body') else 'a part'}: {tags[-1] in TITLES}")
+    if not set(tags) - {"html", "body", "p"}:
+        out.add("bare")
     return sorted(out)
 
 
@@ -261,7 +269,7 @@ def named_labels(blocks: list[Block]) -> list[int] | None:
     for holder in ("article", "main"):
         tags = [[e.split(" ")[0] for e in b.path] for b in blocks]
         if any(holder in t for t in tags):
-            return [int(holder in t and not NOT_CONTENT & set(t[t.index(holder):])) for t in tags]
+            return [int(holder in t and not (NOT_CONTENT - ({"header"} if t[-1] in TITLES else set())) & set(t[t.index(holder):])) for t in tags]
     return None
 
 
@@ -293,6 +301,17 @@ def rendered(content: list[tuple[str, str]], other: list[str], rng: random.Rando
              f"<footer>{leaf('p', '© example.com · ' + some(1)[0], 0)}</footer>", f'<div id="footer">{leaf("p", "© All rights reserved", 0)}</div>']
     holder = rng.choice(HOLDERS)
     inside = [leaf(t, x, 1) for t, x in content]
+    kind = rng.random()
+    if kind < 0.15:             # paragraphs without a container, never closed
+        bare = "".join(f'<{"p" if t not in TITLES else t} data-y="1">{entities.escape(x)}' + (f"</{t}>" if t in TITLES else "") for t, x in content)
+        return f"<html><body>{''.join(rng.sample(before, rng.randint(0, 3)))}{bare}{''.join(rng.sample(after, rng.randint(0, 3)))}</body></html>"
+    if kind < 0.35 and inside:  # the article has a header of its own, with its title
+        title = content[0][1] if content[0][0] in TITLES else content[0][1].split(". ")[0]
+        inside[0] = f"<header>{leaf('h1', title, 1)}</header>" + (inside[0] if content[0][0] not in TITLES else "")
+    elif kind < 0.5 and len(content) > 2:       # a heading, and a table of sentences
+        at = rng.randint(1, len(content) - 1)
+        rows = "".join(f"<tr><th data-y=\"1\">{entities.escape(x.split(' ')[0])}</th><td data-y=\"1\">{entities.escape(x)}</td></tr>" for _, x in content[at:at + 3])
+        inside[at:at + 3] = [leaf("h2", content[at][1].split(". ")[0][:60], 1), f"<table>{rows}</table>"]
     if rng.random() < 0.3:      # an advert amid the article
         inside.insert(rng.randint(0, len(inside)), before[4])
     body = holder + "".join(inside) + f"</{holder[1:-1].split(' ')[0]}>"
@@ -322,10 +341,28 @@ def labelled_pages(pages: list[str], layouts: int = 3, seed: int = 11) -> list[t
     return out
 
 
-def fit(pages: DataFrame, html_col: str = "html", max_pages: int = 200) -> Chain:
-    """The chain from at most ``max_pages`` pages, those first by hash."""
-    rows = pages.select(F.col(html_col).alias("html")).filter("html is not null").orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()
-    return train(labelled_pages([r["html"] for r in rows]))
+def training_pages(pages: DataFrame, html_col: str, max_pages: int, page_bytes: int) -> list[str]:
+    """At most ``max_pages`` different pages of at most ``page_bytes``: those whose hashes are least, in that order.
+
+    Each task hands on its least hashes, then the pages with those hashes are fetched, once each: the driver never
+    sees more than the sample."""
+    src = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).filter(F.octet_length("html") <= page_bytes)
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(0, np.int64)
+        for b in batches:
+            held = np.unique(np.concatenate([held, b["h"].to_numpy(np.int64)]))[:max_pages]
+        yield pd.DataFrame({"h": held})
+    hashes = [r["h"] for r in src.select("h").mapInPandas(least, "h long").distinct().orderBy("h").limit(max_pages).collect()]
+    if not hashes:
+        return []
+    chosen = src.filter((F.col("h") <= hashes[-1]) & F.col("h").isin(hashes))
+    return [r["html"] for r in chosen.groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()]
+
+
+def fit(pages: DataFrame, html_col: str = "html", max_pages: int = 200, page_bytes: int = 1 << 18) -> Chain:
+    """The chain from ``training_pages``."""
+    return train(labelled_pages(training_pages(pages, html_col, max_pages, page_bytes)))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_pages: int = 200) -> DataFrame:
