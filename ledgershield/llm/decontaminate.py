@@ -8,25 +8,27 @@ window length the scan holds
 * suffix buckets: windows by their last block, and within them by their first block;
 
 and confirms each remaining place by comparing the words themselves.  Documents are never shuffled: the
-benchmark goes to the documents.  It does so in blocks of at most ``BLOCK_CHARS`` characters (plus one
-item), each with one pass over the documents' texts, so what a task holds is bounded whatever the
-benchmark's size.
+benchmark goes to the documents.  It does so in blocks of at most about ``BLOCK_CHARS`` characters (distinct items by
+hash), each with one pass over the documents' texts whose hits are written before the next block is read.  So the
+driver and a task hold one block at a time, whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, free_name
+from .common import field, free_name, written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")   # of UTF-8 bytes in lower case: every non-ASCII character is a word character
 BLOCK_CHARS = 2_000_000
 Window = tuple[bytes, ...]
+HIT = "n_words long, spans array<long>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -78,9 +80,8 @@ class Matcher:
                     owners.append(k)
         self.searches = [WuManber(w, m) for m, w in sorted(by_length.items())]
 
-    def scan(self, text: str | None, spans: list[int], ids: list[str]) -> tuple[int, list[int], list[str]]:
-        """Word count, disjoint hit spans [start, end, ...] in words and item ids, joined with those of
-        earlier blocks."""
+    def scan(self, text: str | None, spans: Sequence[int] = (), ids: Sequence[str] = ()) -> tuple[int, list[int], list[str]]:
+        """Word count, disjoint hit spans [start, end, ...] in words and item ids, joined with earlier ones."""
         words = words_of(text)
         found, items = list(zip(spans[::2], spans[1::2])), set()
         for s in self.searches:
@@ -100,28 +101,49 @@ class Matcher:
 
 
 def _search(items: list[tuple[str | None, str]], window: int):
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(items, window)
-        for texts, spans, ids in batches:
-            rows = [matcher.scan(t, list(s), list(i)) for t, s, i in zip(texts, spans, ids)]
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "n_words long, spans array<long>, items array<string>").asNondeterministic()
+        for texts in batches:
+            yield pd.DataFrame([matcher.scan(t) for t in texts], columns=["n_words", "spans", "items"])
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, HIT).asNondeterministic()
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int,
                hit: str) -> DataFrame:
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text")) \
-        .filter("text is not null")
+        .filter("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    empty = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"),
-                     F.array().cast("array<string>").alias("items"))
-    out = docs.withColumn(hit, empty)
-    for k in range(blocks):
+
+    def searched(rows: DataFrame, k: int) -> DataFrame:
         block = [(r["id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()]
-        out = out.withColumn(hit, _search(block, window)(F.col(text_col), field(hit, "spans"), field(hit, "items")))
-    return out
+        return rows.withColumn(hit, _search(block, window)(F.col(text_col)))
+    if blocks == 1:
+        return searched(docs, 0)
+    # one block after the other: its hits are written before the next block is read
+    row = free_name(docs, "row_no")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    found = [written(searched(rows.select(row, text_col), k).select(row, f"{hit}.*").filter((F.size("spans") > 0) | (F.lit(k) == 0)), "decontaminate-hits")
+             for k in range(blocks)]
+    spans = F.array_sort(F.flatten(F.collect_list(F.when(F.size("spans") > 0, _pairs(F.col("spans"))))))
+    merged = reduce(DataFrame.unionByName, found).groupBy(row).agg(
+        F.max("n_words").alias("n_words"), _disjoint(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.join(merged.select(row, F.struct("n_words", "spans", "items").alias(hit)), row).drop(row)
+
+
+def _pairs(spans: Column) -> Column:
+    """[start, end, ...] as an array of (a, b)."""
+    return F.transform(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda i: F.struct(F.get(spans, i).alias("a"), F.get(spans, i + 1).alias("b")))
+
+
+def _disjoint(pairs: Column) -> Column:
+    """Sorted (a, b) merged where they touch, as [start, end, ...]."""
+    def add(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        joined = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.greatest(last, x["b"])))
+        return F.when((F.size(out) > 0) & (x["a"] <= last), joined).otherwise(F.concat(out, F.array(x["a"], x["b"])))
+    return F.aggregate(pairs, F.array().cast("array<long>"), add)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
