@@ -191,8 +191,9 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", size: int = 400) ->
     cold = data.filter(F.col("kinds") <= HOT).select(*context, "data").repartition("anchor").sortWithinPartitions("anchor") \
         .mapInPandas(lambda it: compare_contexts(it, size), RANGES)
     windows = data.filter(F.col("kinds") > HOT).select(*context, "data").mapInPandas(lambda it: windows_of(it, size), WINDOWS)
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    hot = windows.join(twice, "window").select(*context, F.col("number").alias("first"), (F.col("number") + 1).alias("last"))
+    # equal windows have one anchor; by both, two different windows can only meet if they share a 32-byte gram
+    twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "window")
+    hot = windows.join(twice, ["anchor", "window"]).select(*context, F.col("number").alias("first"), (F.col("number") + 1).alias("last"))
     whole = contexts.filter("n > 1").select(*context, F.lit(0).alias("first"), F.lit(None).cast("int").alias("last"))
     ranges = whole.union(cold).union(hot)
     # where a whole context repeats, its parts say nothing new; both may be there and are joined below
