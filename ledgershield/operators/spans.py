@@ -7,10 +7,10 @@ Input ``spans``: doc_id, start (0-based), end (exclusive), entity_type.  Per doc
    type of its first span, so no character of any span stays.  (Blind splicing would corrupt the text.)
 2. Tokens: '[TYPE_NNNN]', numbered per type by first occurrence; an equal value gets the same token
    again, whatever type a later span gives it.
-3. Splice: the pieces between the stretches and the tokens are joined inside the row.
+3. Splice: the pieces between the stretches and the tokens are joined in order.
 
-The window that finds the clusters is partitioned by document, so its size is bounded by one document's
-spans, never by the corpus; everything after it happens inside a document's row.
+All windows are partitioned by document, so their size is bounded by one document's spans, never by the
+corpus, and the one shuffle by document serves them all.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CHUNK = 1024        # characters
+
 
 def clusters(spans: DataFrame) -> DataFrame:
     """(doc_id, _sp): each document's redacted stretches (start, end, entity_type), in order."""
@@ -32,28 +34,42 @@ def clusters(spans: DataFrame) -> DataFrame:
 
 def redact_by_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
     """docs (doc_id, text) + spans -> doc_id, redacted_text, stats (map type -> distinct values), n_spans
-    (redacted stretches)."""
-    j = docs.select("doc_id", F.col(text_col).alias("_text")).join(clusters(spans), "doc_id", "left")
-    text, sp = F.col("_text"), F.col("_sp")
-    # values once per row, then the distinct ones with the type of their first stretch
-    j = j.withColumn("_vals", F.transform(sp, lambda x: text.substr(x["start"] + 1, x["end"] - x["start"])))
-    j = j.withColumn("_keys", F.array_distinct("_vals"))
-    j = j.withColumn("_types", F.transform("_keys", lambda v: F.element_at(sp, F.array_position("_vals", v).cast("int"))["entity_type"]))
-
-    def token(v: Column) -> Column:
-        k = F.array_position("_keys", v).cast("int")
-        kind = F.element_at(F.col("_types"), k)
-        number = F.size(F.filter(F.slice(F.col("_types"), F.lit(1), k), lambda t: t == kind))
-        return F.format_string("[%s_%04d]", kind, number)
-    j = j.withColumn("_toks", F.transform("_vals", token))
-
-    def piece(s: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(sp, i)["end"])
-        return F.concat(text.substr(before + 1, s["start"] - before), F.element_at(F.col("_toks"), i + 1))
-    last_end = F.element_at(sp, -1)["end"]
-    body = F.concat(F.array_join(F.transform(sp, piece), ""), text.substr(last_end + 1, F.length(text) + 1))
+    (redacted stretches).
+
+    A stretch with the text before it becomes one row, and values are numbered by windows over one document's
+    rows, so time grows with the text and its spans.  The text is cut once into chunks of ``CHUNK`` characters:
+    a substring of the whole would walk over all that comes before it, for every span anew."""
+    text = F.col(text_col).cast("string")
+    cut = docs.select("doc_id", F.monotonically_increasing_id().alias("_doc"),      # ids may repeat
+                      F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("_chunks"))
+    j = cut.join(clusters(spans), "doc_id", "left")
+    # one row per stretch, with the end of the one before, and one for the text after the last
+    tail = F.struct(F.lit(None).alias("start"), F.lit(None).alias("end"), F.lit(None).alias("entity_type"))
+    rows = F.concat(F.coalesce("_sp", F.array()), F.array(tail))
+    befores = F.concat(F.array(F.lit(0)), F.coalesce(F.col("_sp")["end"], F.array()))
+    j = j.select("doc_id", "_doc", "_chunks", F.posexplode(F.arrays_zip(rows.alias("sp"), befores.alias("before"))).alias("_no", "_x")) \
+        .select("doc_id", "_doc", "_chunks", "_no", F.col("_x.before").alias("_before"), "_x.sp.*")
+
+    def between(start: Column, end: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        some = F.slice("_chunks", first + 1, F.floor(end / CHUNK).cast("int") - first + 1)
+        return F.array_join(some, "").substr(start - first * CHUNK + F.lit(1), end - start)
+    rest = F.array_join(F.slice("_chunks", F.floor(F.col("_before") / CHUNK).cast("int") + 1, F.greatest(F.size("_chunks"), F.lit(0))), "") \
+        .substr(F.col("_before") % CHUNK + F.lit(1), F.lit(2 ** 31 - 1))
+    hit = F.col("start").isNotNull()
+    j = j.select("doc_id", "_doc", "_no", "entity_type", hit.alias("_hit"), F.when(hit, between(F.col("_before"), F.col("start"))).otherwise(rest).alias("_gap"),
+                 F.when(hit, between(F.col("start"), F.col("end"))).alias("_value"))
+    # an equal value keeps the type and number of its first stretch
+    same = Window.partitionBy("doc_id", "_doc", "_value").orderBy("_no")
+    j = j.withColumns({"_first": F.first("_no").over(same), "_kind": F.first("entity_type").over(same)})
+    number = F.dense_rank().over(Window.partitionBy("doc_id", "_doc", "_kind").orderBy("_first"))
+    token = F.when(F.col("_value").isNotNull(), F.format_string("[%s_%04d]", F.col("_kind"), number)).otherwise(F.lit(""))
+    j = j.withColumn("_piece", F.concat("_gap", token))
+    one = j.groupBy("doc_id", "_doc").agg(
+        F.array_sort(F.collect_list(F.struct("_no", "_piece"))).alias("_pieces"),
+        F.collect_list(F.when(F.col("_value").isNotNull() & (F.col("_first") == F.col("_no")), F.col("_kind"))).alias("_types"),
+        F.count(F.when(F.col("_hit"), 1)).cast("int").alias("n_spans"), F.count("_gap").alias("_texts"))
     kinds = F.array_sort(F.array_distinct("_types"))
     stats = F.map_from_entries(F.transform(kinds, lambda t: F.struct(t, F.size(F.filter("_types", lambda u: u == t)))))
-    return j.select("doc_id", F.when(sp.isNull(), text).otherwise(body).alias("redacted_text"),
-                    F.coalesce(stats, F.create_map().cast("map<string,int>")).alias("stats"),
-                    F.coalesce(F.size("_sp"), F.lit(0)).alias("n_spans"))
+    return one.select("doc_id", F.when(F.col("_texts") > 0, F.array_join(F.col("_pieces")["_piece"], "")).alias("redacted_text"),
+                      stats.alias("stats"), "n_spans")

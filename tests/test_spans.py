@@ -1,6 +1,7 @@
 """Span redaction: overlap clusters, token reuse, splice."""
 
 import random
+import time
 
 from ledgershield.operators.spans import redact_by_spans
 
@@ -59,3 +60,19 @@ def test_one_value_under_two_types_has_one_token(spark):
                                   "doc_id long, start int, end int, entity_type string, value string")
     got = {r.doc_id: r.redacted_text for r in redact_by_spans(docs, spans).collect()}
     assert got == {1: "[PERSON_0001] and [PERSON_0001]", 2: "pay [ORG_0001] now"}
+
+def test_long_text_of_many_spans(spark):
+    """Every word of a long text is a span: the work must grow with the text, not with its square or cube."""
+    words = [f"Na{i % 4000}é𝒳" for i in range(12000)]
+    docs = spark.createDataFrame([(1, " ".join(words) + " end"), (None, "Nobody"), (2, None), (3, "")], "doc_id long, text string")
+    starts = [0]
+    for w in words:
+        starts.append(starts[-1] + len(w) + 1)
+    spans = spark.createDataFrame([(1, s, s + len(w), "PERSON" if i % 2 else "ORG") for i, (s, w) in enumerate(zip(starts, words))],
+                                  "doc_id long, start int, end int, entity_type string")
+    began = time.monotonic()
+    got = sorted(((r.doc_id, r.n_spans, r.redacted_text, dict(r.stats)) for r in redact_by_spans(docs, spans).collect()),
+                 key=lambda r: r[0] or 0)
+    assert time.monotonic() - began < 60
+    whole = " ".join(f"[{'PERSON' if i % 2 else 'ORG'}_{i % 4000 // 2 + 1:04d}]" for i in range(12000)) + " end"
+    assert got == [(None, 0, "Nobody", {}), (1, 12000, whole, {"ORG": 2000, "PERSON": 2000}), (2, 0, None, {}), (3, 0, "", {})]
