@@ -7,7 +7,7 @@ to the text already rewritten by the earlier detectors:
     hits   = regexp_extract_all(t, p, 0)                 all matches, in order
     new    = array_except(hits, values_seen_so_far)       first-occurrence order, distinct
     tokens = tokens ++ [([K_0001], v1), ([K_0002], v2), ...]
-    t'     = concat of split(t, p, -1)[i] ++ token(hits[i])
+    t'     = concat of split(t, p, -1)[i] ++ token(hits[i])      (``gaps``)
 
 A value already tokenised by an earlier detector keeps its earlier token and is
 not counted again; the per-type count is the number of *new distinct* values.
@@ -50,45 +50,45 @@ def detect(text: Column, d: Detector) -> Column:
     return F.when(guard, hits).otherwise(F.array().cast("array<string>"))
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` to a lambda variable: ``body(v)`` sees the value once-computed.
+MARK = "\x01"
 
-    Each redaction step references its input exactly once through ``let``, so
-    however Catalyst collapses the projections the expression tree stays linear
-    in the number of detectors and no sub-expression is evaluated twice.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def gaps(text: Column, pattern: str) -> Column:
+    """The pieces between the matches, ``split(text, pattern, -1)``.
+
+    ``split`` compiles its pattern anew for every row, which costs more than the search; ``regexp_replace``
+    keeps it, and splitting at one character needs none.  A text that has the mark itself is split by pattern."""
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK)), MARK, -1)
+    return F.when(F.instr(text, MARK) == 0, marked).otherwise(F.split(text, pattern, -1))
 
-def _step(acc: Column, d: Detector) -> Column:
-    pattern = java_pattern(d)
-    entity = d.entity
 
-    def with_state(s):
-        def with_hits(h):
-            def with_new(nv):
-                new_toks = F.transform(nv, lambda v, i: F.struct(
-                    F.format_string(f"[{entity}_%04d]", i + 1).alias("token"),
-                    v.alias("value"), F.lit(entity).alias("entity")))
-
-                def with_all(at):
-                    def with_lists(lists):
-                        toks, vals = lists["toks"], lists["vals"]
-                        replaced = F.transform(
-                            h, lambda x: F.element_at(toks, F.array_position(vals, x).cast("int")))
-                        rebuilt = F.array_join(F.zip_with(
-                            F.split(s["t"], pattern, -1), F.concat(replaced, F.array(F.lit(""))),
-                            lambda g, k: F.concat(g, k)), "")
-                        return F.struct(
-                            F.when(F.size(h) > 0, rebuilt).otherwise(s["t"]).alias("t"),
-                            at.alias("toks"),
-                            F.concat(s["counts"], F.array(F.size(nv).cast("int"))).alias("counts"))
-                    return let(F.struct(F.transform(at, lambda y: y["token"]).alias("toks"),
-                                        F.transform(at, lambda y: y["value"]).alias("vals")), with_lists)
-                return let(F.concat(s["toks"], new_toks), with_all)
-            return let(F.array_except(h, F.transform(s["toks"], lambda x: x["value"])), with_new)
-        return let(detect(s["t"], d), with_hits)
-    return let(acc, with_state)
+def _step(cur: DataFrame, d: Detector, t: str, vals: str, toks: str, count: str) -> DataFrame:
+    """One detector over the columns text, values seen and tokens; adds its count.
+
+    Plain projections: every expression of a step is used more than once by the next, so Catalyst keeps them
+    apart and evaluates each once a row, in generated code; lambdas run only on rows
+    with several hits.  A sole hit is replaced at once."""
+    entity = d.entity
+    h, new = "__ls_hits", "__ls_new"
+    none = F.array().cast("array<string>")
+    cur = cur.withColumn(h, detect(F.col(t), d))
+    cur = cur.withColumn(new, F.when(F.size(h) > 0, F.array_except(h, vals)).otherwise(none))
+    new_toks = F.transform(new, lambda v, i: F.struct(F.format_string(f"[{entity}_%04d]", i + 1).alias("token"), v.alias("value"),
+                                                      F.lit(entity).alias("entity")))
+    only_tok = F.array(F.struct(F.lit(f"[{entity}_0001]").alias("token"), F.element_at(F.col(new), 1).alias("value"), F.lit(entity).alias("entity")))
+    new_toks = F.when(F.size(new) == 1, only_tok).otherwise(new_toks)
+    some = F.size(new) > 0
+    cur = cur.withColumns({vals: F.when(some, F.concat(vals, new)).otherwise(F.col(vals)),
+                           toks: F.when(some, F.concat(toks, new_toks)).otherwise(F.col(toks)), count: F.size(new)})
+
+    def token(x: Column) -> Column:
+        return F.element_at(F.col(toks), F.array_position(vals, x).cast("int"))["token"]
+    replaced = F.transform(h, token)
+    rebuilt = F.array_join(F.zip_with(gaps(F.col(t), java_pattern(d)), F.concat(replaced, F.array(F.lit(""))),
+                                      lambda g, k: F.concat(g, k)), "")
+    quoted = F.replace(F.replace(token(F.element_at(F.col(h), 1)), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    one = F.regexp_replace(F.col(t), F.lit(java_pattern(d)), quoted)
+    return cur.withColumn(t, F.when(F.size(h) == 0, F.col(t)).when(F.size(h) == 1, one).otherwise(rebuilt)).drop(h, new)
 
 
 def redact(df: DataFrame, text_col: str, detectors: tuple[Detector, ...] = DETECTORS,
@@ -104,15 +104,16 @@ def redact(df: DataFrame, text_col: str, detectors: tuple[Detector, ...] = DETEC
     from ..plans.joins import widen
     df = widen(df)
     keep = df.columns
-    acc = F.struct(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
-                   F.array().cast(TOKENS_TYPE).alias("toks"),
-                   F.array().cast("array<int>").alias("counts"))
-    for d in detectors:
-        acc = _step(acc, d)
-    # inline(array(state)) evaluates the whole chain once per row and exposes
-    # its fields as plain attributes; the Generate node is a barrier, so later
-    # projections cannot re-inline (and re-evaluate) the chain per reference.
-    cur = df.select(*keep, F.inline(F.array(acc)).alias("__ls_t", "__ls_toks", "__ls_counts"))
+    t, vals, toks = "__ls_t", "__ls_vals", "__ls_toks"
+    ns = [f"__ls_n{i}" for i in range(len(detectors))]
+    cur = df.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(t),
+                    F.array().cast("array<string>").alias(vals), F.array().cast(TOKENS_TYPE).alias(toks))
+    for d, n in zip(detectors, ns):
+        cur = _step(cur, d, t, vals, toks, n)
+    # inline(array(state)): the Generate node is a barrier, so later filters and projections
+    # cannot take the steps apart and evaluate them per reference.
+    state = F.struct(F.col(t).alias("t"), F.col(toks).alias("toks"), F.array(*ns).cast("array<int>").alias("counts"))
+    cur = cur.select(*keep, F.inline(F.array(state)).alias("__ls_t", "__ls_toks", "__ls_counts"))
     counts = [F.element_at(F.col("__ls_counts"), i + 1) for i in range(len(detectors))]
     stats_entries = F.array(*[F.struct(F.lit(d.entity.lower()).alias("k"), c.alias("v"))
                               for d, c in zip(detectors, counts)])
@@ -141,8 +142,7 @@ def rehydrate_expr(text: Column, tokens: Column) -> Column:
         pos = F.array_position(toks, k).cast("int")
         return F.when(pos > 0, F.element_at(vals, pos)).otherwise(k)
     lookup = F.transform(found, _lookup)
-    gaps = F.split(text, TOKEN_PATTERN, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.concat(lookup, F.array(F.lit(""))),
+    rebuilt = F.array_join(F.zip_with(gaps(text, TOKEN_PATTERN), F.concat(lookup, F.array(F.lit(""))),
                                       lambda g, v: F.concat(g, v)), "")
     return F.when(text.isNull(), F.lit(None)).when(F.size(found) > 0, rebuilt).otherwise(text)
 

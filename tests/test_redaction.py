@@ -3,7 +3,7 @@ reference behaviour, on edge texts; round trip and no residual hits."""
 
 import re
 
-from ledgershield.functions.patterns import DETECTORS
+from ledgershield.functions.patterns import DETECTORS, Detector
 from ledgershield.functions.redact import redact, rehydrate_expr
 from pyspark.sql import functions as F
 
@@ -68,3 +68,28 @@ def test_corpus_differential(spark):
         t, s, _ = py_redact(r.text)
         assert r.redacted_text == t
         assert dict(r.stats) == s
+
+
+def test_mark_and_quoted_tokens(spark):
+    """The splitting mark in a text, one hit and several, and a type whose token has regex replacement signs."""
+    own = Detector("A$1\\B", r"\bx\d+\b", start="x")
+    texts = ["pay \x01 CHF 12345 and \x01EUR 2000\x01", "x1", "x1 and x2 and x1", "\x01 x7", "no hit \x01"]
+    rows = redact(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), "text", (*DETECTORS, own)).orderBy("i").collect()
+    assert [r.redacted_text for r in rows] == ["pay \x01 [AMOUNT_0001] and \x01[AMOUNT_0002]\x01", "[A$1\\B_0001]",
+                                               "[A$1\\B_0001] and [A$1\\B_0002] and [A$1\\B_0001]", "\x01 [A$1\\B_0001]", "no hit \x01"]
+    assert [r.n_entities for r in rows] == [2, 1, 2, 1, 0]
+
+
+def test_start_changes_no_match():
+    for d in DETECTORS:
+        flags = re.IGNORECASE if "i" in d.flags else 0
+        for text in filter(None, EDGE):
+            bare, led = (re.findall(p, text, flags) for p in (d.pattern, f"(?={d.start})" + d.pattern))
+            assert bare == led
+
+
+def test_no_lambda_holds_the_chain(spark):
+    """The chain is plain projections: as nested lambdas it was evaluated expression by expression."""
+    plan = redact(spark.createDataFrame([("a",)], "text string"), "text")._jdf.queryExecution().optimizedPlan().toString()
+    generate = [line for line in plan.split("\n") if "Generate inline" in line]
+    assert len(generate) == 1 and "regexp_extract_all" not in generate[0] and "lambda" not in generate[0]
