@@ -52,7 +52,7 @@ def build_entries(calls: DataFrame, native_only: bool = False, keep: tuple[str,
 
 
 def link_chain(entries: DataFrame, log_cols: list[str], seq_col: str = "seq", last: DataFrame | None = None,
-               bucket_width: int = 1 << 20) -> DataFrame:
+               bucket_width: int = 1 << 16) -> DataFrame:
     """Add prev_hash: the hash of the entry before in the same log by ``seq_col``, whatever the gaps.
 
     ``seq_col`` is a unique number per log.  Entries are bucketed by ``seq_col // bucket_width``: a lag runs
@@ -72,7 +72,7 @@ def link_chain(entries: DataFrame, log_cols: list[str], seq_col: str = "seq", la
 
 
 def dense_seq(df: DataFrame, log_cols: list[str], order_col: str, out_col: str = "seq",
-              bucket_width: int = 1 << 20) -> DataFrame:
+              bucket_width: int = 1 << 16) -> DataFrame:
     """0-based dense position of each row within its log, ordered by ``order_col``
     (a unique numeric key).
 

@@ -9,6 +9,7 @@ import pytest
 
 from ledgershield.operators import audit as AU
 from ledgershield.sources import domain as D
+from pyspark.sql import functions as F
 
 
 def py_verify(lines):
@@ -93,3 +94,16 @@ def test_non_ascii_rows_take_the_python_path(spark):
         body = {k: v for k, v in obj.items() if k not in ("hash", "prev_hash")}
         exp = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
         assert r.hash == exp
+
+
+def test_bounded_buckets_by_default(spark):
+    """A window of the numbering and of the linking holds at most 2**16 entries."""
+    import inspect
+    for f in (AU.dense_seq, AU.link_chain, AU.verify_chain):
+        assert inspect.signature(f).parameters["bucket_width"].default <= 1 << 16
+    n = (1 << 17) + 5
+    e = spark.range(n).select((F.col("id") * 3).alias("seq"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("hash"))
+    e = AU.dense_seq(e.withColumn("log", F.lit(1)), ["log"], "seq", out_col="at")
+    linked = AU.link_chain(e, ["log"], "at")
+    bad = linked.where("seq != at * 3 or not (prev_hash <=> if(at = 0, null, concat('h', cast(at - 1 as string))))")
+    assert linked.count() == n and bad.count() == 0
