@@ -69,6 +69,25 @@ def test_edge_cases(spark):
     assert {r["score"] for r in T.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_all_labelled_rows_are_learned(spark):
+    """A word that only rows beyond the first 2,500 of their class (by hash of the id) have is learned; so are the
+    model's numbers the same however the rows are dealt to tasks."""
+    from pyspark.sql import functions as F
+    ids = spark.range(8000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"), T.held_out(F.col("id")).alias("held")).collect()
+    train = sorted((r["h"], r["doc_id"]) for r in ids if not r["held"])
+    late = {i for _, i in train[2500:]} | {r["doc_id"] for r in ids if r["held"]}
+    rows = [(r["doc_id"], f"some fine words {r['doc_id'] % 97} " + ("zorgle" if r["doc_id"] in late else "awful"), "en") for r in ids]
+    rows += [(10_000 + i, f"some fine words {i % 97} ok", "en") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, int(d < 10_000)) for d, _, _ in rows], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    awful, zorgle, fine = T.Scorer(model).scores(["some fine words awful", "some fine words zorgle", "some fine words ok"])
+    assert min(awful, zorgle) > 0.7 and fine < 0.3
+    other = T.fit(docs.repartition(7), labels.repartition(3))
+    assert all(np.array_equal(a, b) for a, b in zip((model.embed, *model.filters, *model.bias, model.out), (other.embed, *other.filters, *other.bias, other.out)))
+    assert (model.scale, model.threshold, model.thresholds) == (other.scale, other.threshold, other.thresholds)
+
+
 APART = """
 import sys
 sys.path.append({repo!r})                    # the driver alone: the workers' path comes from the environment
