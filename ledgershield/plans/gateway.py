@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import DEFAULT_MAX_TOKENS, DEFAULT_MODEL, DETECTORS, re2_pattern
 from ..operators import redaction as RD
 from ..operators import routing as RT
+from ..session import written
 from ..sources import domain as D
 from ..sources.tables import table
 from .oracle_common import (CORPUS_CTE, PROMPTS_CTE, n_cols, present_list_expr, q, redaction_ctes,
@@ -111,8 +112,9 @@ SELECT request_id, 'Seen: ' || text || ' [EMAIL_9999]' AS text FROM prompts""")
 def rehydrate(spark, sf_dir):
     """Responses echo the redacted prompt plus an unknown token; rehydration
     must give back the original prompt and leave the unknown token alone."""
-    r = RD.redact_text(D.prompt_requests(spark, sf_dir), "text")
     key = KEY
+    # written: the responses and the token map both read the redacted prompts, which are redacted once
+    r = written(RD.redact_text(D.prompt_requests(spark, sf_dir), "text").select(*key, "redacted_text", "tokens"), "redacted-prompts")
     responses = r.select("o_orderkey", "request_id", F.concat(F.lit("Seen: "), F.col("redacted_text"),
                                                 F.lit(" [EMAIL_9999]")).alias("text"))
     toks = RD.tokens_long(r, key)

@@ -11,7 +11,7 @@ from ..functions.patterns import DEFAULT_MODEL, DETECTORS, Detector
 from ..operators import envelope as EN
 from ..operators import redaction as RD
 from ..operators import routing as RT
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import domain as D
 from ..sources import files
 from .gateway import KEY, ROUTE_CTES, _policies, _redacted_requests, corpus
@@ -288,7 +288,7 @@ FROM req r LEFT JOIN fired f ON f.request_id = r.request_id GROUP BY r.request_i
 def join_rules(spark, sf_dir):
     """requests x rules: equi on tenant, rule condition as the residual;
     per request the number of firing rules and the first one."""
-    reqs = _redacted_requests(spark, sf_dir)
+    reqs = written(_redacted_requests(spark, sf_dir), "redacted-requests")      # read twice, redacted once
     fired = RT.fired_rules(reqs, _policies(spark), which="any")
     g = fired.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_fired"), F.min("rule_no").alias("first_rule"))
     return reqs.select(*KEY).join(g, KEY, "left").select(
