@@ -32,3 +32,10 @@ def test_partition_count_invariance(spark, key):
 def test_no_single_partition_exchange(spark, key):
     plan = E.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_prompts_are_redacted_once(spark):
+    """Queries that read redacted prompts twice don't redact them twice (one ``inline`` per redaction)."""
+    for key in ("rehydrate", "join_rules"):
+        plan = E.queries()[key](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate inline(") <= 1, key
