@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from ledgershield.llm import token_shards as S
+from ledgershield.llm import tokens as T
 from ledgershield.session import scratch_path
 
 PATH = P.path("byte_bpe_50k.json")
@@ -58,3 +59,32 @@ def test_edge_cases(spark):
     path = scratch_path(spark, f"shards-{uuid.uuid4().hex}")
     S.write_token_shards(df.limit(0), path, PATH)
     assert S.read_token_shards(spark, path).count() == 0
+
+
+class Counted:
+    """A tokenizer that counts the calls it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def __getattr__(self, name):
+        def call(*args, **more):
+            self.calls += 1
+            return getattr(self.tokenizer, name)(*args, **more)
+        return call
+
+
+def test_known_units_ask_the_library_nothing(monkeypatch):
+    monkeypatch.setattr(T, "TOGETHER", 500)
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    texts = ["Grüße an alle, die da sind.\nNeue Zeile; ende. Zahl 12,5 ", "", " x", ", y", "a  b\t c", "w中 \x05 \x00", "end.", "it's we'll<|endoftext|> ok"] * 40
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for keep in (1_000, 5, 0):
+        e = T.Encoder(open(PATH, encoding="utf-8").read(), keep)
+        assert list(e.encode(texts)) == want and list(e.encode(texts)) == want and len(e.number) <= max(keep, 3)
+    e = T.Encoder(open(PATH, encoding="utf-8").read())
+    list(e.encode(texts))
+    e.tokenizer = Counted(e.tokenizer)
+    plain = [x for x in texts if e._marked(x) is not None]
+    assert len(plain) == 200 and len(list(e.encode(plain))) == len(plain) and e.tokenizer.calls == 0
