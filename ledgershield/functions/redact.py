@@ -67,7 +67,7 @@ def _step(cur: DataFrame, d: Detector, t: str, vals: str, toks: str, count: str)
 
     Plain projections: every expression of a step is used more than once by the next, so Catalyst keeps them
     apart and evaluates each once a row, in generated code; lambdas run only on rows
-    with several hits.  A sole hit is replaced at once."""
+    with several hits.  A sole hit is replaced at once, without a second search by pattern if it can be told by its characters."""
     entity = d.entity
     h, new = "__ls_hits", "__ls_new"
     none = F.array().cast("array<string>")
@@ -87,7 +87,10 @@ def _step(cur: DataFrame, d: Detector, t: str, vals: str, toks: str, count: str)
     rebuilt = F.array_join(F.zip_with(gaps(F.col(t), java_pattern(d)), F.concat(replaced, F.array(F.lit(""))),
                                       lambda g, k: F.concat(g, k)), "")
     quoted = F.replace(F.replace(token(F.element_at(F.col(h), 1)), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-    one = F.regexp_replace(F.col(t), F.lit(java_pattern(d)), quoted)
+    # a hit whose characters stand nowhere else in the text needs no second search by pattern
+    hit = F.element_at(F.col(h), 1)
+    alone = (hit != "") & (F.position(hit, F.col(t), F.instr(F.col(t), hit) + 1) == 0)
+    one = F.when(alone, F.replace(F.col(t), hit, token(hit))).otherwise(F.regexp_replace(F.col(t), F.lit(java_pattern(d)), quoted))
     return cur.withColumn(t, F.when(F.size(h) == 0, F.col(t)).when(F.size(h) == 1, one).otherwise(rebuilt)).drop(h, new)
 
 

@@ -93,3 +93,18 @@ def test_no_lambda_holds_the_chain(spark):
     plan = redact(spark.createDataFrame([("a",)], "text string"), "text")._jdf.queryExecution().optimizedPlan().toString()
     generate = [line for line in plan.split("\n") if "Generate inline" in line]
     assert len(generate) == 1 and "regexp_extract_all" not in generate[0] and "lambda" not in generate[0]
+
+
+def test_sole_hits(spark):
+    """A sole hit whose characters also stand where the pattern does not match, overlap themselves, or were seen before."""
+    own = Detector("ABA", r"(?<!x)aba", start="a")
+    texts = ["pay xCHF 12345 or CHF 12345", "CHF 12345x, CHF 12345", "xaba aba", "aba xaba", "xababa aba", "aba", "é \\$1 aba $0", "CHF 12345 aba CHF 12345"]
+    rows = redact(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), "text", (*DETECTORS, own)).orderBy("i").collect()
+    assert [r.redacted_text for r in rows] == ["pay xCHF 12345 or [AMOUNT_0001]", "CHF 12345x, [AMOUNT_0001]", "xaba [ABA_0001]", "[ABA_0001] xaba",
+                                               "xab[ABA_0001] [ABA_0001]", "[ABA_0001]", "é \\$1 [ABA_0001] $0", "[AMOUNT_0001] [ABA_0001] [AMOUNT_0001]"]
+    assert [r.n_entities for r in rows] == [1, 1, 1, 1, 1, 1, 1, 2]
+
+
+def test_sole_hits_are_replaced_by_their_characters(spark):
+    plan = redact(spark.createDataFrame([("a",)], "text string"), "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?<!_)position\(", plan)) == len(DETECTORS)
