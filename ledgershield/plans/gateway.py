@@ -131,11 +131,11 @@ def prompt_messages(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey")
     follow = F.concat(F.lit("Follow-up: also Vendor"), (k % 89 + 1000).cast("string"),
                       F.lit(" AG and CHF "), (k % 9000 + 1000).cast("string"), F.lit("."))
-    return (p.select(*KEY, F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
-            .unionByName(p.select(*KEY, F.lit(1).alias("turn"), F.lit("assistant").alias("role"),
-                                  F.lit("Noted.").alias("text")))
-            .unionByName(p.select(*KEY, F.lit(2).alias("turn"), F.lit("user").alias("role"),
-                                  follow.alias("text"))))
+    def message(turn, role, text):
+        return F.struct(F.lit(turn).alias("turn"), F.lit(role).alias("role"), text.alias("text"))
+    # one pass over the prompts: a union of three would join the orders to their customers three times
+    three = F.array(message(0, "user", F.col("text")), message(1, "assistant", F.lit("Noted.")), message(2, "user", follow))
+    return p.select(*KEY, F.inline(three))
 
 
 PROMPT_MESSAGES_CTE = PROMPTS_CTE + """,

@@ -5,6 +5,7 @@ import re
 
 from ledgershield.functions.patterns import DETECTORS, Detector
 from ledgershield.functions.redact import redact, rehydrate_expr
+from ledgershield.plans.gateway import prompt_messages
 from pyspark.sql import functions as F
 
 EDGE = [
@@ -108,3 +109,9 @@ def test_sole_hits(spark):
 def test_sole_hits_are_replaced_by_their_characters(spark):
     plan = redact(spark.createDataFrame([("a",)], "text string"), "text")._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"(?<!_)position\(", plan)) == len(DETECTORS)
+
+
+def test_messages_join_prompts_once(spark):
+    """The three messages of a prompt come from one pass over orders and customers."""
+    plan = prompt_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" not in plan
