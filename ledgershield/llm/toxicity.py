@@ -13,7 +13,8 @@ rows by hash of the id, and in each of ``ROUNDS`` rounds every shard is learned
 common model (``EPOCHS`` passes each).  A round's model is the mean of its shards': filters and layer weighted by
 rows, an embedding by the updates that it had in each.  The remaining fifth fits the score's scale (Platt) and a
 threshold for each language, from counts of its logits in steps of 1 / ``STEPS``.  The driver holds only the model
-and these counts, whatever the number of rows.  Scoring is a pass over the texts without a shuffle.
+and these counts, whatever the number of rows; counts and changes of the buckets reach it as Arrow columns, since a
+Python object for each of their numbers would take many times the model's memory.  Scoring is a pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,7 @@ CACHE = 300_000
 ROUNDS, EPOCHS, RATE = 2, 2, 0.05
 SHARD_BYTES = 32 << 20      # text of a shard, on average at most
 UNIT = float(1 << 24)       # updates are added as whole numbers of 1 / UNIT, so that no order of adding changes a model
+DRAWN = 1 << 15             # embeddings that are drawn at a time
 STEPS = 64                  # logits are counted in steps of 1 / STEPS
 
 
@@ -125,7 +128,10 @@ def count_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def start_model(buckets: np.ndarray, n0: np.ndarray, n1: np.ndarray, rows: np.ndarray, seed: int = 7) -> Model:
     """The model before training: ``n0`` and ``n1`` texts of either class have a bucket, of ``rows`` in all."""
     rng = np.random.default_rng(seed)
-    embed = (rng.standard_normal((BUCKETS, DIM)) * 0.05).astype(np.float32)
+    embed = np.empty((BUCKETS, DIM), np.float32)
+    for at in range(0, BUCKETS, DRAWN):          # the same numbers as at once, without all of them in double precision
+        part = embed[at:at + DRAWN]
+        part[:] = rng.standard_normal(part.shape) * 0.05
     odds = np.log((n1 + 0.5) / (max(rows[1], 1) + 1)) - np.log((n0 + 0.5) / (max(rows[0], 1) + 1))
     embed[:, 0] = 0
     embed[buckets, 0] = np.where(n0 + n1 > 2, np.clip(odds, -3, 3), 0) / (1 + len(PREFIXES))
@@ -168,7 +174,7 @@ class State:
     def numbers(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in (*self.dense, *self.past)]).astype(float)
 
-    def add(self, means: pd.DataFrame) -> None:
+    def add(self, means: pa.Table) -> None:
         """Take over the mean changes of a round (bucket, ``PARTS``)."""
         bucket = means["bucket"].to_numpy()
         met = bucket[bucket >= 0]
@@ -321,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = 2048, id_col: str
     of_class = np.array([sum(r["n"] for r in used if r["y"] == y) for y in (0, 1)])
     shards = int(max(1, -(-of_class.sum() // shard_rows), -(-sum(r["bytes"] for r in used) // SHARD_BYTES)))
     seen = learned.select("text", "y").mapInPandas(count_buckets, "bucket int, n0 long, n1 long") \
-        .groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 > 2").toPandas()
+        .groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 > 2").toArrow()
     state = State.of(start_model(*(seen[c].to_numpy() for c in ("bucket", "n0", "n1")), of_class))
     weight = of_class.sum() / (2.0 * np.maximum(of_class, 1))
     name = F.col("id").cast("string")
@@ -334,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = 2048, id_col: str
         def learn(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
             own = own.sort_values(["place", "id", "y"], kind="stable")
             return learn_shard(State(*shipped.value), own["text"].tolist(), own["y"].to_numpy(), weight, seed=7 + number + ROUNDS * int(key[0]))
-        state.add(dealt.groupBy("shard").applyInPandas(learn, UPDATES).groupBy("bucket").agg(*means).toPandas())
+        state.add(dealt.groupBy("shard").applyInPandas(learn, UPDATES).groupBy("bucket").agg(*means).toArrow())
         shipped.destroy()
     model = state.model()
     shipped = _shipped(spark, model)

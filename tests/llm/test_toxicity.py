@@ -116,3 +116,37 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
     assert [line.split()[0] for line in done.stdout.splitlines() if line.split()[0] in names] == names
+
+
+def test_the_driver_makes_no_object_of_a_bucket(spark, monkeypatch):
+    """Counts and changes of the buckets reach the driver as Arrow columns, not as rows, also where the session's
+    ``toPandas`` does without Arrow (Spark's default)."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    docs = spark.createDataFrame([(i, " ".join("".join(chr(97 + (i // 3 * 40 + j) // 26 ** k % 26) for k in range(6)) for j in range(40))
+                                   + " awful" * (i % 2), "en") for i in range(600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    collect, made = DataFrame.collect, []
+
+    def counted(self):
+        rows = collect(self)
+        made.append(len(rows))
+        return rows
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    arrow = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(arrow)
+    spark.conf.set(arrow, "false")
+    try:
+        model = T.fit(docs, labels)
+    finally:
+        spark.conf.set(arrow, before)
+    fresh = T.start_model(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.ones(2))
+    learned = int((model.embed != fresh.embed)[:, 1:].any(axis=1).sum())
+    assert learned > 1000 and made and max(made) < 1000
+
+
+def test_embeddings_are_drawn_as_at_once():
+    fresh = T.start_model(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.ones(2))
+    rng = np.random.default_rng(7)
+    want = (rng.standard_normal((T.BUCKETS, T.DIM)) * 0.05).astype(np.float32)
+    assert np.array_equal(fresh.embed[:, 1:], want[:, 1:])
+    assert np.array_equal(fresh.filters[0][1:], (rng.standard_normal((T.DIM, T.FILTERS)) * 0.1).astype(np.float32)[1:])
