@@ -61,3 +61,19 @@ def test_table(spark):
     assert got(docs, 400) == want
     kept = R.remove_repeats(docs, keep_text=True).first()
     assert hashlib.sha256(kept["kept"]).hexdigest() == kept["kept_sha256"]
+
+
+def test_planted_passages_are_caught_from_400_bytes_on(spark):
+    """A passage of over 50 words that two texts share goes whole where it has 400 bytes, and stays where it is shorter."""
+    rng = random.Random(9)
+
+    def words(n, letters):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(letters)) for _ in range(n))
+    long, short = words(60, 6), words(60, 4)
+    assert len(long) >= 400 > len(short) + 2 * 40
+    texts = {i: words(100, 5) for i in range(8)}
+    texts |= {i: f"{texts[i]}\n{p}\n{words(40, 7)}" for i, p in ((0, long), (1, long), (2, short), (3, short))}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    rows = got(df, 400)
+    assert rows == slow(sorted(texts.items()), 400)
+    assert all(r[2] >= len(long) and r[3] == 1 for r in rows[:2]) and all(r[2:4] == (0, 0) for r in rows[2:])
