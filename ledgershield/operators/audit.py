@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..plans.joins import widen
 
+BUCKET = "_bucket"          # column of entries that lie in log order: the bucket within the log
+LAID_BYTES = 2 << 20        # size of a part of them as the optimizer expects it (some 2**16 entries)
+
 
 def build_entries(calls: DataFrame, native_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Calls -> audit entries (without prev_hash); ``keep`` names further columns to carry.
@@ -58,12 +61,18 @@ def link_chain(entries: DataFrame, log_cols: list[str], seq_col: str = "seq", la
     ``seq_col`` is a unique number per log.  Entries are bucketed by ``seq_col // bucket_width``: a lag runs
     within (log, bucket), so no window holds more than ``bucket_width`` entries, and the first entry of a
     bucket takes the last hash of the bucket before from a (logs x buckets) table.  The first entry of a log
-    has null, or ``last_hash`` of ``last`` (log columns, last_hash) when an existing log is extended."""
-    x = entries.withColumn("_bkt", F.floor(F.col(seq_col) / F.lit(bucket_width)).cast("bigint"))
-    x = x.withColumn("_in", F.lag("hash").over(Window.partitionBy(*log_cols, "_bkt").orderBy(seq_col)))
-    ends = x.groupBy(*log_cols, "_bkt").agg(F.max_by("hash", seq_col).alias("_end"))
-    heads = ends.select(*log_cols, "_bkt", F.lag("_end").over(Window.partitionBy(*log_cols).orderBy("_bkt")).alias("_before"))
-    j = x.join(heads, [*log_cols, "_bkt"])
+    has null, or ``last_hash`` of ``last`` (log columns, last_hash) when an existing log is extended.
+
+    Entries that lie in log order (``dense_seq``) keep their buckets and their parts: they are not shuffled again."""
+    laid = BUCKET in entries.columns
+    bkt = BUCKET if laid else "_bkt"
+    x = entries if laid else entries.withColumn(bkt, F.floor(F.col(seq_col) / F.lit(bucket_width)).cast("bigint"))
+    # of the entries that lie in order the whole last one is taken, so that both sides read the same shuffle
+    end = F.max_by(F.struct(*entries.columns), seq_col)["hash"] if laid else F.max_by("hash", seq_col)
+    ends = x.groupBy(*log_cols, bkt).agg(end.alias("_end"))
+    x = x.withColumn("_in", F.lag("hash").over(Window.partitionBy(*log_cols, bkt).orderBy(seq_col)))
+    heads = ends.select(*log_cols, bkt, F.lag("_end").over(Window.partitionBy(*log_cols).orderBy(bkt)).alias("_before"))
+    j = x.join(F.broadcast(heads) if laid else heads, [*log_cols, bkt])
     prev = F.coalesce("_in", "_before")
     if last is not None:
         j = j.join(last.select(*log_cols, "last_hash"), log_cols, "left") if log_cols else j.crossJoin(last.select("last_hash"))
@@ -72,7 +81,7 @@ def link_chain(entries: DataFrame, log_cols: list[str], seq_col: str = "seq", la
 
 
 def dense_seq(df: DataFrame, log_cols: list[str], order_col: str, out_col: str = "seq",
-              bucket_width: int = 1 << 16) -> DataFrame:
+              bucket_width: int = 1 << 16, lay_out: bool = False) -> DataFrame:
     """0-based dense position of each row within its log, ordered by ``order_col``
     (a unique numeric key).
 
@@ -80,15 +89,22 @@ def dense_seq(df: DataFrame, log_cols: list[str], order_col: str, out_col: str =
     (log, bucket), so no window holds more than ``bucket_width`` rows even when
     one log holds a third of the table; bucket offsets come from a small
     (logs x buckets) table.
+
+    ``lay_out`` leaves the rows in log order for ``link_chain`` and ``write_log``: the one shuffle ranges them by
+    (log, bucket), the table of offsets is broadcast, and the bucket stays as the column ``BUCKET``.  Rows of one
+    key then come by their hash, so that every reading of the shuffle numbers them alike.
     """
-    b = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint")
-    x = df.withColumn("_bkt", b)
-    w = Window.partitionBy(*log_cols, "_bkt").orderBy(order_col)
-    x = x.withColumn("_i", F.row_number().over(w) - 1)
-    counts = x.groupBy(*log_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    wo = Window.partitionBy(*log_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*log_cols, "_bkt", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    out = x.join(offs, [*log_cols, "_bkt"])
+    bkt = BUCKET if lay_out else "_bkt"
+    x = df.withColumn(bkt, F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint"))
+    counts = x.groupBy(*log_cols, bkt).agg(F.count(F.lit(1)).alias("_n"))
+    if lay_out:
+        n = max(df.sparkSession.sparkContext.defaultParallelism, files_for(df, LAID_BYTES))
+        x = x.repartitionByRange(n, *log_cols, bkt)
+    keys = [order_col, *(["hash"] if lay_out and "hash" in df.columns else [])]
+    x = x.withColumn("_i", F.row_number().over(Window.partitionBy(*log_cols, bkt).orderBy(*keys)) - 1)
+    wo = Window.partitionBy(*log_cols).orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*log_cols, bkt, F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
+    out = x.join(F.broadcast(offs) if lay_out else offs, [*log_cols, bkt])
     return out.withColumn(out_col, (F.col("_off") + F.col("_i")).cast("bigint")).drop("_bkt", "_i", "_off")
 
 
@@ -109,7 +125,18 @@ def write_log(entries: DataFrame, path: str, log_cols: list[str] | None = None,
               seq_col: str = "seq", n_files: int | None = None, batch: int = 0) -> None:
     """Write entries as JSON Lines (see ``write_lines``)."""
     log_cols = log_cols or []
-    write_lines(entries.select(*log_cols, seq_col, entry_line(entries).alias("value")), path, log_cols, seq_col, n_files, batch)
+    bucket = [BUCKET] if BUCKET in entries.columns else []
+    write_lines(entries.select(*log_cols, *bucket, seq_col, entry_line(entries).alias("value")), path, log_cols, seq_col, n_files, batch)
+
+
+def lies_in_order(df: DataFrame, log_cols: list[str], seq_col: str) -> bool:
+    """Whether the plan itself leaves the rows ranged by (log, bucket) and sorted by number in each part."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    parts = plan.outputPartitioning().toString()
+    names = [re.findall(r"(\w+)#\d+L? ASC", x) for x in (parts, plan.outputOrdering().toString())]
+    return parts.startswith("rangepartitioning(") and names[0] == [*log_cols, BUCKET] \
+        and names[1][:len(log_cols) + 2] == [*log_cols, BUCKET, seq_col]
 
 
 def write_lines(lines: DataFrame, path: str, log_cols: list[str], seq_col: str = "seq", n_files: int | None = None,
@@ -117,11 +144,16 @@ def write_lines(lines: DataFrame, path: str, log_cols: list[str], seq_col: str =
     """Write lines (log columns, number, value) range-partitioned by (log, number) and sorted within files, so
     batch number + part number + file number + line order = log order.  One folder per log when ``log_cols`` is
     given (``partitionBy``), and in it one per batch; writing a batch again replaces it, and no other batch is touched.
+    Lines that lie in that order already are written as they lie.
 
     The number of parts follows the input's size, ``file_bytes`` each (one per core at least); where the estimate is
     too low, a part goes on in further files of ``file_bytes // line_bytes`` lines."""
-    n = n_files or max(lines.sparkSession.sparkContext.defaultParallelism, files_for(lines, file_bytes))
-    ordered = lines.repartitionByRange(n, *log_cols, seq_col).sortWithinPartitions(*log_cols, seq_col).drop(seq_col)
+    if n_files is None and BUCKET in lines.columns and lies_in_order(lines, log_cols, seq_col):
+        ordered = lines
+    else:
+        n = n_files or max(lines.sparkSession.sparkContext.defaultParallelism, files_for(lines, file_bytes))
+        ordered = lines.repartitionByRange(n, *log_cols, seq_col).sortWithinPartitions(*log_cols, seq_col)
+    ordered = ordered.drop(seq_col, BUCKET)
     if log_cols:
         ordered = ordered.withColumn("batch", F.lit(batch))
     writer = ordered.write.mode("overwrite").option("maxRecordsPerFile", max(1, file_bytes // line_bytes))
@@ -156,7 +188,7 @@ def scan_log(spark, path: str, log_cols: list[str] | None = None) -> DataFrame:
     JSON object; its text is in raw all the same), and the parsed fields
     ``hash``/``prev_hash``/``tier``/... via ``get_json_object`` (null when the
     line is corrupt).  Numbering uses the split position and a per-task running
-    id: no shuffle of the lines.
+    id: no shuffle of the lines, as the table of splits is broadcast (a row per 128 MB or file).
     """
     log_cols = log_cols or []
     base = (spark.read.text(path)
@@ -172,7 +204,7 @@ def scan_log(spark, path: str, log_cols: list[str] | None = None) -> DataFrame:
     splits = base.groupBy(*log_cols, "_f", "_b").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*log_cols).orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = splits.select(*log_cols, "_f", "_b", "_m0", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    j = base.join(offs, [*log_cols, "_f", "_b"])
+    j = base.join(F.broadcast(offs), [*log_cols, "_f", "_b"])
     raw = F.col("value")
     parsed = F.try_parse_json(raw)
 
@@ -200,7 +232,7 @@ def recompute_parts(raw: Column) -> tuple[Column, Column]:
     faithful copy of the JSON object, and ``to_json`` of its sorted body is
     the canonical form).  Every other line (edited formatting, extra or
     missing fields, non-ASCII, malformed) goes to the Python UDF."""
-    p = F.from_json(raw, ENTRY_SCHEMA)
+    p = F.from_json(raw, ENTRY_SCHEMA, {"mode": "PERMISSIVE"})     # the default; without options Spark parses the line once per field
     cols = sorted(set(H.ENTRY_FIELDS))
     reser = F.to_json(F.struct(*[(H.sorted_map(p[c]) if c == "redaction_stats" else p[c]).alias(c) for c in cols]),
                       {"ignoreNullFields": "false"})

@@ -152,7 +152,7 @@ FROM pos GROUP BY tenant""")
 def chain_verify_tampered(spark, sf_dir):
     """Per-tenant logs where some entries were edited after hashing (duration
     changed); each edited entry must be reported, the first one as broken_at."""
-    e = AU.dense_seq(_entries(spark, sf_dir), ["tenant"], "seq", out_col="seq_in_log")
+    e = AU.dense_seq(_entries(spark, sf_dir), ["tenant"], "seq", out_col="seq_in_log", lay_out=True)
     e = AU.link_chain(e, ["tenant"], "seq_in_log")
     tampered = e.withColumn("duration_ms", F.when(F.col("seq") % TAMPER_MOD == TAMPER_AT, F.col("duration_ms") + 1)
                             .otherwise(F.col("duration_ms")))
