@@ -187,7 +187,7 @@ def log_rotate(spark, sf_dir):
     and verify on their own."""
     e = AU.build_entries(D.audit_calls(spark, sf_dir))
     e = e.withColumn("version", F.when(F.col("timestamp") < ROTATE_AT, 1).otherwise(2))
-    e = AU.dense_seq(e, ["version"], "seq", out_col="seq_in_log")
+    e = AU.dense_seq(e, ["version"], "seq", out_col="seq_in_log", lay_out=True)
     e = AU.link_chain(e.drop("seq").withColumnRenamed("seq_in_log", "seq"), ["version"])
     path = scratch_path(spark, f"audit-rotate-{uuid.uuid4().hex}")
     AU.write_log(e, path, ["version"])

@@ -35,7 +35,7 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
 
-@pytest.mark.parametrize("key", ["chain_verify_tampered"])
+@pytest.mark.parametrize("key", ["chain_verify_tampered", "log_rotate"])
 def test_entries_are_shuffled_once_and_lines_not_at_all(spark, tmp_path, monkeypatch, no_broadcast, key):
     events(spark, 500).write.parquet(str(tmp_path / "events.parquet"))
     seen, write = [], AU.write_lines
